@@ -1,0 +1,71 @@
+"""Every query against its SQL counterpart, row for row and order-insensitive."""
+
+import datetime as dt
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+from tests.conftest import TESTDATA
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+SCALE = os.environ.get("ORACLE_SF", "sf0.01")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(
+            f"create view {name} as select * from '{TESTDATA}/{SCALE}/{name}.parquet'"
+        )
+    yield con
+    con.close()
+
+
+def _plain(value):
+    if isinstance(value, float) and math.isnan(value):
+        return "NaN"
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=None)
+    return value
+
+
+def _sorted_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = [tuple(_plain(row[i]) for i in order) for row in rows]
+    return sorted(plain, key=lambda row: [(v is not None, str(type(v)), v) for v in row])
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_query_equals_oracle(spark, duck, name):
+    result = entry_point.queries()[name](spark, f"{TESTDATA}/{SCALE}")
+    mine = _sorted_rows(result.columns, [tuple(r) for r in result.collect()])
+    cursor = duck.execute(entry_point.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    theirs = _sorted_rows(names, cursor.fetchall())
+    assert sorted(result.columns) == sorted(names)
+    assert len(mine) == len(theirs)
+    assert len(mine) > 0
+    for a, b in zip(mine, theirs):
+        assert a == b
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+
+
+def test_entry_has_rows(spark):
+    result = entry_point.entry(spark)
+    assert result.columns == [
+        "event",
+        "interval",
+        "mw_reduction_active",
+        "mw_reduction_inactive",
+    ]
+    assert result.count() > 0
