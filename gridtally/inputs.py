@@ -6,7 +6,7 @@ grow with the table. The rules are written down in ``FIXTURES.md``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.functions import clock
@@ -20,71 +20,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def _repeated(every: Column) -> Column:
-    """0 for each row, and a second time 1 for the rows to duplicate."""
-    once, twice = F.array(F.lit(0)), F.array(F.lit(0), F.lit(1))
-    return F.explode(F.when(every, twice).otherwise(once))
-
-
 def savings(spark: SparkSession, folder: str) -> DataFrame:
     """Meter-hour savings; ``initial_export`` marks superseded rows."""
-    event_id = F.col("event_id")
-    by_turn = F.concat(F.lit("Event "), (event_id % 4 + 1).cast("string"))
-    kind = F.col("event_type")
-    return table(spark, folder, "events").select(
-        F.when(event_id % 997 != 0, F.concat(_text("user_id"), F.lit("_AMI"))).alias("item_id"),
-        F.when(kind == "click", "Event 1")
-        .when(kind == "view", "Event 2")
-        .when(kind == "purchase", "Event 3")
-        .when(kind == "signup", "Event 4")
-        .otherwise(by_turn)
-        .alias("event"),
-        (kind == "error").alias("initial_export"),
-        clock.hour_floor(F.col("ts")).alias("timestamp"),
-        F.when(event_id % 101 != 0, F.round(F.col("value") - 30.0, 2)).alias("metered_savings"),
-        F.when(event_id % 53 != 0, event_id % 7 == 0).alias("non_responsive"),
+    events = table(spark, folder, "events").selectExpr(
+        "if(event_id % 997 = 0, null, concat(user_id, '_AMI')) as item_id",
+        """case event_type when 'click' then 'Event 1' when 'view' then 'Event 2'
+             when 'purchase' then 'Event 3' when 'signup' then 'Event 4'
+             else concat('Event ', event_id % 4 + 1) end as event""",
+        "event_type = 'error' as initial_export",
+        "cast(ts as timestamp_ntz) as ts",
+        "if(event_id % 101 = 0, null, round(value - 30.0D, 2)) as metered_savings",
+        "if(event_id % 53 = 0, null, event_id % 7 = 0) as non_responsive",
     )
+    return events.withColumn("timestamp", clock.hour_floor(F.col("ts"))).drop("ts")
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with event flags; some are listed twice and a few disagree."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    yes = F.lit("Yes")
-    numbered = table(spark, folder, "customer").select("*", _repeated(key % 83 == 0).alias("k"))
-    listed = F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")
-    return numbered.select(
-        _text("c_custkey").alias("customer_id"),
-        F.when(key % 13 != 0, F.when(listed, yes).otherwise("No")).alias("event1_in_info"),
-        F.when(nation % 3 == 0, "No").otherwise(yes).alias("event2_in_info"),
-        F.when(key % 11 != 0, F.when(F.col("c_acctbal") < 3000, "No").otherwise(yes)).alias(
-            "event3_in_info"
-        ),
-        F.when((nation % 5 == 0) & (F.col("k") == 0), "No").otherwise(yes).alias("event4_in_info"),
+    numbered = table(spark, folder, "customer").selectExpr(
+        "*", "explode(if(c_custkey % 83 = 0, array(0, 1), array(0))) as k"
+    )
+    return numbered.selectExpr(
+        "cast(c_custkey as string) as customer_id",
+        """case when c_custkey % 13 = 0 then null
+             when c_mktsegment in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'Yes'
+             else 'No' end as event1_in_info""",
+        "if(c_nationkey % 3 = 0, 'No', 'Yes') as event2_in_info",
+        """case when c_custkey % 11 = 0 then null when c_acctbal < 3000 then 'No'
+             else 'Yes' end as event3_in_info""",
+        "if(c_nationkey % 5 = 0 and k = 0, 'No', 'Yes') as event4_in_info",
     )
 
 
 def drop_lists(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Four overlapping lists of meters to disqualify."""
-    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    suppliers = table(spark, folder, "supplier").select(
-        key, nation, F.concat(_text("s_suppkey"), F.lit("_AMI")).alias("meter_raw")
+    suppliers = table(spark, folder, "supplier")
+    listed = (
+        "s_nationkey % 4 = 0 and s_suppkey % 3 = 0",
+        "s_nationkey % 4 = 1 and s_suppkey % 3 = 0",
+        "s_suppkey % 9 = 0 and s_suppkey % 2 = 0",
+        "s_suppkey % 9 = 0 and s_suppkey % 2 = 1",
     )
-    first = nation % 4, key % 3 == 0
-    second = key % 9 == 0
-    return [
-        suppliers.filter((first[0] == 0) & first[1]).select("meter_raw"),
-        suppliers.filter((first[0] == 1) & first[1]).select("meter_raw"),
-        suppliers.filter(second & (key % 2 == 0)).select("meter_raw"),
-        suppliers.filter(second & (key % 2 != 0)).select("meter_raw"),
-    ]
+    raw = "concat(s_suppkey, '_AMI') as meter_raw"
+    return [suppliers.filter(condition).selectExpr(raw) for condition in listed]
 
 
 def savings_clean(spark: SparkSession, folder: str) -> DataFrame:
-    updated = savings(spark, folder).filter(~F.col("initial_export"))
+    updated = savings(spark, folder).filter("not initial_export")
     return event_savings.savings_clean(
         updated,
         event_savings.customer_flags(customers(spark, folder)),
@@ -93,40 +75,40 @@ def savings_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, folder: str) -> DataFrame:
-    shipped = F.col("l_shipdate")
-    kwh = F.when(F.col("l_orderkey") % 211 != 0, F.col("l_extendedprice") / 10000.0)
-    return table(spark, folder, "lineitem").select(
-        _text("l_partkey").alias("account_id"),
-        F.year(shipped).alias("year"),
-        F.month(shipped).alias("month"),
-        F.dayofmonth(shipped).alias("day"),
-        (F.col("l_quantity").cast("int") % 24).alias("hour"),
-        kwh.alias("kwh"),
+    """Hourly reads in UTC parts."""
+    return table(spark, folder, "lineitem").selectExpr(
+        "cast(l_partkey as string) as account_id",
+        "year(l_shipdate) as year",
+        "month(l_shipdate) as month",
+        "day(l_shipdate) as day",
+        "cast(l_quantity as int) % 24 as hour",
+        "if(l_orderkey % 211 = 0, null, l_extendedprice / 10000.0D) as kwh",
     )
 
 
 def sites(spark: SparkSession, folder: str) -> DataFrame:
     """Sites to analyse, one of which has no reads."""
-    listed = table(spark, folder, "part").filter(F.col("p_size") % 4 == 0)
-    extra = spark.range(1).select(F.lit("missing_site").alias("model_id"))
-    return listed.select(_text("p_partkey").alias("model_id")).union(extra)
+    listed = table(spark, folder, "part").filter("p_size % 4 = 0")
+    extra = spark.range(1).selectExpr("'missing_site' as model_id")
+    return listed.selectExpr("cast(p_partkey as string) as model_id").union(extra)
 
 
 def frame(spark: SparkSession, folder: str) -> DataFrame:
     """Sampling frame: one row per customer with savings of either sign."""
-    return table(spark, folder, "orders").select(
-        F.concat(_text("o_orderkey"), F.lit("_AMI")).alias("item_id"),
-        ((F.col("o_totalprice") - 100000.0) / 1000.0).alias("metered_savings"),
+    return table(spark, folder, "orders").selectExpr(
+        "concat(o_orderkey, '_AMI') as item_id",
+        "(o_totalprice - 100000.0D) / 1000.0D as metered_savings",
     )
 
 
 def vendor(spark: SparkSession, folder: str) -> DataFrame:
     """Vendor estimates; some sites are absent, some listed twice."""
-    key = F.col("c_custkey")
-    listed = table(spark, folder, "customer").filter(key % 5 != 1)
-    return listed.select("*", _repeated(key % 83 == 0).alias("k")).select(
-        F.concat(_text("c_custkey"), F.lit("_AMI")).alias("item_id"),
-        (F.col("c_acctbal") / 10.0).alias("metered_savings"),
+    listed = table(spark, folder, "customer").filter("c_custkey % 5 <> 1")
+    repeated = listed.selectExpr(
+        "*", "explode(if(c_custkey % 83 = 0, array(0, 1), array(0))) as k"
+    )
+    return repeated.selectExpr(
+        "concat(c_custkey, '_AMI') as item_id", "c_acctbal / 10.0D as metered_savings"
     )
 
 
@@ -137,25 +119,18 @@ def model_documents(spark: SparkSession, folder: str) -> DataFrame:
     under the user's file name as if in separate folders: however active a user
     is, no document holds more than ``EVENTS_PER_DOCUMENT`` events.
     """
-    event_id, user = F.col("event_id"), F.col("user_id")
-    value = F.when(event_id % 101 != 0, F.col("value"))
-    entry = F.concat(
-        F.lit('"'),
-        F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
-        F.lit('":'),
-        F.coalesce(value.cast("string"), F.lit("null")),
+    entries = table(spark, folder, "events").selectExpr(
+        "user_id",
+        f"event_id div {EVENTS_PER_DOCUMENT} as run",
+        r"""concat('"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), '":',
+              if(event_id % 101 = 0, 'null', cast(value as string))) as entry""",
     )
-    run = F.floor(event_id / EVENTS_PER_DOCUMENT)
-    grouped = (
-        table(spark, folder, "events")
-        .select(user, run.alias("run"), entry.alias("entry"))
-        .groupBy("user_id", "run")
-        .agg(F.concat_ws(",", F.collect_list("entry")).alias("entries"))
+    grouped = entries.groupBy("user_id", "run").agg(
+        F.concat_ws(",", F.collect_list("entry")).alias("entries")
     )
-    flat = F.concat(F.lit('{"metered_savings":{'), F.col("entries"), F.lit("}}"))
-    wrapped = F.concat(F.lit('{"data":'), flat, F.lit("}"))
-    text = F.when(user % 29 == 28, "{bad").when(user % 2 == 0, wrapped).otherwise(flat)
-    return grouped.select(
-        F.concat(F.lit("metered_savings_"), _text("user_id"), F.lit(".txt")).alias("file_name"),
-        text.alias("text"),
+    return grouped.selectExpr(
+        "concat('metered_savings_', user_id, '.txt') as file_name",
+        """case when user_id % 29 = 28 then '{bad'
+             when user_id % 2 = 0 then concat('{"data":{"metered_savings":{', entries, '}}}')
+             else concat('{"metered_savings":{', entries, '}}') end as text""",
     )

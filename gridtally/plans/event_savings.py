@@ -206,7 +206,7 @@ def _interval_by_event_label(clean: DataFrame) -> DataFrame:
 
     def split(label: str) -> Column:
         rows = F.when((F.col("activity_label") == label) & responsive, mw)
-        return _rounded(F.coalesce(F.sum(rows), F.lit(0).cast(missing.EXACT)))
+        return _rounded(F.coalesce(F.sum(rows), F.lit(0)))
 
     return _eligible(labelled).groupBy("event", "interval").agg(
         split("Active").alias("mw_reduction_active"),
@@ -228,12 +228,8 @@ def interval_by_event_label(clean: DataFrame) -> DataFrame:
 def event_rounded_totals(clean: DataFrame) -> DataFrame:
     """Per event, the sum of the *rounded* interval values (MW, despite the names)."""
     return _interval_by_event_label(clean).groupBy("event").agg(
-        missing.to_double(missing.strict_sum(F.col("mw_reduction_active"))).alias(
-            "total_kwh_active"
-        ),
-        missing.to_double(missing.strict_sum(F.col("mw_reduction_inactive"))).alias(
-            "total_kwh_inactive"
-        ),
+        missing.to_double(F.sum("mw_reduction_active")).alias("total_kwh_active"),
+        missing.to_double(F.sum("mw_reduction_inactive")).alias("total_kwh_inactive"),
     )
 
 
