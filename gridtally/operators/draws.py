@@ -13,7 +13,6 @@ stratum sends to one task grows with the sample, not with the table.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +49,8 @@ def draw(
         return keyed.select(stratum, *columns).filter(F.lit(False))
 
     # "g" sorts after every hex digit: all keys starting with the prefix pass.
-    near = [
-        (F.col(stratum) == name) & (F.col("_key") < F.lit(prefix + "g"))
-        for name, prefix in cutoffs.items()
-    ]
-    candidates = keyed.filter(reduce(lambda a, b: a | b, near))
+    limits = F.create_map(*[F.lit(v) for name in cutoffs for v in (name, cutoffs[name] + "g")])
+    candidates = keyed.filter(F.col("_key") < limits[F.col(stratum)])
     order = Window.partitionBy(stratum).orderBy("_key", *columns)
     size_of = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])
     ranked = candidates.withColumn("_rank", F.row_number().over(order))

@@ -31,21 +31,18 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> D
     return joined.drop(*[_RIGHT + key for key in keys])
 
 
-def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe left join. Use where a key has few rows on the right."""
-    return _join(left, right, keys, "left")
+def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe inner join.
 
+    Also the form to use for keys that are costly to compute: a plain ``=`` makes
+    the optimizer add not-null filters that compute them a second time.
+    """
+    return _join(left, right, keys, "inner")
 
-def left_join_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe left join for a right side that may repeat one key without bound.
 
-    Only the preserved side of an outer join can be split at run time. As an
-    inner join plus the unmatched rows, the repeated side can be split too. Both
-    halves read the left side through the same exchange.
-    """
-    matched = _join(left, right, keys, "inner")
-    unmatched = _join(left, right.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe left join. Use where a key has few rows on the right."""
+    return _join(left, right, keys, "left")
 
 
 def semi_join(left: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,3 +55,17 @@ def flag_members(left: DataFrame, members: DataFrame, key: str, flag: str) -> Da
     marked = members.select(key).distinct().withColumn(flag, F.lit(True))
     joined = left_join(left, marked, [key])
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def left_join_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe left join for a right side that may repeat one key without bound.
+
+    Only the preserved side of an outer join can be split at run time. As an
+    inner join plus the unmatched rows, the repeated side can be split too. The
+    unmatched rows come from a marker and not from an anti-join, which would move
+    below an aggregate on the left and make the two halves compute it twice.
+    """
+    marked = right.select(*keys).distinct().withColumn("_matched", F.lit(True))
+    unmatched = left_join(left, marked, keys).filter("_matched is null").drop("_matched")
+    matched = inner_join(left, right, keys)
+    return matched.unionByName(unmatched, allowMissingColumns=True)

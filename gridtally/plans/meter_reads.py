@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtally.functions import clock, missing
-from gridtally.operators.joins import flag_members, semi_join
+from gridtally.operators.joins import flag_members, inner_join, semi_join
 
 # Grains from coarse to fine; each adds one part of the local time.
 GRAINS = {
@@ -39,7 +39,8 @@ def local_reads(site_reads: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     Reads whose parts name no real hour keep their row with unknown parts.
     """
     utc = clock.utc_from_parts(*[F.col(part) for part in PARTS])
-    at = site_reads.select("id", "kwh", clock.utc_to_local(utc, zone).alias("at"))
+    at_utc = site_reads.select("id", "kwh", utc.alias("utc"))
+    at = at_utc.select("id", "kwh", clock.utc_to_local(F.col("utc"), zone).alias("at"))
     return at.select(
         "id",
         F.year("at").alias("year"),
@@ -155,6 +156,6 @@ def same_month_totals(local: DataFrame, places: int | None = None) -> DataFrame:
     monthly = _exact_totals(local, "month").select("id", "year", "month", total.alias("total_kwh"))
     known = monthly.filter("total_kwh is not null")
     shared = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites")).filter("n_sites > 1")
-    return known.join(shared, keys).select(
+    return inner_join(known, shared, keys).select(
         "year", "month", missing.to_double(F.col("total_kwh")).alias("total_kwh"), "id", "n_sites"
     )

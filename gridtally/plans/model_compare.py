@@ -16,11 +16,18 @@ from gridtally.sources.documents import unreadable_value
 def flatten(documents: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     """One row per document, time and value.
 
-    ``documents``: ``file_name`` and the ``savings`` map. A JSON null counts as 0;
-    a value that is no number is NULL and flagged ``unreadable``. A time that
-    occurs twice in a document gives two rows.
+    ``documents``: ``file_name`` and the ``savings`` map, as parsed; rejected
+    documents have no map and give no rows. A JSON null counts as 0; a value that
+    is no number is NULL and flagged ``unreadable``. A time that occurs twice in a
+    document gives two rows.
+
+    Empty maps are dropped after the explode. A filter on the document, written or
+    inferred from an inner explode, would move below the parser and parse twice.
     """
-    pairs = documents.select("file_name", F.explode("savings").alias("time_text", "value"))
+    exploded = documents.select(
+        "file_name", F.explode_outer("savings").alias("time_text", "value")
+    )
+    pairs = exploded.filter("time_text is not null")
     utc = clock.utc_from_text(F.col("time_text"))
     value = F.col("value")
     savings = F.when(value.isNull(), F.lit(0.0)).otherwise(value.try_cast("double"))

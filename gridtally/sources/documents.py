@@ -74,10 +74,6 @@ def parse_savings(documents: DataFrame, unwrap: bool = True) -> DataFrame:
     )
 
 
-def loaded(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("status") == LOADED).drop("status", "text")
-
-
 def rejects(parsed: DataFrame) -> DataFrame:
     """Documents that could not be parsed, with their text."""
     return parsed.filter(F.col("status") == REJECTED).drop("savings")
