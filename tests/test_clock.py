@@ -1,0 +1,137 @@
+"""Wall clocks: daylight saving, bad dates, independence from the session zone."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridtally.functions import clock, ids
+
+DT = dt.datetime
+
+
+def column(spark, values, kind, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[1] for r in df.select("i", expression(F.col("v"))).orderBy("i").collect()]
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
+def zone_of_session(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_utc_to_local(spark, zone_of_session):
+    utc = [
+        DT(2024, 7, 12, 19, 0, 5, 250000),
+        DT(2024, 1, 12, 20),
+        DT(2024, 11, 3, 7, 30),  # autumn: two UTC hours, one wall-clock hour
+        DT(2024, 11, 3, 8, 30),
+        DT(2024, 3, 10, 2, 30),  # does not exist on New York's clock
+        DT(2024, 3, 10, 8, 59),
+        DT(2024, 3, 10, 9, 0),  # spring gap: 01:59 is followed by 03:00
+        DT(1969, 12, 31, 23, 59, 59),
+        None,
+    ]
+    local = [
+        DT(2024, 7, 12, 13, 0, 5, 250000),
+        DT(2024, 1, 12, 13),
+        DT(2024, 11, 3, 1, 30),
+        DT(2024, 11, 3, 1, 30),
+        DT(2024, 3, 9, 19, 30),
+        DT(2024, 3, 10, 1, 59),
+        DT(2024, 3, 10, 3, 0),
+        DT(1969, 12, 31, 16, 59, 59),
+        None,
+    ]
+    assert column(spark, utc, "timestamp_ntz", clock.utc_to_local) == local
+
+
+def test_same_as_convert_timezone(spark):
+    hours = spark.range(0, 24 * 366 * 3).select(
+        F.expr("timestamp_ntz'2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, id)").alias("t")
+    )
+    theirs = F.convert_timezone(F.lit("UTC"), F.lit("America/Denver"), F.col("t"))
+    assert hours.filter(~clock.utc_to_local(F.col("t")).eqNullSafe(theirs)).isEmpty()
+
+
+def test_text_times(spark, zone_of_session):
+    texts = [
+        "2024-07-12 19:00:00",
+        "2024-07-12T19:00:00Z",
+        "2024-07-12T19:00:00+00:00",
+        "2024-07-12T13:00:00-06:00",
+        "2024-07-12 19:00:00.250",
+        "2024-03-10 02:30:00",
+        "junk",
+        "2024-07-12",
+        "",
+        None,
+    ]
+    expected = [DT(2024, 7, 12, 19)] * 4 + [
+        DT(2024, 7, 12, 19, 0, 0, 250000),
+        DT(2024, 3, 10, 2, 30),
+        None,
+        None,
+        None,
+        None,
+    ]
+    assert column(spark, texts, "string", clock.utc_from_text) == expected
+
+
+def test_impossible_parts_are_null(spark):
+    rows = [
+        (2024.0, 2.0, 29.0, 23.0),
+        (2023.0, 2.0, 29.0, 0.0),
+        (2024.0, 13.0, 1.0, 0.0),
+        (2024.0, 1.0, 1.0, 24.0),
+        (None, 1.0, 1.0, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "y double, m double, d double, h double")
+    parts = [F.col(c) for c in "ymdh"]
+    out = [r[0] for r in df.select(clock.utc_from_parts(*parts)).collect()]
+    assert out == [DT(2024, 2, 29, 23), None, None, None, None]
+
+
+def test_interval_labels(spark, zone_of_session):
+    starts = [
+        DT(2024, 7, 12, 13),
+        DT(2024, 7, 12, 23, 10, 5),
+        DT(2024, 3, 10, 1),  # Denver's gap starts an hour later: the plain next hour
+        DT(2024, 7, 12, 0, 0, 0, 900000),
+        None,
+    ]
+    assert column(spark, starts, "timestamp_ntz", clock.hour_interval) == [
+        "13:00:00-14:00:00",
+        "23:10:05-00:10:05",
+        "01:00:00-02:00:00",
+        "00:00:00-01:00:00",
+        "NA-NA",
+    ]
+
+
+def test_hour_floor(spark, zone_of_session):
+    assert column(
+        spark, [DT(2024, 3, 10, 2, 59, 59), None], "timestamp_ntz", clock.hour_floor
+    ) == [DT(2024, 3, 10, 2), None]
+
+
+def test_meter_ids(spark):
+    raw = ["7_AMI", "7_AMI_AMI", "_AMI", "7_AMI\n", "7", "AMI", "", None]
+    assert column(spark, raw, "string", ids.meter_id) == [
+        "7",
+        "7_AMI",
+        "",
+        "7_AMI\n",
+        "7",
+        "AMI",
+        "",
+        None,
+    ]
+
+
+def test_document_ids(spark):
+    names = ["metered_savings_ab1.txt", "metered_savings_a.txt.txt", "x.txt"]
+    assert column(spark, names, "string", ids.site_of_document) == ["ab1", "a", "x"]

@@ -1,0 +1,259 @@
+"""Event savings on hand-made frames."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridtally.plans import event_savings as ev
+
+T = dt.datetime(2024, 7, 12, 19)  # 13:00 in Denver
+LABEL = "13:00:00-14:00:00"
+SAVINGS = (
+    "item_id string, event string, timestamp timestamp_ntz, metered_savings double, "
+    "non_responsive boolean"
+)
+FLAGS = (
+    "customer_id string, event1_in_info string, event2_in_info string, "
+    "event3_in_info string, event4_in_info string"
+)
+CLEAN = (
+    "meter_id string, event string, customer_activity string, interval string, "
+    "savings_kwh double, savings_mw double, in_event_info boolean, non_responsive boolean, "
+    "bad_meter boolean"
+)
+
+
+def rows_of(df, *columns):
+    rows = [tuple(r) for r in df.select(*columns or df.columns).collect()]
+    return sorted(rows, key=lambda row: [(v is None, str(v)) for v in row])
+
+
+def clean_rows(spark, rows):
+    """Rows as (meter, event, kwh, in_info, non_responsive, bad[, interval])."""
+    full = []
+    for meter, event, kwh, info, silent, bad, *rest in rows:
+        label = None if kwh is None else ("Active" if kwh > 0 else "Inactive")
+        interval = rest[0] if rest else LABEL
+        mw = None if kwh is None else kwh / 1000
+        full.append((meter, event, label, interval, kwh, mw, info, silent, bad))
+    return spark.createDataFrame(full, CLEAN)
+
+
+def test_union_fills_missing_columns(spark):
+    a = spark.createDataFrame([("1", 2.0)], "item_id string, metered_savings double")
+    b = spark.createDataFrame([(3.0, "2", "x")], "metered_savings double, item_id string, n string")
+    out = ev.union_events({"Event 1": a, "Event 2": b})
+    assert rows_of(out, "item_id", "metered_savings", "n", "event") == [
+        ("1", 2.0, None, "Event 1"),
+        ("2", 3.0, "x", "Event 2"),
+    ]
+
+
+def test_drop_list(spark):
+    lists = [
+        spark.createDataFrame([(v,) for v in values], "meter_raw string")
+        for values in (["1_AMI", "2"], ["2_AMI", "3_AMI_AMI"], [None])
+    ]
+    assert rows_of(ev.drop_list(*lists)) == [("1",), ("2",), ("3_AMI",), (None,)]
+
+
+@pytest.fixture()
+def prepared(spark):
+    savings = spark.createDataFrame(
+        [
+            ("1_AMI", "Event 1", T, 5.0, False),
+            ("1_AMI", "Event 2", T, -1.0, None),
+            ("2_AMI", "Event 1", T, None, True),
+            ("3_AMI", "Event 3", T, float("nan"), False),
+            ("4_AMI", "Event 4", T, 0.0, False),
+            (None, "Event 1", None, 2.0, False),
+        ],
+        SAVINGS,
+    )
+    customers = spark.createDataFrame(
+        [
+            ("1", "Yes", "No", "Yes", "Yes"),
+            ("1", "Yes", "No", "Yes", "Yes"),  # exact repeat: no fan-out
+            ("2", None, "Yes", "Yes", "Yes"),
+            ("4", "Yes", "Yes", "Yes", "Yes"),
+            ("4", "No", "Yes", "Yes", "Yes"),  # differs elsewhere: still doubles event 4
+            (None, "Yes", "Yes", "Yes", "Yes"),
+        ],
+        FLAGS,
+    )
+    dropped = spark.createDataFrame([("2_AMI",), (None,)], "meter_raw string")
+    return savings, customers, dropped
+
+
+def test_savings_clean(spark, prepared):
+    savings, customers, dropped = prepared
+    clean = ev.savings_clean(savings, ev.customer_flags(customers), ev.drop_list(dropped))
+    assert clean.columns == [
+        "meter_id",
+        "event",
+        "customer_activity",
+        "timestamp",
+        "colorado_time",
+        "interval",
+        "savings_kwh",
+        "savings_mw",
+        "in_event_info",
+        "non_responsive",
+        "bad_meter",
+    ]
+    got = rows_of(
+        clean, "meter_id", "event", "customer_activity", "savings_kwh", "in_event_info", "bad_meter"
+    )
+    assert got == [
+        ("1", "Event 1", "Active", 5.0, True, False),
+        ("1", "Event 2", "Inactive", -1.0, False, False),
+        ("2", "Event 1", None, None, None, True),  # listed, but the flag is unknown
+        ("3", "Event 3", None, None, None, False),  # NaN is missing; not listed at all
+        ("4", "Event 4", "Inactive", 0.0, True, False),
+        ("4", "Event 4", "Inactive", 0.0, True, False),
+        (None, "Event 1", "Active", 2.0, True, True),  # unknown ids match each other
+    ]
+    labels = {r.interval for r in clean.collect()}
+    assert labels == {LABEL, "NA-NA"}
+
+
+def test_flag_fanout(spark, prepared):
+    assert rows_of(ev.flag_fanout(prepared[1])) == [("4", 2)]
+
+
+def test_row_sign_table(spark):
+    clean = clean_rows(
+        spark,
+        [
+            ("1", "Event 2", 125.0, True, False, False),
+            ("1", "Event 1", 125.0, True, False, False),  # 0.125 MW: tie, rounds to 0.12
+            ("2", "Event 1", -375.0, True, False, False),  # -0.375 rounds to -0.38
+            ("3", "Event 1", 900.0, True, True, False),  # silent
+            ("4", "Event 1", 900.0, True, None, False),  # silence unknown
+            ("5", "Event 1", 900.0, None, False, False),  # eligibility unknown
+            ("6", "Event 1", 900.0, False, False, False),
+            ("7", "Event 1", 900.0, True, False, True),
+            ("8", "Event 1", None, True, False, False),
+            ("9", "Event 3", 10.0, False, False, False),  # event without eligible rows
+        ],
+    )
+    out = [tuple(r) for r in ev.interval_by_row_sign(clean).collect()]
+    assert out == [("Event 1", LABEL, 0.12, -0.38), ("Event 2", LABEL, 0.12, 0.0)]
+    assert [tuple(r) for r in ev.interval_keys(clean).collect()] == [
+        ("Event 1", LABEL),
+        ("Event 2", LABEL),
+    ]
+    combined = [tuple(r) for r in ev.interval_combined(clean).collect()]
+    assert combined[0] == ("Event 1", LABEL, 0.12, 3, -0.38, 1)
+    counts = [tuple(r) for r in ev.response_counts(clean).collect()]
+    assert counts[0] == ("Event 1", LABEL, 3, 1)
+
+
+def test_customer_activity_null_rules(spark):
+    clean = clean_rows(
+        spark,
+        [
+            ("1", "Event 1", 5.0, True, False, False),
+            ("1", "Event 1", None, True, False, False),
+            ("2", "Event 1", 5.0, True, False, False),
+            ("2", "Event 1", -5.0, True, False, False),
+            (None, "Event 1", 5.0, True, False, False),
+            (None, "Event 1", 6.0, True, False, False),
+        ],
+    )
+    assert rows_of(ev.customer_activity(clean)) == [
+        ("1", "Event 1", None, None),
+        ("2", "Event 1", 0.0, "Inactive"),
+        (None, "Event 1", 0.011, "Active"),
+    ]
+    assert rows_of(ev.customer_activity_skipping_unknown(clean)) == [
+        ("1", "Event 1", 0.005, "Active"),
+        ("2", "Event 1", 0.0, "Inactive"),
+        (None, "Event 1", 0.011, "Active"),
+    ]
+
+
+def test_event_label_table(spark):
+    later = "14:00:00-15:00:00"
+    clean = clean_rows(
+        spark,
+        [
+            # meter 1 gains over the event, so its losing hour counts as active too
+            ("1", "Event 1", 1000.0, True, False, False, LABEL),
+            ("1", "Event 1", -300.0, True, False, False, later),
+            # meter 2 loses over the event, through an hour that is not eligible
+            ("2", "Event 1", 200.0, True, False, False, LABEL),
+            ("2", "Event 1", -900.0, False, False, False, later),
+            # meter 3 has an unknown hour: counted nowhere
+            ("3", "Event 1", 5000.0, True, False, False, LABEL),
+            ("3", "Event 1", None, True, False, False, later),
+            # silent hour of a gaining meter
+            ("1", "Event 1", 700.0, True, True, False, later),
+        ],
+    )
+    out = [tuple(r) for r in ev.interval_by_event_label(clean).collect()]
+    assert out == [("Event 1", LABEL, 1.0, 0.2), ("Event 1", later, -0.3, 0.0)]
+    assert rows_of(ev.event_rounded_totals(clean)) == [("Event 1", 0.7, 0.2)]
+
+
+def test_rounded_totals_add_rounded_values(spark):
+    hours = [f"{h:02d}:00:00-{h + 1:02d}:00:00" for h in range(4)]
+    clean = clean_rows(spark, [("1", "Event 1", 4.0, True, False, False, h) for h in hours])
+    # 0.004 MW rounds to 0.00 in each hour; the total of 0.016 never shows
+    assert rows_of(ev.event_rounded_totals(clean)) == [("Event 1", 0.0, 0.0)]
+
+
+def test_event_totals_count_unknown_meter(spark):
+    clean = clean_rows(
+        spark,
+        [
+            ("1", "Event 1", 100.0, True, True, False),
+            ("1", "Event 1", -40.0, True, None, False),
+            (None, "Event 1", 100.0, True, False, False),
+            ("2", "Event 1", None, True, False, False),
+        ],
+    )
+    assert rows_of(ev.event_totals(clean)) == [("Event 1", 0.16, 3)]
+
+
+def test_site_export_groups_unknown_flags(spark):
+    clean = clean_rows(
+        spark,
+        [
+            ("1", "Event 1", 1.0, None, False, False),
+            ("1", "Event 1", 2.0, None, False, False),
+            ("1", "Event 1", 4.0, True, False, False),
+            ("1", "Event 1", -8.0, True, False, False),
+            ("1", "Event 2", 16.0, True, False, False),
+        ],
+    )
+    assert rows_of(ev.site_export(clean)) == [
+        ("1", True, False, False, 4.0),
+        ("1", None, False, False, 3.0),
+    ]
+
+
+def test_filter_ladder(spark):
+    clean = clean_rows(
+        spark,
+        [
+            ("1", "Event 1", 1.0, True, False, False),
+            ("2", "Event 1", -1.0, True, True, False),
+            ("3", "Event 1", 1.0, False, False, True),
+            ("4", "Event 1", None, True, False, False),
+            ("5", "Event 2", 1.0, None, None, True),
+        ],
+    )
+    assert rows_of(ev.filter_ladder(clean, with_all_flags=True)) == [
+        ("allflags", "Event 1", LABEL, 1, 0),
+        ("badmeter", "Event 1", LABEL, 1, 1),
+        ("ineventinfo", "Event 1", LABEL, 1, 1),
+        ("nofilters", "Event 1", LABEL, 2, 1),
+        ("nofilters", "Event 2", LABEL, 1, 0),
+        ("nonresponsive", "Event 1", LABEL, 2, 0),
+    ]
+    plain = ev.filter_ladder(clean)
+    assert plain.filter(F.col("scenario") == ev.ALL_FLAGS).isEmpty()
+    # a rung that keeps nothing of a group has no row for it
+    assert plain.filter("event = 'Event 2' and scenario <> 'nofilters'").isEmpty()
