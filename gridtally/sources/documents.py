@@ -24,9 +24,10 @@ def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.txt`` files below ``folder`` as ``file_path, file_name, text``.
 
     Raises when there are none. Files that vanish before they are read are
-    skipped. Names starting with ``.`` or ``_`` are hidden files to Spark. Many
-    small files share a task; lower ``spark.sql.files.openCostInBytes`` to pack
-    more of them together.
+    skipped. Spark's file sources do not see files of zero bytes, nor names that
+    start with ``.`` or ``_``; a file of blanks is seen, and rejected when parsed.
+    Many small files share a task; lower ``spark.sql.files.openCostInBytes`` to
+    pack more of them together.
     """
     files = (
         spark.read.option("recursiveFileLookup", True)
@@ -107,10 +108,9 @@ def parse_any(documents: DataFrame) -> DataFrame:
 
 
 def profile(parsed: DataFrame) -> DataFrame:
-    """Top-level fields of variant documents: where they occur and as which type."""
-    fields = parsed.lateralJoin(
-        parsed.sparkSession.tvf.variant_explode(F.col("document").outer())
-    )
+    """Top-level fields of variant documents: in how many they occur and as which type."""
+    explode = parsed.sparkSession.tvf.variant_explode
+    fields = parsed.lateralJoin(explode(F.col("document").outer()))
     return fields.groupBy(F.col("key").alias("field")).agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.schema_of_variant_agg("value").alias("type"),

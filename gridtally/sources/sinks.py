@@ -26,4 +26,4 @@ def write_table(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     and a lost executor costs no more than its own tasks.
     """
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
