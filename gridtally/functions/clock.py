@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 
 DENVER = "America/Denver"
 
-# A trailing zone: Z, +00:00, -0700 or +01, after a time of day.
-_HAS_ZONE = r"\d(Z|[+-]\d{2}(:?\d{2})?)$"
-_HAS_TIME = r"\d{1,2}:\d{2}"
-
-
 def utc_to_local(utc: Column, zone: str = DENVER) -> Column:
     """Wall clock of a zone at a UTC time.
 
@@ -30,6 +25,11 @@ def utc_to_local(utc: Column, zone: str = DENVER) -> Column:
     return F.timestamp_add("SECOND", F.unix_seconds(shifted) - seconds, utc)
 
 
+def local_to_utc(wall: Column, zone: str = DENVER) -> Column:
+    """UTC time of a wall clock; meant for a few constants, not for columns."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+
+
 def _utc_reading(instant: Column) -> Column:
     """UTC time of an instant, by way of its microseconds."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -44,9 +44,18 @@ def utc_from_parts(year: Column, month: Column, day: Column, hour: Column) -> Co
 
 
 def utc_from_text(text: Column) -> Column:
-    """UTC time from ISO text with or without a zone; no zone means UTC, junk is NULL."""
-    zoned = F.when(text.rlike(_HAS_ZONE), text).otherwise(F.concat(text, F.lit("Z")))
-    return _utc_reading(F.try_to_timestamp(F.when(text.rlike(_HAS_TIME), zoned)))
+    """UTC time from ISO text with or without a zone; no zone means UTC, junk is NULL.
+
+    Text without an offset, or with ``Z``, is its own UTC reading. Only an offset
+    after the date needs an instant, and the trip over its microseconds keeps the
+    session zone out of it. A date alone is no time.
+    """
+    of_day = F.substring(text, 11, 40)
+    has_offset = (F.instr(of_day, "+") > 0) | (F.instr(of_day, "-") > 0)
+    reading = F.when(has_offset, _utc_reading(F.try_to_timestamp(text))).otherwise(
+        text.try_cast("timestamp_ntz")
+    )
+    return F.when(F.instr(of_day, ":") > 0, reading)
 
 
 def hour_floor(wall: Column) -> Column:

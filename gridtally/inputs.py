@@ -13,7 +13,7 @@ from gridtally.functions import clock
 from gridtally.plans import event_savings
 
 # Events per document at most, so that assembling one is bounded work.
-EVENTS_PER_DOCUMENT = 1_000
+EVENTS_PER_DOCUMENT = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -408,7 +408,7 @@ def statements() -> dict[str, str]:
         ),
         "q_document_load_report": """
             select case when user_id % 29 = 28 then 'rejected' else 'loaded' end as status,
-              count(distinct (user_id, event_id // 1000)) as n_documents,
+              count(distinct (user_id, event_id // 100000)) as n_documents,
               count(*) filter (where user_id % 29 <> 28) as n_values,
               cast(0 as bigint) as n_unreadable
             from events group by 1""",

@@ -40,11 +40,18 @@ def flatten(documents: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     )
 
 
-def in_event_window(hourly: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
-    """Rows between two local times, both included."""
-    low = F.lit(start.isoformat(" ")).cast("timestamp_ntz")
-    high = F.lit(end.isoformat(" ")).cast("timestamp_ntz")
-    return hourly.filter(F.col("time").between(low, high))
+def in_event_window(
+    hourly: DataFrame, start: dt.datetime, end: dt.datetime, zone: str = clock.DENVER
+) -> DataFrame:
+    """Rows between two local times, both included, compared as instants.
+
+    The two bounds move to UTC, once; the rows need no local time for this.
+    """
+    low, high = [
+        clock.local_to_utc(F.lit(t.isoformat(" ")).cast("timestamp_ntz"), zone)
+        for t in (start, end)
+    ]
+    return hourly.filter(F.col("time_utc").between(low, high))
 
 
 def site_savings(hourly: DataFrame) -> DataFrame:
