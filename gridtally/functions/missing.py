@@ -85,9 +85,9 @@ def distinct_with_null(*columns: Column) -> Column:
     return F.count_distinct(F.struct(*columns))
 
 
-def sign_label(value: Column, zero_or_less: str = "Inactive", positive: str = "Active") -> Column:
+def sign_label(value: Column) -> Column:
     """Activity label; a NULL value keeps a NULL label, so there is no ``otherwise``."""
-    return F.when(value > 0, positive).when(value <= 0, zero_or_less)
+    return F.when(value > 0, "Active").when(value <= 0, "Inactive")
 
 
 def nulls_last(*names: str) -> list[Column]:
