@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.llm import chat, mixing, pii
+from gridtally.llm import chat, mixing, pii, simhash
 from gridtally.llm.common import checkpointed, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", simhash.hexadecimal(F.col("code")).alias("fingerprint"), "component_id"
+    )
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sizes = table(spark, folder, "documents").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")
@@ -78,6 +84,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op3_simhash": op3_simhash,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
 }
