@@ -9,12 +9,35 @@ shuffle, and a hot node's edges meet it in a join that adaptive execution can sp
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtally.llm.common import checkpointed
 
 
+def smallest_linked(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of ``n`` rows of one task the smallest row that links reach.
+
+    ``links`` are arrays of row pairs; they are read one after the other and not kept.
+    """
+    root = np.arange(n)
+    for a, b in links:
+        while True:
+            low = np.minimum(root[a], root[b])
+            apart = (root[a] != low) | (root[b] != low)
+            if not apart.any():
+                break
+            a, b, low = a[apart], b[apart], low[apart]
+            for side in (root[a], root[b], a, b):
+                np.minimum.at(root, side, low)
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
 def _linked(edges: DataFrame, near: str, far: str) -> DataFrame:
     """Links ``far`` of each edge to the smallest of ``near`` and all its ``far``."""
     smallest = edges.groupBy(F.col(near).alias("_at")).agg(

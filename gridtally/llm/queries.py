@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.llm import chat, mixing, pii, simhash
+from gridtally.llm import chat, mixing, pii, simhash, topk, vectors
 from gridtally.llm.common import checkpointed, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,15 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sizes = table(spark, folder, "documents").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")
@@ -85,6 +94,8 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
+    "op4_vectors": op4_vectors,
+    "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
 }

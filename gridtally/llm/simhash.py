@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gridtally.llm.common import checkpointed
-from gridtally.llm.components import components
+from gridtally.llm.components import components, smallest_linked
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -166,23 +166,6 @@ def _links(codes: np.ndarray, group: np.ndarray, max_bits: int) -> Iterator[tupl
             pending.append((at - 1, query[near], child[near], bits[near]))
 
 
-def _forest(codes: np.ndarray, group: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each row the smallest row it is linked to, over any number of links."""
-    root = np.arange(len(codes))
-    for a, b in _links(codes, group, max_bits):
-        while True:
-            low = np.minimum(root[a], root[b])
-            open_ = (root[a] != low) | (root[b] != low)
-            if not open_.any():
-                break
-            a, b, low = a[open_], b[open_], low[open_]
-            for side in (root[a], root[b], a, b):
-                np.minimum.at(root, side, low)
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 def _search(max_bits: int):
     """Turns rows sorted by node and Gray rank into links of each row to its root."""
 
@@ -193,7 +176,7 @@ def _search(max_bits: int):
         def links(rows: pd.DataFrame) -> pd.DataFrame:
             group = rows.groupby(keys, sort=False).ngroup().to_numpy()
             codes = rows["code"].to_numpy()
-            root = _forest(codes.view(np.uint64), group, max_bits)
+            root = smallest_linked(len(codes), _links(codes.view(np.uint64), group, max_bits))
             moved = root != np.arange(len(root))
             return pd.DataFrame({"u": codes[moved], "v": codes[root[moved]]})
 
