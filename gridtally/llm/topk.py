@@ -156,6 +156,8 @@ def _answers(tree: BallTree, rows: pd.DataFrame, k: int) -> pd.DataFrame:
         queries = queries[:, : tree.rows.shape[1]]
     bounds = tree.bounds(queries)
     known = rows["known"].to_numpy(dtype=np.float64, na_value=-np.inf)
+    # A long that no double equals may have been rounded up.
+    known = np.where(np.abs(known) < _EXACT, known, np.nextafter(known, -np.inf))
     hits = [
         (int(query_id), -minus_id, score)
         for query_id, query, bound, least in zip(rows["vec_id"], queries, bounds, known)
