@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.llm import chat, mixing, pii, simhash, topk, vectors
+from gridtally.llm import chat, licenses, mixing, pii, simhash, topk, toxicity, vectors
 from gridtally.llm.common import checkpointed, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", simhash.hexadecimal(F.col("code")).alias("fingerprint"), "component_id"
@@ -91,13 +95,38 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    base = F.transform("base_places", lambda p: p["label"])
+    starts = F.transform("base_places", lambda p: p["start"])
+    both = F.concat(base, F.transform("spans", lambda s: s["label"]))
+
+    def written(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        written(base).alias("base_labels"),
+        written(both).alias("labels"),
+        F.when(F.size("base_places") > 0, 1.0)
+        .otherwise(F.least(F.col("coverage"), F.lit(1.0)))
+        .alias("score"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_vectors": op4_vectors,
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLES: dict[str, str] = {}
