@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.llm import chat, licenses, mixing, pii, simhash, topk, toxicity, vectors
+from gridtally.llm import (
+    chat,
+    html_text,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    simhash,
+    topk,
+    toxicity,
+    vectors,
+)
 from gridtally.llm.common import checkpointed, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +62,10 @@ def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, folder, "embeddings"))
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text")
+
+
 def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
@@ -118,15 +133,21 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_vectors": op4_vectors,
+    "op5_html": op5_html,
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -226,9 +226,10 @@ def link_fingerprints(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """``doc_id``, ``code`` (its fingerprint) and ``component_id`` for each document.
+    """``doc_id``, ``code`` (its fingerprint), ``root`` and ``component_id`` per document.
 
-    ``component_id`` is the smallest id that links reach, the document's own included.
+    ``component_id`` is the smallest id that links reach, the document's own included;
+    ``root`` is the smallest fingerprint of the group.
     """
     coded = checkpointed(
         docs.select("doc_id", fingerprints(F.col("text"), shingle_words).alias("code"))
@@ -240,8 +241,47 @@ def near_duplicates(
     )
     ids = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # A text without near duplicates needs no look-up beyond its fingerprint.
-    of_code = grouped.join(ids, "root").select("code", "component_id")
-    return coded.join(of_code, "code").select("doc_id", "code", "component_id")
+    of_code = grouped.join(ids, "root").select("code", "root", "component_id")
+    return coded.join(of_code, "code").select("doc_id", "code", "root", "component_id")
+
+
+def representatives(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id.
+
+    Of rows that share this id and lie in the same group, the one with the smallest text
+    stays; where no row of a group has an id, the one with the smallest text.
+    """
+    found = near_duplicates(docs, shingle_words, max_bits)
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    by_id = (
+        found.groupBy("doc_id")
+        .agg(F.count("*").alias("rows"), F.max(keeps).alias("keeps"))
+        .where("keeps")
+        .select(
+            F.col("doc_id").alias("kept_id"),
+            ((F.col("rows") == 1) & F.col("doc_id").isNotNull()).alias("alone"),
+        )
+    )
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"))
+    kept = rows.join(by_id, F.col("own_id").eqNullSafe(F.col("kept_id")))
+    # An id of several rows, or NULL, says nothing about a row; its fingerprint does.
+    groups = found.where(keeps).select(
+        F.col("doc_id").alias("group_id"), F.col("code").alias("group_code"), "root"
+    )
+    smallest = (
+        kept.where("not alone")
+        .withColumn("code", fingerprints(F.col("doc.text"), shingle_words))
+        .join(
+            groups.distinct(),
+            F.col("own_id").eqNullSafe(F.col("group_id")) & (F.col("code") == F.col("group_code")),
+        )
+        .groupBy("own_id", "root")
+        .agg(F.min_by("doc", F.struct(F.col("doc.text"), F.xxhash64("doc"))).alias("doc"))
+    )
+    alone = kept.where("alone").select("doc")
+    return alone.unionByName(smallest.select("doc")).select("doc.*")
 
 
 def hexadecimal(code: Column) -> Column:
