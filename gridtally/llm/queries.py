@@ -20,6 +20,9 @@ from gridtally.llm import (
     vectors,
 )
 from gridtally.llm.common import checkpointed, table, word_count
+from gridtally.llm.oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,4 +153,3 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
