@@ -139,7 +139,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             grads = np.stack(
                 [np.bincount(at, pull[:, f], len(used)) for f in range(RANK)], axis=1
             )
-            grads += VECTOR_PENALTY * own_v
+            grads = grads + VECTOR_PENALTY * own_v
             v_seen[used] += grads**2
             v[used] = own_v - RATE / 4 * grads / np.sqrt(v_seen[used])
             slope = float(error.sum())
