@@ -6,8 +6,9 @@ about as frequent in toxic as in other documents are left out. The machine has a
 weigh pairs of terms: two terms that are harmless alone can be an insult together.
 
 It is fitted on a bounded sample: of each class the ``CLASS_ROWS`` labelled documents
-that come first in a pseudo-random order of their ids. Only their term numbers come to
-the driver. All documents are scored, whole, where they lie; nothing is shuffled.
+that come first in a pseudo-random order of their ids. Spark counts their terms; only the
+telling terms, at most ``MAX_TERMS``, and which of them each document of the sample has
+come to the driver. All documents are scored, whole, where they lie; nothing is shuffled.
 
 Cases: a NULL text is empty; a text without known terms has the score of the intercept.
 A document id with several labels is toxic if one of them says so; NULL labels and labels
@@ -29,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gridtally.llm.common import checkpointed
+
 THRESHOLD = 0.3
 #: Lengths of word beginnings that are terms.
 PREFIXES = (3, 4, 5)
 #: Documents learned from, at most, of the toxic and of the other labelled ones.
 CLASS_ROWS = {1: 6_000, 0: 12_000}
 #: Terms in fewer documents of the sample, or whose frequencies in the two classes differ
-#: by less than this log-likelihood ratio, are not learned.
-MIN_DOCUMENTS, MIN_RATIO = 3, 15.0
+#: by less than this log-likelihood ratio, are not learned; nor are more than so many terms.
+MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 3, 15.0, 20_000
 RANK = 4
 EPOCHS, BATCH, RATE = 12, 64, 0.2
 #: How fast weights and vectors shrink.
@@ -79,37 +82,14 @@ class Machine:
 NOTHING = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)), -30.0)
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms, ascending, whose frequencies tell the two classes apart."""
-    number, count = np.unique(np.concatenate(rows), return_counts=True)
-    often = count >= MIN_DOCUMENTS
-    number, count = number[often], count[often].astype(np.float64)
-    toxic = np.concatenate([row for row, label in zip(rows, labels) if label])
-    at = np.searchsorted(number, toxic)
-    at = at[(at < len(number)) & (number[np.minimum(at, len(number) - 1)] == toxic)]
-    in_toxic = np.bincount(at, minlength=len(number)).astype(np.float64)
-
-    def ratio(part: np.ndarray, whole: float, share: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(part))
-        for seen, expected in ((part, whole * share), (whole - part, whole * (1 - share))):
-            some = seen > 0
-            out[some] += seen[some] * np.log(seen[some] / expected[some])
-        return 2 * out
-
-    share = count / len(rows)
-    n_toxic = float(labels.sum())
-    told = ratio(in_toxic, n_toxic, share) + ratio(count - in_toxic, len(rows) - n_toxic, share)
-    return number[told >= MIN_RATIO]
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Learns by stochastic gradients with a step size of its own for each number."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Machine:
+    """Learns by stochastic gradients with a step size of its own for each weight.
+
+    ``numbers`` are the terms to learn, ascending; a row has the places of its terms there.
+    """
     if len(set(labels.tolist())) < 2 or not any(map(len, rows)):
         return NOTHING
-    numbers = _telling(rows, labels)
     n = len(numbers)
-    rows = [np.flatnonzero(np.isin(numbers, row)) for row in rows]
-
     rng = np.random.default_rng(SEED)
     share = labels.mean()
     intercept = float(np.log(share / (1 - share)))
@@ -153,6 +133,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
+def _telling(learned: DataFrame) -> np.ndarray:
+    """The terms, ascending, whose frequencies tell the two classes apart."""
+    n = {r.toxic: r.rows for r in learned.groupBy("toxic").agg(F.count("*").alias("rows")).collect()}
+    if len(n) < 2:
+        return np.zeros(0, np.int64)
+    share = F.col("seen") / float(n[0] + n[1])
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+
+    ratio = F.lit(0.0)
+    for seen, rows in ((F.col("toxic"), n[1]), (F.col("seen") - F.col("toxic"), n[0])):
+        ratio += 2 * part(seen, share * rows) + 2 * part(rows - seen, (1 - share) * rows)
+    told = (
+        learned.select("toxic", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("toxic"), F.count("*").alias("seen"))
+        .where(F.col("seen") >= MIN_DOCUMENTS)
+        .withColumn("ratio", ratio)
+        .where(F.col("ratio") >= MIN_RATIO)
+        .orderBy(F.desc("ratio"), "term")
+        .limit(MAX_TERMS)
+    )
+    return np.array(sorted(r.term for r in told.collect()), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted on the sample; ``labels`` has ``doc_id`` and ``toxic``."""
     known = (
@@ -169,23 +175,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     ]
     sample = F.broadcast(parts[0].unionByName(parts[1]))
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.drop(columns="text").assign(terms=[terms(t) for t in batch["text"]])
 
-    learned = (
+    learned = checkpointed(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
-        .mapInPandas(numbered, "doc_id long, toxic int, terms array<int>")
+        .mapInPandas(with_terms, "doc_id long, toxic int, terms array<int>")
         .groupBy("doc_id", "toxic")
         .agg(F.min("terms").alias("terms"))
-        .toPandas()
-        .sort_values("doc_id")
     )
-    if learned.empty:
-        return NOTHING
-    rows = [np.asarray(t, np.int64) for t in learned["terms"]]
-    return fit(rows, learned["toxic"].to_numpy(np.float64))
+    numbers = _telling(learned)
+
+    def with_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = [np.flatnonzero(np.isin(numbers, t)) for t in batch["terms"]]
+            yield batch.drop(columns="terms").assign(places=places)
+
+    rows = sorted(
+        learned.mapInPandas(with_places, "doc_id long, toxic int, places array<int>").collect()
+    )
+    return fit(
+        [np.array(r.places, np.int64) for r in rows],
+        np.array([r.toxic for r in rows], np.float64),
+        numbers,
+    )
 
 
 def score(text: Column, machine: Machine) -> Column:

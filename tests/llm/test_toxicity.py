@@ -49,7 +49,9 @@ def test_pairs_of_terms_count():
         a, b = i % 2, i // 2 % 2
         rows.append(toxicity.terms("x" + " insult" * a + " group" * b))
         labels.append(float(a and b))
-    machine = toxicity.fit(rows, np.array(labels))
+    numbers = np.unique(np.concatenate(rows)).astype(np.int64)
+    places = [np.flatnonzero(np.isin(numbers, row)) for row in rows]
+    machine = toxicity.fit(places, np.array(labels), numbers)
     place = {int(t): p for p, t in enumerate(machine.numbers)}
 
     def score(text):
