@@ -40,6 +40,8 @@ CLASS_ROWS = {1: 6_000, 0: 12_000}
 #: Terms in fewer documents of the sample, or whose frequencies in the two classes differ
 #: by less than this log-likelihood ratio, are not learned; nor are more than so many terms.
 MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 3, 15.0, 20_000
+#: What part of the sample toxic documents weigh, whatever their number.
+TOXIC_SHARE = 0.2
 RANK = 4
 EPOCHS, BATCH, RATE = 12, 64, 0.2
 #: How fast weights and vectors shrink.
@@ -91,8 +93,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Mach
         return NOTHING
     n = len(numbers)
     rng = np.random.default_rng(SEED)
-    share = labels.mean()
-    intercept = float(np.log(share / (1 - share)))
+    weight = np.where(labels > 0, TOXIC_SHARE / labels.mean(), (1 - TOXIC_SHARE) / (1 - labels.mean()))
+    intercept = float(np.log(TOXIC_SHARE / (1 - TOXIC_SHARE)))
     w, w_seen = np.zeros(n), np.full(n, 1e-6)
     v, v_seen = rng.normal(0, 0.01, (n, RANK)), np.full((n, RANK), 1e-6)
     intercept_seen = 1e-6
@@ -110,7 +112,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Mach
             squares = np.bincount(doc, (of_term**2).sum(axis=1), len(batch))
             z = intercept + np.bincount(doc, own_w[at], len(batch))
             z += ((sums**2).sum(axis=1) - squares) / 2
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch])
+            error *= weight[batch] / len(batch)
             per_term = error[doc]
             grad = np.bincount(at, per_term, len(used)) + WEIGHT_PENALTY * own_w
             w_seen[used] += grad**2
