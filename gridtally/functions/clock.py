@@ -46,14 +46,16 @@ def utc_from_parts(year: Column, month: Column, day: Column, hour: Column) -> Co
 def utc_from_text(text: Column) -> Column:
     """UTC time from ISO text with or without a zone; no zone means UTC, junk is NULL.
 
-    Text without an offset, or with ``Z``, is its own UTC reading. Only an offset
-    after the date needs an instant, and the trip over its microseconds keeps the
-    session zone out of it. A date alone is no time.
+    Text without a zone, or with ``Z``, is its own UTC reading. An offset or a named
+    zone needs an instant, and the trip over its microseconds keeps the session zone
+    out of it. A date alone is no time.
     """
-    of_day = F.substring(text, 11, 40)
-    has_offset = (F.instr(of_day, "+") > 0) | (F.instr(of_day, "-") > 0)
-    reading = F.when(has_offset, _utc_reading(F.try_to_timestamp(text))).otherwise(
-        text.try_cast("timestamp_ntz")
+    of_day = F.substring(text, 11, 60)
+    zone = F.trim(F.translate(of_day, "0123456789:.T", ""))
+    # Nothing is left of the time of day but its zone; a zone's letter T goes as well.
+    plain = zone.isin("", "Z")
+    reading = F.when(plain, text.try_cast("timestamp_ntz")).otherwise(
+        _utc_reading(F.try_to_timestamp(text))
     )
     return F.when(F.instr(of_day, ":") > 0, reading)
 

@@ -47,6 +47,17 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def lost_total(value: Column) -> Column:
+    """What :func:`exact_total` cuts off, in units of 1e-18: a bigint that sums to a sign.
+
+    What is no more than the rounding of the double itself counts as nothing.
+    """
+    kept = F.rint(value * F.lit(float(_BILLION))) / F.lit(float(_BILLION))
+    lost = value - kept
+    noise = F.abs(value) * F.lit(1e-15)
+    return F.sum(F.when(F.abs(lost) > noise, F.rint(lost * F.lit(1e18)).cast("bigint")).otherwise(0))
+
+
 def strict_sum(value: Column) -> Column:
     """Sum of a double column that is NULL if any row of the group is NULL."""
     return F.when(F.count(F.lit(1)) == F.count(value), exact_total(value))
@@ -90,6 +101,16 @@ def sign_label(value: Column) -> Column:
     return F.when(value > 0, "Active").when(value <= 0, "Inactive")
 
 
+def total_label(total: Column, lost: Column) -> Column:
+    """Activity label of an exact total and what was cut off from it.
+
+    The cut part decides where the total is too small for nine decimals.
+    """
+    unit = F.lit("0.000000000000000001").cast("decimal(18,18)")
+    whole = total.cast("decimal(38,18)") + lost.cast("decimal(20,0)") * unit
+    return sign_label(whole)
+
+
 def nulls_last(*names: str) -> list[Column]:
     """Ascending sort keys with NULL at the end."""
     return [F.asc_nulls_last(name) for name in names]

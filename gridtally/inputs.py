@@ -13,7 +13,10 @@ from gridtally.functions import clock
 from gridtally.plans import event_savings
 
 # Events per document at most, so that assembling one is bounded work.
-EVENTS_PER_DOCUMENT = 100_000
+EVENTS_PER_DOCUMENT = 1_000
+
+# Some orders with negative savings stand for customers that are listed very often.
+REPEATED, REPEATS = "o_orderkey < 12 and o_totalprice < 100000", 2_500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,14 +78,15 @@ def savings_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly reads in UTC parts."""
+    """Hourly reads in UTC parts; some sites always read the same, so totals are shared."""
     return table(spark, folder, "lineitem").selectExpr(
         "cast(l_partkey as string) as account_id",
         "year(l_shipdate) as year",
         "month(l_shipdate) as month",
         "day(l_shipdate) as day",
         "cast(l_quantity as int) % 24 as hour",
-        "if(l_orderkey % 211 = 0, null, l_extendedprice / 10000.0D) as kwh",
+        """if(l_orderkey % 211 = 0, null,
+             if(l_partkey % 7 = 0, 0.125D, l_extendedprice / 10000.0D)) as kwh""",
     )
 
 
@@ -94,8 +98,11 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampling frame: one row per customer with savings of either sign."""
-    return table(spark, folder, "orders").selectExpr(
+    """Sampling frame: customers with savings of either sign, some of them listed very often."""
+    listed = table(spark, folder, "orders").selectExpr(
+        "*", f"explode(sequence(1, if({REPEATED}, {REPEATS}, 1))) as k"
+    )
+    return listed.selectExpr(
         "concat(o_orderkey, '_AMI') as item_id",
         "(o_totalprice - 100000.0D) / 1000.0D as metered_savings",
     )
@@ -115,6 +122,8 @@ def vendor(spark: SparkSession, folder: str) -> DataFrame:
 def model_documents(spark: SparkSession, folder: str) -> DataFrame:
     """JSON model outputs as ``file_name, text``, assembled from the events of a user.
 
+    Some values are no numbers, some times are none, and some documents are broken.
+
     A user's events are cut into runs by event number, one document per run, all
     under the user's file name as if in separate folders: however active a user
     is, no document holds more than ``EVENTS_PER_DOCUMENT`` events.
@@ -122,8 +131,15 @@ def model_documents(spark: SparkSession, folder: str) -> DataFrame:
     entries = table(spark, folder, "events").selectExpr(
         "user_id",
         f"event_id div {EVENTS_PER_DOCUMENT} as run",
-        r"""concat('"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), '":',
-              if(event_id % 101 = 0, 'null', cast(value as string))) as entry""",
+        r"""concat('"', case event_id % 1013
+                when 7 then concat('unknown ', event_id)
+                when 8 then date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS'+00:00'")
+                when 9 then date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS 'Etc/UTC'")
+                else date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") end, '":',
+              if(event_id % 101 = 0, 'null', case event_id % 1009
+                when 1 then '"NaN"' when 2 then '1e19' when 3 then '"3d"'
+                when 4 then '"text"' when 5 then '[1]'
+                else cast(value as string) end)) as entry""",
     )
     grouped = entries.groupBy("user_id", "run").agg(
         F.concat_ws(",", F.collect_list("entry")).alias("entries")
@@ -131,6 +147,24 @@ def model_documents(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.selectExpr(
         "concat('metered_savings_', user_id, '.txt') as file_name",
         """case when user_id % 29 = 28 then '{bad'
+             when user_id % 31 = 30 then concat('{"metered_savings":{', entries, '}} junk')
+             when user_id % 37 = 36 then concat('{"metered_savings":{', entries, '}}{"a":1}')
+             when user_id % 41 = 40 then '  '
              when user_id % 2 = 0 then concat('{"data":{"metered_savings":{', entries, '}}}')
              else concat('{"metered_savings":{', entries, '}}') end as text""",
     )
+
+
+def unknown_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of unknown shape: a few fields of several types, not all in every one."""
+    return table(spark, folder, "events").selectExpr(
+        """concat(substring(props, 1, length(props) - 1), ', "site": "', user_id, '"',
+             if(event_id % 3 = 0, ', "checked": true', ''), '}') as text"""
+    )
+
+
+def updated_exports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """One export per event; that of event 3 lacks a column."""
+    updated = savings(spark, folder).filter("not initial_export").drop("initial_export")
+    exports = {e: updated.filter(F.col("event") == e) for e in event_savings.EVENT_FLAGS}
+    return {**exports, "Event 3": exports["Event 3"].drop("non_responsive")}

@@ -1,20 +1,21 @@
 """Whole analyses, from files to report folders.
 
 Each job reads its inputs, writes every table of one analysis below an output
-folder, and returns the tables. A table that several reports need is written once
-as Parquet and read back, so no report recomputes it and a lost executor costs
-only its own tasks.
+folder, and returns the tables. Files are read, and documents parsed, once: what
+several reports need is written as Parquet and read back, so no report recomputes it
+and a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.functions import clock
+from gridtally.functions import clock, missing
 from gridtally.plans import event_savings, meter_reads, model_compare, samples
 from gridtally.sources import documents
 from gridtally.sources.sinks import write_csv, write_table
@@ -95,14 +96,20 @@ def event_savings_report(
     )
     clean = write_table(prepared, f"{out}/savings_clean", "event")
 
+    # Small tables from which others follow are written, so the savings are not read again.
+    combined = write_table(event_savings.interval_combined(clean), f"{out}/intervals")
+    by_label = write_table(event_savings.exact_by_event_label(clean), f"{out}/label_intervals")
+    in_order = missing.nulls_last("event", "interval")
     tables = {
-        "summary": event_savings.interval_by_row_sign(clean),
-        "summary_by_event_label": event_savings.interval_by_event_label(clean),
+        "summary": combined.drop("n_active", "n_inactive").orderBy(*in_order),
+        "summary_by_event_label": event_savings.interval_by_event_label(clean, by_label),
         "event_totals": event_savings.event_totals(clean),
-        "response_counts": event_savings.response_counts(clean),
-        "combined": event_savings.interval_combined(clean),
-        "event_rounded_totals": event_savings.event_rounded_totals(clean),
-        "all_filters": event_savings.interval_keys(clean),
+        "response_counts": combined.drop(
+            "mw_reduction_active", "mw_reduction_inactive"
+        ).orderBy(*in_order),
+        "combined": combined.orderBy(*in_order),
+        "event_rounded_totals": event_savings.event_rounded_totals(clean, by_label),
+        "all_filters": combined.select("event", "interval").orderBy(*in_order),
         "flag_fanout": event_savings.flag_fanout(customers),
         "updated_savings": event_savings.site_export(clean),
     }
@@ -125,15 +132,25 @@ def event_savings_report(
 
 
 def meter_read_report(
-    spark: SparkSession, reads_path: str, sites_path: str, out: str, zone: str = clock.DENVER
+    spark: SparkSession,
+    reads_path: str,
+    sites_path: str,
+    out: str,
+    zone: str = clock.DENVER,
+    extract: tuple[Sequence[str], dt.date] | None = None,
 ) -> dict[str, DataFrame]:
-    """Month, day and hour totals, distinct readings, coverage and duplicate checks."""
+    """Month, day and hour totals, distinct readings, coverage and duplicate checks.
+
+    ``extract`` names sites and a local day whose hours are written as well.
+    """
     reads = read_hourly_reads(spark, reads_path)
     sites = read_csv(spark, sites_path, SITE_COLUMNS)
-    site_reads = meter_reads.reads_of_sites(reads, sites)
-    local = meter_reads.local_reads(site_reads, zone)
+    # The file is read once; every report reads the table of the sites' reads.
+    kept = meter_reads.with_local_time(meter_reads.reads_of_sites(reads, sites), zone)
+    timed = write_table(kept, f"{out}/site_reads")
+    site_reads, local = timed.drop("local"), meter_reads.local_parts(timed)
 
-    # Reads are scanned once for the hours; days and months add up from them.
+    # Days and months add up from the hours.
     hours = write_table(meter_reads.read_totals(local, "hour"), f"{out}/hour_totals", "year")
     days = meter_reads.coarser_totals(hours, "day")
     months = meter_reads.coarser_totals(hours, "month")
@@ -141,10 +158,13 @@ def meter_read_report(
         "summary_month": meter_reads.in_time_order(months, "month"),
         "summary_day": meter_reads.in_time_order(days, "day"),
         "summary_hour": meter_reads.in_time_order(hours, "hour"),
-        "distinct_readings": meter_reads.distinct_readings(local),
+        "distinct_readings": meter_reads.distinct_readings(local, hours),
         "duplicate_reads": meter_reads.duplicate_reads(site_reads),
         "site_coverage": meter_reads.site_coverage(sites, site_reads),
+        "same_month_totals": meter_reads.same_month_totals(local),
     }
+    if extract is not None:
+        tables["extract"] = meter_reads.hourly_extract(site_reads, *extract, zone=zone)
     _write_all(tables, out)
     return tables
 
@@ -157,11 +177,14 @@ def model_report(
 ) -> dict[str, DataFrame]:
     """Model outputs per site next to the vendor's estimates."""
     texts = documents.read_savings_documents(spark, documents_folder)
-    parsed = documents.parse_savings(texts)
+    # Documents are read and parsed once, and compared with the vendor once.
+    parsed = write_table(documents.parse_savings(texts), f"{out}/parsed_documents")
     modelled = write_table(
         model_compare.site_savings(model_compare.flatten(parsed)), f"{out}/site_savings"
     )
-    compared = model_compare.model_vs_vendor(modelled, read_frame(spark, frame_path))
+    compared = write_table(
+        model_compare.model_vs_vendor(modelled, read_frame(spark, frame_path)), f"{out}/compared"
+    )
     tables = {
         "savings_processed": compared,
         "site_ids": modelled.select(F.col("id").alias("model_id")),

@@ -4,7 +4,8 @@ Every row gets an MD5 key from a seed and its content, and the rows with the
 smallest keys of a stratum are its sample. Identical rows are numbered, so each
 copy has a key of its own and copies are drawn one by one like any other row.
 
-A first pass counts rows by the leading digits of their keys. That yields the
+The keyed rows are written once, after the only shuffle of the frame. A first
+pass over them counts rows by the leading digits of their keys. That yields the
 stratum sizes and, exactly, a key prefix under which just over the wanted number
 of rows lie. The draw itself keeps only those rows before it ranks them: what a
 stratum sends to one task grows with the sample, not with the table.
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtally.functions.missing import EXACT
+from gridtally.operators.checkpoints import checkpointed
 
-# Identical rows expanded by one task before the work is spread out.
-COPIES_PER_BLOCK = 50_000
+# Identical rows expanded where they were counted; further ones are spread out.
+COPIES_PER_BLOCK = 1_000
 
 
 class SampleTooLarge(ValueError):
@@ -43,7 +45,7 @@ def draw(
     all of it is returned. Strata absent from ``sizes`` give no rows.
     """
     wanted = frame.select(stratum, *columns).filter(F.col(stratum).isin(*sizes))
-    keyed = _with_keys(wanted, columns, seed, stratum, copies_per_block)
+    keyed = checkpointed(_with_keys(wanted, columns, seed, stratum, copies_per_block))
     cutoffs = _cutoffs(keyed, stratum, sizes, strict)
     if not cutoffs:
         return keyed.select(stratum, *columns).filter(F.lit(False))
@@ -79,24 +81,24 @@ def _with_keys(
     """One row per row of ``frame``, with its key.
 
     Copies are first counted (combined map-side, so a row repeated very often is
-    one row per task) and then numbered. Long runs of copies are cut into blocks
-    and the blocks shuffled, so no task expands a whole run.
+    one row per task) and then numbered, in blocks. The first block of a row is
+    expanded in place, the further ones after a shuffle of the blocks, so no task
+    expands a whole run.
     """
     counted = frame.groupBy(stratum, *columns).agg(F.count(F.lit(1)).alias("_copies"))
-    short = counted.filter(F.col("_copies") <= block).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy")
-    )
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(block).cast("long"))
-    starts = counted.filter(F.col("_copies") > block).select("*", F.explode(blocks).alias("_start"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(block).cast("long"))
+    further = counted.select(
+        "*", F.explode(F.slice(starts, 2, F.size(starts))).alias("_start")
+    ).repartition(stratum, *columns, "_start")
+    blocks = counted.withColumn("_start", F.lit(0).cast("long")).unionByName(further)
     last = F.least(F.col("_start") + block, F.col("_copies")) - 1
-    spread = starts.repartition(stratum, *columns, "_start")
-    long = spread.select(
-        stratum, *columns, "_copies", F.explode(F.sequence("_start", last)).alias("_copy")
+    copies = blocks.select(
+        stratum, *columns, F.explode(F.sequence("_start", last)).alias("_copy")
     )
     kinds = {name: kind for name, kind in frame.dtypes if name in columns}
     ordered = {name: kinds[name] for name in columns}
     key = row_key(seed, ordered, F.col("_copy")).alias("_key")
-    return short.unionByName(long).select(stratum, *columns, key)
+    return copies.select(stratum, *columns, key)
 
 
 def _cutoffs(

@@ -66,6 +66,7 @@ def left_join_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     below an aggregate on the left and make the two halves compute it twice.
     """
     marked = right.select(*keys).distinct().withColumn("_matched", F.lit(True))
-    unmatched = left_join(left, marked, keys).filter("_matched is null").drop("_matched")
+    flagged = left_join(left, marked, keys)
+    unmatched = flagged.filter("_matched is null").drop("_matched")
     matched = inner_join(left, right, keys)
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -1,13 +1,14 @@
 """Exact quantiles of a column too large for one task.
 
 Spark's ``percentile`` keeps every distinct value in one final aggregate. Here a
-quantile sketch proposes a narrow range around each wanted rank, one counting
-pass proves where the rank lies relative to that range, and only when the rows
-strictly inside are few are they looked at one by one. The sketch steers the
-search; every answer rests on exact counts, so a poor sketch costs another pass
-and never a wrong value. Each pass is a map-side aggregate that sends one row
-per task. A value shared by very many rows sits on the edge of its range and is
-resolved by its count alone.
+quantile sketch proposes a narrow range around each wanted rank, and one counting
+pass proves where the rank lies relative to that range; the next round looks
+inside. The sketch steers the search; every answer rests on exact counts, so a
+poor sketch costs another pass and never a wrong value. The ends of a proposed
+range are values of the column that the next range leaves out, so every round
+leaves fewer rows and the search ends. Each pass is a map-side aggregate that
+sends one row per task. A value shared by very many rows sits on the edge of its
+range and is resolved by its count alone. All sizes take this one path.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.functions.missing import nan_to_null
+
 SKETCH_ACCURACY = 10_000
-MAX_LISTED = 20_000
 
 
 @dataclass
@@ -54,15 +56,14 @@ def exact_quantiles(
     column: str,
     probabilities: Sequence[float],
     accuracy: int = SKETCH_ACCURACY,
-    max_listed: int = MAX_LISTED,
 ) -> list[float | None]:
     """Quantiles with linear interpolation between neighbouring rows (type 7).
 
-    NULLs are ignored; an empty column gives ``None`` for every probability.
-    Runs a few jobs that read one column and bring back a bounded number of rows
-    (at most ``max_listed`` per wanted rank, whatever the size of ``df``).
+    NULLs and NaNs are ignored; an empty column gives ``None`` for every probability.
+    Runs a few jobs that read one column and bring back one row each.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    given = nan_to_null(F.col(column).cast("double"))
+    values = df.select(given.alias("x")).filter("x is not null")
     x = F.col("x")
     total, low, high, minus_inf, plus_inf = values.agg(
         F.count(x),
@@ -85,14 +86,9 @@ def exact_quantiles(
     while True:
         found |= {r.rank: r.answer for r in open_ranges if r.answer is not None}
         open_ranges = [r for r in open_ranges if r.answer is None]
-        wide = [r for r in open_ranges if r.inner_rows > max_listed]
-        if not wide:
+        if not open_ranges:
             break
-        narrowed = _narrow(values, x, wide, accuracy)
-        open_ranges = [r for r in open_ranges if r.inner_rows <= max_listed] + narrowed
-
-    if open_ranges:
-        found |= _list_inner(values, x, open_ranges)
+        open_ranges = _narrow(values, x, open_ranges, accuracy)
     return [_interpolate(found, h) for h in positions]
 
 
@@ -128,25 +124,6 @@ def _narrow(values: DataFrame, x: Column, ranges: list[_Range], accuracy: int) -
     return narrowed
 
 
-def _list_inner(values: DataFrame, x: Column, ranges: list[_Range]) -> dict[int, float]:
-    """Resolve ranks whose ranges hold few rows by walking the distinct values."""
-    inside = F.lit(False)
-    for r in ranges:
-        inside = inside | r.inner(x)
-    listed = sorted(tuple(row) for row in values.filter(inside).groupBy("x").count().collect())
-
-    found = {}
-    for r in ranges:
-        seen = r.up_to_low
-        for value, count in listed:
-            if r.low < value < r.high:
-                seen += count
-                if r.rank < seen:
-                    found[r.rank] = value
-                    break
-    return found
-
-
 def _interpolate(found: dict[int, float], position: float) -> float:
     below, above = found[math.floor(position)], found[math.ceil(position)]
     share = position - math.floor(position)

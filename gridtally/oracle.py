@@ -13,9 +13,7 @@ N_NEGATIVE = 100
 N_PER_QUARTILE = 225
 N_SIMPLE = 1_400
 # Looking at three sites on one day is the whole point of that query.
-EXTRACT_IDS = ("108", "160", "33")
-EXTRACT_DAY = "2001-01-26"
-SHARED_TOTAL_PLACES = 1
+N_EXTRACT = 3
 WINDOW = ("2024-01-12 13:00:00", "2024-01-12 16:00:00")
 
 _DENVER = "((({0}) at time zone 'UTC') at time zone 'America/Denver')"
@@ -131,11 +129,16 @@ _BLOCKS["responses"] = """
       count(*) filter (where non_responsive = true) as n_inactive
     from eligible group by event, "interval" """
 
+# Documents that hold one object and nothing else.
+_LOADED = "user_id % 29 <> 28 and user_id % 31 <> 30 and user_id % 37 <> 36 and user_id % 41 <> 40"
+
 _BLOCKS["hourly"] = f"""
     select cast(user_id as varchar) as id,
-      {_DENVER.format("ts")} as "time",
-      case when event_id % 101 = 0 then 0.0::double else value end as savings
-    from events where user_id % 29 <> 28"""
+      case when event_id % 1013 <> 7 then {_DENVER.format("ts")} end as "time",
+      case when event_id % 101 = 0 then 0.0::double
+        when event_id % 1009 between 1 and 5 then null else value end as savings,
+      event_id % 101 <> 0 and event_id % 1009 between 1 and 5 as unreadable
+    from events where {_LOADED}"""
 
 _BLOCKS["modelled"] = f"""
     select id, cast({_strict("savings")} as double) as model_metered_savings
@@ -157,7 +160,8 @@ _BLOCKS["reads"] = """
     select cast(l_partkey as varchar) as account_id,
       cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
       cast(day(l_shipdate) as int) as day, cast(l_quantity as int) % 24 as hour,
-      case when l_orderkey % 211 = 0 then null else l_extendedprice / 10000.0 end as kwh
+      case when l_orderkey % 211 = 0 then null when l_partkey % 7 = 0 then 0.125::double
+        else l_extendedprice / 10000.0 end as kwh
     from lineitem"""
 
 _BLOCKS["sites"] = """
@@ -177,7 +181,8 @@ _BLOCKS["local_reads"] = f"""
 _BLOCKS["frame"] = """
     select cast(o_orderkey as varchar) || '_AMI' as item_id,
       (o_totalprice - 100000.0) / 1000.0 as metered_savings
-    from orders"""
+    from (select *, unnest(range(case when o_orderkey < 12 and o_totalprice < 100000
+                                 then 2500 else 1 end)) from orders)"""
 
 _BLOCKS["ordered"] = """
     select metered_savings as x, row_number() over (order by metered_savings) - 1 as r,
@@ -275,7 +280,6 @@ def _rung(name: str, condition: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    ids = ", ".join(f"'{i}'" for i in EXTRACT_IDS)
     bins = ", ".join(
         f"""('rows_in_bin', '{q}', (select cast(count(*) as double) from binned
         where bin = '{q}'))"""
@@ -306,6 +310,13 @@ def statements() -> dict[str, str]:
               cast({_sum0("metered_savings")} as double) as total_kwh
             from savings where initial_export group by event""",
         ),
+        "q_updated_union": _with(
+            ["savings"],
+            f"""select event, count(*) as n_rows,
+              cast({_sum0("metered_savings")} as double) as total_kwh,
+              count(case when event <> 'Event 3' then non_responsive end) as n_flagged
+            from savings where not initial_export group by event""",
+        ),
         "q_savings_clean": _with(["clean"], "select * from clean"),
         "q_site_export": _with(
             ["clean"],
@@ -370,7 +381,7 @@ def statements() -> dict[str, str]:
             ["eligible"], 'select event, "interval" from eligible group by event, "interval"'
         ),
         "q_model_flatten": _with(
-            ["hourly"], 'select id, "time", savings, false as unreadable from hourly'
+            ["hourly"], 'select id, "time", savings, unreadable from hourly'
         ),
         "q_model_site_savings": _with(["modelled"], "select * from modelled"),
         "q_model_vs_vendor": _with(["compared"], "select * from compared"),
@@ -406,16 +417,27 @@ def statements() -> dict[str, str]:
             where "time" >= timestamp '{WINDOW[0]}' and "time" <= timestamp '{WINDOW[1]}'
             group by id""",
         ),
-        "q_document_load_report": """
-            select case when user_id % 29 = 28 then 'rejected' else 'loaded' end as status,
-              count(distinct (user_id, event_id // 100000)) as n_documents,
-              count(*) filter (where user_id % 29 <> 28) as n_values,
-              cast(0 as bigint) as n_unreadable
+        "q_document_load_report": f"""
+            select case when {_LOADED} then 'loaded' else 'rejected' end as status,
+              count(distinct (user_id, event_id // 1000)) as n_documents,
+              count(*) filter (where {_LOADED}) as n_values,
+              count(*) filter (where {_LOADED} and event_id % 101 <> 0
+                and event_id % 1009 between 1 and 5) as n_unreadable,
+              count(*) filter (where {_LOADED} and event_id % 1013 = 7) as n_unreadable_times
             from events group by 1""",
         "q_hourly_profile": """
-            select key as field, count(*) as n_documents, type from (
-              select unnest(json_keys(props)) as key, 'BIGINT' as type from events)
-            group by key, type""",
+            with texts as (
+              select left(props, length(props) - 1) || ', "site": "' || user_id || '"'
+                || case when event_id % 3 = 0 then ', "checked": true' else '' end || '}' as doc
+              from events
+            ), fields as (
+              select key, json_type(doc, '$.' || key) as type
+              from (select doc, unnest(json_keys(doc)) as key from texts)
+            )
+            select key as field, count(*) as n_documents,
+              case max(type) when 'UBIGINT' then 'BIGINT' when 'VARCHAR' then 'STRING'
+                else max(type) end as type
+            from fields group by key""",
         "q_reads_local": _with(
             ["local_reads"], "select id, year, month, day, hour, kwh from local_reads"
         ),
@@ -436,8 +458,14 @@ def statements() -> dict[str, str]:
         ),
         "q_reads_extract": _with(
             ["local_reads"],
-            f"""select * from ({_totals("year, month, day, hour")})
-            where id in ({ids}) and make_date(year, month, day) = date '{EXTRACT_DAY}'""",
+            f""", first_sites as (
+              select distinct id from local_reads order by id limit {N_EXTRACT}
+            ), last_day as (
+              select max(cast(t as date)) as day from local_reads
+              where id in (select id from first_sites))
+            select * from ({_totals("year, month, day, hour")})
+            where id in (select id from first_sites)
+              and make_date(year, month, day) = (select day from last_day)""",
         ),
         "q_site_coverage": _with(
             ["sites", "site_reads"],
@@ -449,8 +477,7 @@ def statements() -> dict[str, str]:
             ["local_reads"],
             f"""select year, month, cast(total as double) as total_kwh, id, n_sites from (
               select *, count(*) over (partition by year, month, total) as n_sites from (
-                select id, year, month,
-                  round_even({_strict("kwh")}, {SHARED_TOTAL_PLACES}) as total
+                select id, year, month, {_strict("kwh")} as total
                 from local_reads group by id, year, month)
               where total is not null)
             where n_sites > 1""",

@@ -167,23 +167,23 @@ def interval_keys(clean: DataFrame) -> DataFrame:
 
 def customer_activity(clean: DataFrame) -> DataFrame:
     """Savings and activity label per meter and event; one unknown hour makes both unknown."""
-    total = missing.strict_sum(F.col("savings_mw"))
+    total, lost = missing.strict_sum(F.col("savings_mw")), missing.lost_total(F.col("savings_mw"))
     return clean.groupBy("meter_id", "event").agg(
         missing.to_double(total).alias("total_event_activity"),
-        missing.sign_label(total).alias("activity_label"),
+        missing.total_label(total, lost).alias("activity_label"),
     )
 
 
 def customer_activity_skipping_unknown(clean: DataFrame) -> DataFrame:
     """The same, with unknown hours left out of the total."""
-    total = missing.sum_or_zero(F.col("savings_mw"))
+    total, lost = missing.sum_or_zero(F.col("savings_mw")), missing.lost_total(F.col("savings_mw"))
     return clean.groupBy("meter_id", "event").agg(
         missing.to_double(total).alias("event_savings"),
-        missing.sign_label(total).alias("customer_activity"),
+        missing.total_label(total, F.coalesce(lost, F.lit(0))).alias("customer_activity"),
     )
 
 
-def _interval_by_event_label(clean: DataFrame) -> DataFrame:
+def exact_by_event_label(clean: DataFrame) -> DataFrame:
     """Rounded (still decimal) MW per event and interval, split by the meter's label.
 
     The label needs the meter's whole event, the table needs its intervals. Rows
@@ -195,11 +195,16 @@ def _interval_by_event_label(clean: DataFrame) -> DataFrame:
     known = F.count("savings_mw") == F.count(F.lit(1))
     combined = clean.groupBy(
         "meter_id", "event", "interval", "bad_meter", "in_event_info", "non_responsive"
-    ).agg(missing.sum_or_zero(F.col("savings_mw")).alias("mw"), known.alias("known"))
+    ).agg(
+        missing.sum_or_zero(F.col("savings_mw")).alias("mw"),
+        missing.lost_total(F.col("savings_mw")).alias("lost"),
+        known.alias("known"),
+    )
 
     whole_event = Window.partitionBy("meter_id", "event")
     total = F.when(F.min("known").over(whole_event), F.sum("mw").over(whole_event))
-    labelled = combined.withColumn("activity_label", missing.sign_label(total))
+    lost = F.sum("lost").over(whole_event)
+    labelled = combined.withColumn("activity_label", missing.total_label(total, lost))
 
     mw = F.col("mw")
     responsive = ~F.col("non_responsive")
@@ -214,9 +219,12 @@ def _interval_by_event_label(clean: DataFrame) -> DataFrame:
     )
 
 
-def interval_by_event_label(clean: DataFrame) -> DataFrame:
-    """MW per event and interval, split by the meter's label for the whole event."""
-    table = _interval_by_event_label(clean).select(
+def interval_by_event_label(clean: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """MW per event and interval, split by the meter's label for the whole event.
+
+    ``exact`` is the table of :func:`exact_by_event_label`, if it is at hand.
+    """
+    table = (exact_by_event_label(clean) if exact is None else exact).select(
         "event",
         "interval",
         missing.to_double(F.col("mw_reduction_active")).alias("mw_reduction_active"),
@@ -225,9 +233,10 @@ def interval_by_event_label(clean: DataFrame) -> DataFrame:
     return table.orderBy(*missing.nulls_last("event", "interval"))
 
 
-def event_rounded_totals(clean: DataFrame) -> DataFrame:
+def event_rounded_totals(clean: DataFrame, exact: DataFrame | None = None) -> DataFrame:
     """Per event, the sum of the *rounded* interval values (MW, despite the names)."""
-    return _interval_by_event_label(clean).groupBy("event").agg(
+    table = exact_by_event_label(clean) if exact is None else exact
+    return table.groupBy("event").agg(
         missing.to_double(F.sum("mw_reduction_active")).alias("total_kwh_active"),
         missing.to_double(F.sum("mw_reduction_inactive")).alias("total_kwh_inactive"),
     )

@@ -33,22 +33,31 @@ def reads_of_sites(reads: DataFrame, sites: DataFrame) -> DataFrame:
     return semi_join(named, sites.withColumnRenamed("model_id", "id"), ["id"])
 
 
+def with_local_time(site_reads: DataFrame, zone: str = clock.DENVER) -> DataFrame:
+    """The same rows with their local wall clock, ``local``; unknown if the parts name no hour."""
+    utc = clock.utc_from_parts(*[F.col(part) for part in PARTS])
+    at_utc = site_reads.withColumn("utc", utc)
+    return at_utc.withColumn("local", clock.utc_to_local(F.col("utc"), zone)).drop("utc")
+
+
+def local_parts(timed: DataFrame) -> DataFrame:
+    """Reads as ``id, year, month, day, hour, kwh`` of the local clock, from ``local``."""
+    return timed.select(
+        "id",
+        F.year("local").alias("year"),
+        F.month("local").alias("month"),
+        F.dayofmonth("local").alias("day"),
+        F.hour("local").alias("hour"),
+        "kwh",
+    )
+
+
 def local_reads(site_reads: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     """The same rows with the time parts of the local clock.
 
     Reads whose parts name no real hour keep their row with unknown parts.
     """
-    utc = clock.utc_from_parts(*[F.col(part) for part in PARTS])
-    at_utc = site_reads.select("id", "kwh", utc.alias("utc"))
-    at = at_utc.select("id", "kwh", clock.utc_to_local(F.col("utc"), zone).alias("at"))
-    return at.select(
-        "id",
-        F.year("at").alias("year"),
-        F.month("at").alias("month"),
-        F.dayofmonth("at").alias("day"),
-        F.hour("at").alias("hour"),
-        "kwh",
-    )
+    return local_parts(with_local_time(site_reads, zone))
 
 
 def read_totals(local: DataFrame, grain: str) -> DataFrame:
@@ -83,19 +92,24 @@ def in_time_order(totals: DataFrame, grain: str) -> DataFrame:
     return totals.orderBy(*missing.nulls_last(*GRAINS[grain], "id"))
 
 
-def distinct_readings(local: DataFrame) -> DataFrame:
+def distinct_readings(local: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Distinct readings and sites per local hour, and readings per site.
 
-    Counts go through one row per hour and distinct value, so an hour with very
-    many reads is not gathered in one task.
+    Two counts, each over one row per hour and distinct value, so an hour with very
+    many reads is not gathered in one task. ``hours`` are the hour totals, if they are
+    at hand; they list the sites of each hour without another look at the reads.
     """
-    wall = clock.utc_from_parts(*[F.col(part) for part in PARTS])
-    counted = local.groupBy(wall.alias("timestamp")).agg(
-        missing.distinct_with_null(F.col("kwh")).alias("unique_kwh_readings"),
-        missing.distinct_with_null(F.col("id")).alias("unique_sites"),
-    )
+
+    def counted(rows: DataFrame, column: str, name: str) -> DataFrame:
+        wall = clock.utc_from_parts(*[F.col(part) for part in PARTS])
+        distinct = rows.select(wall.alias("timestamp"), column).distinct()
+        return distinct.groupBy("timestamp").agg(F.count(F.lit(1)).alias(name))
+
+    readings = counted(local, "kwh", "unique_kwh_readings")
+    sites = counted(local if hours is None else hours, "id", "unique_sites")
+    both = inner_join(readings, sites, ["timestamp"])
     ratio = F.try_divide("unique_kwh_readings", "unique_sites")
-    return counted.withColumn("kwh_readings_per_site", ratio).orderBy(
+    return both.withColumn("kwh_readings_per_site", ratio).orderBy(
         *missing.nulls_last("timestamp")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtally.functions import clock, missing
 from gridtally.functions.ids import meter_id, site_of_document
+from gridtally.functions.numbers import number_from_text
 from gridtally.operators.joins import left_join_many
 from gridtally.sources.documents import unreadable_value
 
@@ -30,7 +31,7 @@ def flatten(documents: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     pairs = exploded.filter("time_text is not null")
     utc = clock.utc_from_text(F.col("time_text"))
     value = F.col("value")
-    savings = F.when(value.isNull(), F.lit(0.0)).otherwise(value.try_cast("double"))
+    savings = F.when(value.isNull(), F.lit(0.0)).otherwise(number_from_text(value))
     return pairs.select(
         site_of_document(F.col("file_name")).alias("id"),
         utc.alias("time_utc"),
@@ -70,7 +71,7 @@ def model_vs_vendor(modelled: DataFrame, vendor: DataFrame) -> DataFrame:
     estimates = vendor.select(
         meter_id(F.col("item_id")).alias("id"),
         "item_id",
-        F.col("metered_savings").alias("vendor_estimation"),
+        missing.nan_to_null(F.col("metered_savings")).alias("vendor_estimation"),
     )
     joined = left_join_many(modelled, estimates, ["id"])
     gap = F.abs(F.col("model_metered_savings") - F.col("vendor_estimation"))
@@ -114,12 +115,12 @@ def difference_histogram(compared: DataFrame, width: float = 0.1) -> DataFrame:
     )
 
 
-def linear_fit(compared: DataFrame, places: int = 6) -> DataFrame:
-    """Least-squares line of the model's estimate on the vendor's."""
+def linear_fit(compared: DataFrame) -> DataFrame:
+    """Least-squares line of the model's estimate on the vendor's, unrounded."""
     y, x = "model_estimation", "vendor_estimation"
     return compared.agg(
-        F.round(F.regr_slope(y, x), places).alias("slope"),
-        F.round(F.regr_intercept(y, x), places).alias("intercept"),
-        F.round(F.regr_r2(y, x), places).alias("r2"),
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+        F.regr_r2(y, x).alias("r2"),
         F.regr_count(y, x).alias("n_sites"),
     )

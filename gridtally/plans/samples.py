@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.functions.missing import EXACT
+from gridtally.functions.missing import EXACT, nan_to_null
 from gridtally.operators.draws import draw
 from gridtally.operators.quantiles import exact_quantiles
 
@@ -23,7 +23,8 @@ SIMPLE_SEED = 12
 
 
 def _savings() -> Column:
-    return F.col("metered_savings")
+    """Savings; NaN is missing, and Spark would take it for the largest number."""
+    return nan_to_null(F.col("metered_savings"))
 
 
 @dataclass(frozen=True)

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtally.functions import clock
+from gridtally.functions.numbers import number_from_text
+
 # Families of model output, told apart by a mark in the path.
 SAVINGS_FAMILY = "metered_savings_"
 HOURLY_FAMILY = "hourly_model_full_output_"
 
 # Values stay text while parsing: one odd value must not cost the whole document.
 _SAVINGS = "metered_savings MAP<STRING, STRING>"
-_SCHEMA = f"data STRUCT<{_SAVINGS}>, {_SAVINGS}, _corrupt STRING"
+_SCHEMA = f"ARRAY<STRUCT<data STRUCT<{_SAVINGS}>, {_SAVINGS}>>"
 
 LOADED, REJECTED = "loaded", "rejected"
 
@@ -59,15 +62,18 @@ def parse_savings(documents: DataFrame, unwrap: bool = True) -> DataFrame:
     """Add ``status`` and the ``savings`` map (time text to value text) of each document.
 
     With ``unwrap``, a document's ``data`` envelope is used whenever it is there,
-    even if it holds no savings. Malformed and empty documents are ``rejected``.
+    even if it holds no savings. Malformed and empty documents are ``rejected``, and
+    so is a document with anything behind its object: the text is parsed as the only
+    element of a list, because the parser stops reading behind a whole object.
     """
-    parsed = F.from_json("text", _SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-    frame = documents.withColumn("_json", parsed)
-    sound = F.col("_json").isNotNull() & F.col("_json._corrupt").isNull()
-    savings = F.col("_json.metered_savings")
+    parsed = F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), _SCHEMA)
+    frame = documents.withColumn("_list", parsed)
+    first = F.get("_list", F.lit(0))
+    sound = F.coalesce((F.size("_list") == 1) & first.isNotNull(), F.lit(False))
+    savings = first["metered_savings"]
     if unwrap:
-        inner = F.col("_json.data.metered_savings")
-        savings = F.when(F.col("_json.data").isNotNull(), inner).otherwise(savings)
+        inner = first["data"]["metered_savings"]
+        savings = F.when(first["data"].isNotNull(), inner).otherwise(savings)
     return frame.select(
         *documents.columns,
         F.when(sound, LOADED).otherwise(REJECTED).alias("status"),
@@ -81,19 +87,26 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def unreadable_value(value: Column) -> Column:
-    """A value that is present but no number (text, list or object)."""
-    return value.isNotNull() & value.try_cast("double").isNull()
+    """A value that is present but no number, or one too large to be added up."""
+    return value.isNotNull() & number_from_text(value).isNull()
+
+
+def unreadable_time(text: Column) -> Column:
+    return clock.utc_from_text(text).isNull()
 
 
 def load_report(parsed: DataFrame) -> DataFrame:
-    """Documents per status, with their values and the values that are no numbers."""
-    values = F.map_values("savings")
+    """Documents per status, with their values and what could not be read of them."""
+    values, times = F.map_values("savings"), F.map_keys("savings")
+
+    def total(items: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.size(items)), F.lit(0)).alias(name)
+
     return parsed.groupBy("status").agg(
         F.count(F.lit(1)).alias("n_documents"),
-        F.coalesce(F.sum(F.size(values)), F.lit(0)).alias("n_values"),
-        F.coalesce(F.sum(F.size(F.filter(values, unreadable_value))), F.lit(0)).alias(
-            "n_unreadable"
-        ),
+        total(values, "n_values"),
+        total(F.filter(values, unreadable_value), "n_unreadable"),
+        total(F.filter(times, unreadable_time), "n_unreadable_times"),
     )
 
 
@@ -101,9 +114,12 @@ def load_report(parsed: DataFrame) -> DataFrame:
 
 
 def parse_any(documents: DataFrame) -> DataFrame:
-    """Documents as ``VARIANT``; malformed text gives NULL."""
+    """Documents as ``VARIANT``; malformed text, and text behind the document, gives NULL."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]")))
+    second = F.try_variant_get(wrapped, "$[1]", "variant")
+    only = F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
     return documents.select(
-        *[c for c in documents.columns if c != "text"], F.try_parse_json("text").alias("document")
+        *[c for c in documents.columns if c != "text"], only.alias("document")
     )
 
 

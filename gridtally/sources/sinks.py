@@ -1,8 +1,9 @@
-"""Report sinks: CSV folders, with ``NA`` for missing values."""
+"""Report sinks: CSV folders, with ``NA`` for missing values and ``TRUE`` and ``FALSE``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridtally.sources.tables import MISSING
 
@@ -13,7 +14,10 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, one_file: bool
     ``one_file`` is for report tables with a handful of rows per event or site
     count; leave it off for anything that grows with the readings.
     """
-    out = df.coalesce(1) if one_file else df
+    words = {
+        name: F.upper(F.col(name).cast("string")) for name, kind in df.dtypes if kind == "boolean"
+    }
+    out = (df.coalesce(1) if one_file else df).withColumns(words)
     out.write.mode("overwrite").csv(
         path, header=True, nullValue=MISSING, quoteAll=quote_all, escape='"'
     )

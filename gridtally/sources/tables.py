@@ -11,7 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.functions import clock, missing
+from gridtally.functions import clock
+from gridtally.functions.numbers import integer_from_text, number_from_text
 
 # Spellings of a missing cell and of the two truth values.
 MISSING = "NA"
@@ -66,9 +67,9 @@ def _typed(cell: Column, kind: str, blank_is_null: bool) -> Column:
         case "string":
             return text
         case "double":
-            return missing.nan_to_null(text.try_cast("double"))
+            return number_from_text(text)
         case "int":
-            return text.try_cast("double").try_cast("int")
+            return integer_from_text(text)
         case "boolean":
             return F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False)
         case "utc":

@@ -135,3 +135,22 @@ def test_meter_ids(spark):
 def test_document_ids(spark):
     names = ["metered_savings_ab1.txt", "metered_savings_a.txt.txt", "x.txt"]
     assert column(spark, names, "string", ids.site_of_document) == ["ab1", "a", "x"]
+
+
+@pytest.mark.parametrize(
+    ("text", "utc"),
+    [
+        ("2024-07-12 13:00:00 America/Denver", "2024-07-12 19:00:00"),
+        ("2024-07-12T13:00:00-06:00", "2024-07-12 19:00:00"),
+        ("2024-07-12 13:00:00 Etc/UTC", "2024-07-12 13:00:00"),
+        ("2024-07-12T13:00:00Z", "2024-07-12 13:00:00"),
+        ("2024-07-12 13:00:00.25", "2024-07-12 13:00:00.25"),
+        ("2024-07-12 13:00:00 Nowhere/Land", None),
+        ("2024-07-12", None),
+        ("unknown 7", None),
+    ],
+)
+def test_zones_are_honoured_or_missing(spark, zone_of_session, text, utc):
+    df = spark.createDataFrame([(text,)], "t string")
+    out = df.select(clock.utc_from_text(F.col("t")).cast("string").alias("u")).first()
+    assert out.u == utc

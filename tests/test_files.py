@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtally import jobs
+from gridtally.functions.numbers import integer_from_text, number_from_text
 from gridtally.plans import model_compare
 from gridtally.sources import documents, sinks
 from gridtally.sources.tables import read_csv
@@ -239,7 +240,7 @@ def test_rejects_and_report(spark, folder):
         "metered_savings_array.txt": "[1]",
     }
     report = {r.status: tuple(r)[1:] for r in documents.load_report(parsed).collect()}
-    assert report == {"loaded": (8, 12, 2), "rejected": (3, 0, 0)}
+    assert report == {"loaded": (8, 12, 2, 1), "rejected": (3, 0, 0, 0)}
 
 
 def test_documents_of_unknown_shape(spark, folder):
@@ -324,7 +325,7 @@ def test_event_savings_job(spark, tmp_path):
             ["Event 2", "14:00:00-15:00:00", "0.0", "0.0"],
         ],
     )
-    assert written(f"{out}/updated_savings")[1] == [["1", "true", "false", "false", "2000.0"]]
+    assert written(f"{out}/updated_savings")[1] == [["1", "TRUE", "FALSE", "FALSE", "2000.0"]]
     assert written(f"{out}/nonresponsive")[1] == [["Event 1", "13:00:00-14:00:00", "1", "1"]]
     assert written(f"{out}/all_filters")[0] == ["event", "interval"]
     assert tables["initial_totals"].first().total_kwh == 1000.0
@@ -350,7 +351,7 @@ def test_meter_read_job(spark, tmp_path):
         ["a", "2023", "7", "2", "1", "1", "4.0"],
         ["b", "2023", "7", "1", "0", "1", "NA"],
     ]
-    assert written(f"{out}/site_coverage")[1] == [["false", "1"], ["true", "2"]]
+    assert written(f"{out}/site_coverage")[1] == [["FALSE", "1"], ["TRUE", "2"]]
     assert written(f"{out}/duplicate_reads")[1] == [["a", "2023", "7", "1", "6", "2"]]
 
 
@@ -392,3 +393,42 @@ def test_generated_json_is_valid(spark, sf_small):
     for row in inputs.model_documents(spark, sf_small).limit(20).collect():
         if row.text != "{bad":
             json.loads(row.text)
+
+
+@pytest.mark.parametrize(
+    ("text", "status"),
+    [
+        ('{"metered_savings":{"a":1}}', "loaded"),
+        (' {"metered_savings":{"a":1}}\n', "loaded"),
+        ('{"metered_savings":{"a":1}} junk', "rejected"),
+        ('{"metered_savings":{"a":1}}{"metered_savings":{"a":5}}', "rejected"),
+        ('{"metered_savings":{"a":1}},{"metered_savings":{"a":5}}', "rejected"),
+        ('{"metered_savings":{"a":1}', "rejected"),
+        ("[1]", "rejected"),
+        ("  ", "rejected"),
+        (None, "rejected"),
+    ],
+)
+def test_only_one_whole_object_loads(spark, text, status):
+    df = spark.createDataFrame([("f.txt", text)], "file_name string, text string")
+    assert documents.parse_savings(df).first().status == status
+
+
+def test_values_that_are_no_numbers(spark):
+    good = {"1": 1.0, "-2.5": -2.5, "1e3": 1000.0, "+.5": 0.5, "3.": 3.0}
+    bad = ["NaN", "Infinity", "1e19", "3d", "4f", "text", "0x1", "1_000", ""]
+    df = spark.createDataFrame([(v,) for v in [*good, *bad]], "v string")
+    out = {r.v: r.n for r in df.select("v", number_from_text(F.col("v")).alias("n")).collect()}
+    assert out == {**good, **dict.fromkeys(bad)}
+    whole = {r.v: r.n for r in df.select("v", integer_from_text(F.col("v")).alias("n")).collect()}
+    assert whole["1"] == 1 and whole["1e3"] == 1000 and whole["-2.5"] is None
+
+
+def test_one_bad_value_does_not_stop_the_others(spark):
+    texts = ['{"metered_savings":{"2024-01-01 00:00:00":"NaN"}}', '{"metered_savings":{"2024-01-01 00:00:00":2}}']
+    df = spark.createDataFrame(
+        [(f"metered_savings_{i}.txt", t) for i, t in enumerate(texts)], "file_name string, text string"
+    )
+    hourly = model_compare.flatten(documents.parse_savings(df))
+    out = {r.id: r.model_metered_savings for r in model_compare.site_savings(hourly).collect()}
+    assert out == {"0": None, "1": 2.0}

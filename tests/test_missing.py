@@ -165,3 +165,16 @@ def test_semi_join_keeps_rows_once(sides):
     assert rows_of(joins.semi_join(left, right, ["k"]), "x") == [(1,), (3,), (4,)]
 
 
+
+
+@pytest.mark.parametrize(
+    ("values", "label"),
+    [([3e-10], "Active"), ([-3e-10], "Inactive"), ([0.03, -0.03], "Inactive"),
+     ([0.01, 0.02, -0.03], "Inactive"), ([1.0, -1.0, 4e-12], "Active"), ([2e-9, -3e-10], "Active"), ([None], None)],
+)
+def test_label_of_totals_below_nine_decimals(spark, values, label):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    total = df.agg(
+        missing.total_label(missing.strict_sum(F.col("x")), missing.lost_total(F.col("x"))).alias("l")
+    )
+    assert total.first().l == label
