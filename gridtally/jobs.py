@@ -176,9 +176,13 @@ def model_report(
     spark: SparkSession, documents_folder: str, frame_path: str, out: str
 ) -> dict[str, DataFrame]:
     """Model outputs per site next to the vendor's estimates."""
+    listed = documents.of_family(
+        documents.list_documents(spark, documents_folder), documents.SAVINGS_FAMILY
+    )
     texts = documents.read_savings_documents(spark, documents_folder)
     # Documents are read and parsed once, and compared with the vendor once.
-    parsed = write_table(documents.parse_savings(texts), f"{out}/parsed_documents")
+    read = write_table(documents.parse_savings(texts), f"{out}/parsed_documents")
+    parsed = documents.with_unread(read, listed)
     modelled = write_table(
         model_compare.site_savings(model_compare.flatten(parsed)), f"{out}/site_savings"
     )

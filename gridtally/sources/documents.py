@@ -23,27 +23,51 @@ _SCHEMA = f"ARRAY<STRUCT<data STRUCT<{_SAVINGS}>, {_SAVINGS}>>"
 LOADED, REJECTED = "loaded", "rejected"
 
 
-def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.txt`` files below ``folder`` as ``file_path, file_name, text``.
-
-    Raises when there are none. Files that vanish before they are read are
-    skipped. Spark's file sources do not see files of zero bytes, nor names that
-    start with ``.`` or ``_``; a file of blanks is seen, and rejected when parsed.
-    Many small files share a task; lower ``spark.sql.files.openCostInBytes`` to
-    pack more of them together.
-    """
-    files = (
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
         .option("ignoreMissingFiles", True)
         .text(folder, wholetext=True)
     )
-    if files.select(F.lit(1)).isEmpty():
+
+
+def _path(uri: Column) -> Column:
+    """The path of a URI: its escapes undone, but a literal plus sign is not one.
+
+    Local files are written with one slash by some of Spark's interfaces, with three by others.
+    """
+    one_form = F.regexp_replace(uri, "^file:/+", "file:///")
+    return F.url_decode(F.replace(one_form, F.lit("+"), F.lit("%2B")))
+
+
+def list_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_path, file_name`` of all ``*.txt`` files below ``folder``, empty ones included.
+
+    Names that start with ``.`` or ``_`` are not listed. Raises when there are none.
+    """
+    uris = _files(spark, folder).inputFiles()
+    if not uris:
+        raise ValueError(f"no .txt files found below {folder}")
+    path = _path(F.col("uri"))
+    return spark.createDataFrame([(uri,) for uri in uris], "uri string").select(
+        path.alias("file_path"), F.substring_index(path, "/", -1).alias("file_name")
+    )
+
+
+def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All ``*.txt`` files below ``folder`` as ``file_path, file_name, text``.
+
+    Raises when there are none. Files of zero bytes, and files that vanish before
+    they are read, give no row here; :func:`with_unread` adds them. A file of blanks
+    gives one, and is rejected when parsed. Many small files share a task; lower
+    ``spark.sql.files.openCostInBytes`` to pack more of them together.
+    """
+    files = _files(spark, folder)
+    if not files.inputFiles():
         raise ValueError(f"no .txt files found below {folder}")
-    # The path is a URI: undo its escapes, but a literal plus sign is not one.
-    uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return files.select(
-        F.url_decode(uri).alias("file_path"),
+        _path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("value").alias("text"),
     )
@@ -81,6 +105,13 @@ def parse_savings(documents: DataFrame, unwrap: bool = True) -> DataFrame:
     )
 
 
+def with_unread(parsed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Adds the listed files that gave no row, empty or vanished, as ``rejected``."""
+    unread = listed.join(parsed.select("file_path"), "file_path", "left_anti")
+    rejected = unread.withColumn("status", F.lit(REJECTED))
+    return parsed.unionByName(rejected, allowMissingColumns=True)
+
+
 def rejects(parsed: DataFrame) -> DataFrame:
     """Documents that could not be parsed, with their text."""
     return parsed.filter(F.col("status") == REJECTED).drop("savings")

@@ -165,11 +165,20 @@ def test_family_and_discovery(spark, folder):
     assert nested.file_path.endswith("/sub dir/deep+er/metered_savings_nested.txt")
 
 
-def test_zero_byte_files_are_not_seen(spark, tmp_path):
+def test_empty_and_vanished_files_are_rejected(spark, tmp_path):
     put(tmp_path / "docs", "metered_savings_a.txt", "{}")
-    put(tmp_path / "docs", "metered_savings_b.txt", "")
-    found = documents.read_savings_documents(spark, str(tmp_path / "docs"))
-    assert [r.file_name for r in found.collect()] == ["metered_savings_a.txt"]
+    put(tmp_path / "docs", "sub dir/metered_savings_b+c.txt", "")
+    put(tmp_path / "docs", "metered_savings_gone.txt", "{}")
+    folder = str(tmp_path / "docs")
+    listed = documents.list_documents(spark, folder)
+    texts = documents.read_savings_documents(spark, folder)
+    (tmp_path / "docs" / "metered_savings_gone.txt").unlink()
+    parsed = documents.with_unread(documents.parse_savings(texts), listed)
+    assert {(r.file_name, r.status) for r in parsed.collect()} == {
+        ("metered_savings_a.txt", "loaded"),
+        ("metered_savings_b+c.txt", "rejected"),
+        ("metered_savings_gone.txt", "rejected"),
+    }
 
 
 def test_family_matches_the_whole_path(spark, tmp_path):
@@ -325,6 +334,8 @@ def test_event_savings_job(spark, tmp_path):
             ["Event 2", "14:00:00-15:00:00", "0.0", "0.0"],
         ],
     )
+    reading = {n for n, t in tables.items() if t.inputFiles() and _reads_file(t, "savings_clean")}
+    assert reading == {"savings_clean", "event_totals", "updated_savings"}
     assert written(f"{out}/updated_savings")[1] == [["1", "TRUE", "FALSE", "FALSE", "2000.0"]]
     assert written(f"{out}/nonresponsive")[1] == [["Event 1", "13:00:00-14:00:00", "1", "1"]]
     assert written(f"{out}/all_filters")[0] == ["event", "interval"]
@@ -341,7 +352,12 @@ def test_meter_read_job(spark, tmp_path):
     )
     sites = put(tmp_path, "sites.csv", "model_id\na\nb\nc\n")
     out = str(tmp_path / "out")
-    jobs.meter_read_report(spark, reads, sites, out)
+    extract = (["a"], dt.date(2023, 7, 1))
+    tables = jobs.meter_read_report(spark, reads, sites, out, extract=extract)
+    # The reads are read once; every table comes from what was written then.
+    assert not any(_reads_file(table, "reads.csv") for table in tables.values())
+    assert written(f"{out}/extract")[1] == [["a", "2023", "7", "1", "0", "2", "2.25"]]
+    assert written(f"{out}/same_month_totals")[1] == []
     assert written(f"{out}/summary_month") == (
         ["id", "year", "month", "n_observations", "total_kwh"],
         [["a", "2023", "7", "3", "6.25"], ["b", "2023", "7", "1", "NA"]],
@@ -355,10 +371,17 @@ def test_meter_read_job(spark, tmp_path):
     assert written(f"{out}/duplicate_reads")[1] == [["a", "2023", "7", "1", "6", "2"]]
 
 
+def _reads_file(table, name):
+    return any(name in file for file in table.inputFiles())
+
+
 def test_model_job(spark, tmp_path, folder):
     frame = put(tmp_path, "frame.csv", "item_id,metered_savings\nflat_AMI,1\nwrapped_AMI,4\n")
     out = str(tmp_path / "out")
-    jobs.model_report(spark, folder, frame, out)
+    tables = jobs.model_report(spark, folder, frame, out)
+    # Documents are parsed once and the frame is read once.
+    assert not any(_reads_file(table, ".txt") for table in tables.values())
+    assert not any(_reads_file(table, "frame.csv") for table in tables.values())
     header, rows = written(f"{out}/savings_processed")
     assert header == [
         "sample_id",
@@ -369,6 +392,7 @@ def test_model_job(spark, tmp_path, folder):
     ]
     assert ["flat_AMI", "flat", "1.0", "1.5", "0.5"] in rows
     assert ["NA", "nested", "NA", "0.1", "NA"] in rows
+    assert ["NA", "twice", "NA", "3.0", "NA"] in rows  # both entries of one time
     assert written(f"{out}/mean_difference")[1] == [["NA", "1.25", "6", "2"]]
     assert len(written(f"{out}/rejects")[1]) == 3
     assert len(written(f"{out}/site_ids")[1]) == 6
@@ -432,3 +456,4 @@ def test_one_bad_value_does_not_stop_the_others(spark):
     hourly = model_compare.flatten(documents.parse_savings(df))
     out = {r.id: r.model_metered_savings for r in model_compare.site_savings(hourly).collect()}
     assert out == {"0": None, "1": 2.0}
+

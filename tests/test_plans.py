@@ -29,6 +29,16 @@ def test_plans_stay_in_the_engine(spark, sf_small, name):
         assert forbidden not in plan
 
 
+@pytest.mark.parametrize(
+    "name", ["q_model_site_savings", "q_model_vs_vendor", "q_mean_abs_diff", "q_diff_histogram", "q_model_fit"]
+)
+def test_documents_are_parsed_once(spark, sf_small, name):
+    plan = plan_of(entry_point.queries()[name](spark, sf_small))
+    # The comparisons read the site totals, which are written before.
+    assert plan.count("from_json") == (1 if name == "q_model_site_savings" else 0)
+    assert scans(plan, "events") <= 1
+
+
 def scans(plan, table):
     return len(re.findall(rf"FileScan parquet \[[^\n]*/{table}\.parquet", plan))
 
@@ -39,7 +49,14 @@ def test_tables_are_scanned_once(spark, sf_small):
         plan = plan_of(queries[name](spark, sf_small))
         assert scans(plan, "events") == 1, name
         assert scans(plan, "customer") == 1, name
-    assert scans(plan_of(queries["q_reads_hour"](spark, sf_small)), "lineitem") == 1
+    for name, table in (
+        ("q_reads_hour", "lineitem"),
+        ("q_initial_union", "events"),
+        ("q_site_coverage", "lineitem"),
+        ("q_site_coverage", "part"),
+    ):
+        assert scans(plan_of(queries[name](spark, sf_small)), table) == 1, name
+    assert "Expand" not in plan_of(queries["q_reads_distinct"](spark, sf_small))
 
 
 def test_scans_read_only_what_is_used(spark, sf_small):
