@@ -1,11 +1,12 @@
 """DuckDB SQL for the rows of the queries that SQL can express.
 
 The remaining queries have none: SQL has no XXH64 (op3), no fitted model (op2), no HTML
-parser (op5), no search that may leave out a pair (op4), no bin packing (op10), no look
-around in patterns (op1) and no bounded way to hash every run of words (op9). Tests hold
-them against brute force.
+parser (op5), no search that may leave out a pair (op4), no bin packing (op10) and no look
+around in patterns (op1). Tests hold them against brute force.
 """
 
+from gridtally.llm import licenses
+
 TOP_K = r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as w
@@ -109,4 +110,75 @@ from marked
 group by conv_id
 """
 
-ORACLES = {"op6_topk": TOP_K, "op7_mixing": MIXING, "op8_chat": CHAT}
+_TEMPLATES = ",\n    ".join(
+    f"({number}, '{label}', {number < len(licenses.BASE)}, '{phrase}')"
+    for number, (label, phrase) in enumerate(licenses.BASE + licenses.NOTICES)
+)
+
+# Runs of words are compared as words here.
+LICENSES = rf"""
+with templates as (
+  select number, label, base, regexp_extract_all(lower(phrase), '[a-z0-9]+') as words
+  from (values
+    {_TEMPLATES}) as t(number, label, base, phrase)
+), template_runs as (
+  select number, label, base, len(words) as length, i as place, words[i + 1:i + 3] as run
+  from templates, unnest(range(len(words) - 2)) as r(i)
+), docs as (
+  select doc_id,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), runs as (
+  select doc_id, i as pos, words[i + 1:i + 3] as run
+  from docs, unnest(range(greatest(len(words) - 2, 0))) as r(i)
+), diagonals as (
+  select doc_id, number, label, base, length, pos - place as diagonal, list(distinct place) as votes,
+         list_distinct(flatten(list(range(place, place + 3)))) as covered
+  from runs join template_runs using (run)
+  group by all
+), marked as (
+  select *,
+         case when diagonal - lag(diagonal) over (partition by doc_id, number order by diagonal)
+                   <= {licenses.NEIGHBOURS} then 0 else 1 end as opens
+  from diagonals
+), banded as (
+  select *, sum(opens) over (partition by doc_id, number order by diagonal) as band from marked
+), bands as (
+  select doc_id, number, label, length,
+         case when max(diagonal + list_max(covered)) + 1 - min(diagonal + list_min(covered))
+                   <= length * {licenses.STRETCH} + {licenses.MORE_WORDS}
+              then len(list_distinct(flatten(list(covered)))) else max(len(covered)) end
+           / length::double as share
+  from banded group by doc_id, number, label, length, band
+), places as (
+  select doc_id, label, diagonal from diagonals where base and len(votes) = length - 2
+), based as (
+  select doc_id, count(*) as n, min(diagonal) as first, max(diagonal) as last,
+         string_agg(distinct label, ',' order by label) as labels
+  from places group by doc_id
+), labelled as (
+  select doc_id, string_agg(distinct label, ',' order by label) as labels
+  from (select doc_id, label from places
+        union all select doc_id, label from bands where share >= {licenses.MIN_COVERAGE})
+  group by doc_id
+), best as (
+  select doc_id, max(share) as share from bands group by doc_id
+)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base,
+       b.first::bigint as first_word, b.last::bigint as last_word,
+       coalesce(b.labels, '') as base_labels, coalesce(l.labels, '') as labels,
+       case when b.n > 0 then 1.0::double else least(coalesce(m.share, 0), 1)::double end as score
+from docs d
+left join based b on b.doc_id = d.doc_id
+left join labelled l on l.doc_id = d.doc_id
+left join best m on m.doc_id = d.doc_id
+"""
+
+ORACLES = {
+    "op6_topk": TOP_K,
+    "op7_mixing": MIXING,
+    "op8_chat": CHAT,
+    "op9_licenses": LICENSES,
+}
