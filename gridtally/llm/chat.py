@@ -85,7 +85,8 @@ def _pieces(blocks: Column) -> Column:
 
     def of_block(block: Column) -> Column:
         def text(t: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.concat(F.lit(START), _escape_role(block["role"]), F.lit("\n")))
+            opening = F.concat(F.lit(START), _escape_role(block["role"]), F.lit("\n"))
+            before = F.when(i == 0, opening)
             piece = F.struct(escape(t).alias("piece"), block["role"].alias("role"))
             return F.array(mark(before.otherwise(F.lit(PART))), piece)
 
@@ -156,7 +157,9 @@ def read_turns(formatted: Column) -> Column:
         )
 
     blocks = F.split(formatted, r"<\|im_start\|>", -1)
-    return F.flatten(F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), of_block))
+    # Nothing stands in front of the first marker.
+    written = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
+    return F.flatten(F.transform(written, of_block))
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:

@@ -85,7 +85,9 @@ _NOT_SHOWN = set(
     "head script style template noscript title iframe object embed video audio canvas "
     "noembed noframes datalist param rp area base link meta".split()
 )
-_MARGINS = set("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre xmp table figure hr fieldset".split())
+_MARGINS = set(
+    "p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre xmp table figure hr fieldset".split()
+)
 _BLOCKS = _MARGINS | set(
     "address article aside body center details dialog dd div dt figcaption footer form header "
     "hgroup html legend li main nav option optgroup search section summary tr caption".split()

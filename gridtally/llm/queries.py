@@ -31,11 +31,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_spans(table(spark, folder, "documents"), "doc_id")
 
     def written(spans: Column) -> Column:
-        parts = F.transform(
-            spans,
-            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
-        )
-        return F.array_join(parts, ",")
+        def part(s: Column) -> Column:
+            return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+        return F.array_join(F.transform(spans, part), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
 

@@ -71,10 +71,12 @@ def _codes(length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per code a rotation and the directions of both halves."""
     rng = np.random.default_rng([SEED, length])
     half = (length + 1) // 2
-    # A half of few components has few directions that differ.
-    n = min(DIRECTIONS, 2**half)
+    # A half of few components has few directions that differ, one of one component two.
+    n = min(DIRECTIONS, 4**half)
 
     def directions() -> np.ndarray:
+        if half == 1:
+            return np.array([[1.0], [-1.0]])
         drawn = rng.standard_normal((n, half))
         return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
 

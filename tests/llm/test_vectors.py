@@ -112,3 +112,17 @@ def test_top_k_of_the_given_table(spark):
     queries = [i for i in ids if i % 100 == 0]
     found = topk.top_k(frame, frame.where("vec_id % 100 = 0"))
     assert sorted(map(tuple, found.collect())) == sorted(_best(list(table["embedding"]), ids, queries, 10))
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 8, 16, 64, 100])
+def test_filters_meet_at_the_threshold(length):
+    """Pairs at a cosine of just over 0.9, in few and in many dimensions."""
+    rng = np.random.default_rng(length)
+    one = vectors.unit(rng.standard_normal((200, length)))
+    other = one
+    if length > 1:
+        away = rng.standard_normal((200, length))
+        away -= (away * one).sum(axis=1)[:, None] * one
+        other = 0.9001 * one + np.sqrt(1 - 0.9001**2) * vectors.unit(away)
+    pairs = zip(vectors.filters(one), vectors.filters(other))
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) >= 0.97
