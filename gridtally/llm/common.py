@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtally.operators.checkpoints import checkpointed
+
+__all__ = [
+    "WORD", "checkpointed", "let", "lower_ascii", "start_offsets", "table", "word_count",
+]
+
 #: A word is a run of anything but blanks and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,17 +73,3 @@ def start_offsets(lengths: Column) -> Column:
         return F.when(F.size(all_lengths) == 0, empty).otherwise(let(blocks, of_blocks))
 
     return let(lengths, of)
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and cut from its lineage.
-
-    The folder is ``spark.checkpoint.dir``. Only a session that names none gets one of
-    its own, in the warehouse, which executors share as well.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
-    return frame.checkpoint()

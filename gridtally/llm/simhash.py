@@ -223,16 +223,26 @@ def link_fingerprints(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """``doc_id``, ``code`` (its fingerprint), ``root`` and ``component_id`` per document.
+    """``doc_id``, ``text_hash``, ``code`` (its fingerprint), ``root`` and ``component_id``.
 
-    ``component_id`` is the smallest id that links reach, the document's own included;
+    One row per document; ``component_id`` is the smallest id that links reach, its own
+    included, ``text_hash`` tells the texts of one id apart, and
     ``root`` is the smallest fingerprint of the group.
     """
     coded = checkpointed(
-        docs.select("doc_id", fingerprints(F.col("text"), shingle_words).alias("code"))
+        docs.select(
+            "doc_id",
+            _text_hash(F.col("text")).alias("text_hash"),
+            fingerprints(F.col("text"), shingle_words).alias("code"),
+        )
     )
     distinct = coded.groupBy("code").agg(F.min("doc_id").alias("least_id"))
     roots = components(link_fingerprints(distinct.select("code"), max_bits))
@@ -242,7 +252,9 @@ def near_duplicates(
     ids = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # A text without near duplicates needs no look-up beyond its fingerprint.
     of_code = grouped.join(ids, "root").select("code", "root", "component_id")
-    return coded.join(of_code, "code").select("doc_id", "code", "root", "component_id")
+    return coded.join(of_code, "code").select(
+        "doc_id", "text_hash", "code", "root", "component_id"
+    )
 
 
 def representatives(
@@ -266,16 +278,17 @@ def representatives(
     )
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"))
     kept = rows.join(by_id, F.col("own_id").eqNullSafe(F.col("kept_id")))
-    # An id of several rows, or NULL, says nothing about a row; its fingerprint does.
+    # An id of several rows, or NULL, says nothing about a row; its text does.
     groups = found.where(keeps).select(
-        F.col("doc_id").alias("group_id"), F.col("code").alias("group_code"), "root"
+        F.col("doc_id").alias("group_id"), F.col("text_hash").alias("group_hash"), "root"
     )
     smallest = (
         kept.where("not alone")
-        .withColumn("code", fingerprints(F.col("doc.text"), shingle_words))
+        .withColumn("own_hash", _text_hash(F.col("doc.text")))
         .join(
             groups.distinct(),
-            F.col("own_id").eqNullSafe(F.col("group_id")) & (F.col("code") == F.col("group_code")),
+            F.col("own_id").eqNullSafe(F.col("group_id"))
+            & (F.col("own_hash") == F.col("group_hash")),
         )
         .groupBy("own_id", "root")
         .agg(F.min_by("doc", F.struct(F.col("doc.text"), F.xxhash64("doc"))).alias("doc"))
