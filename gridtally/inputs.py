@@ -13,7 +13,7 @@ from gridtally.functions import clock
 from gridtally.plans import event_savings
 
 # Events per document at most, so that assembling one is bounded work.
-EVENTS_PER_DOCUMENT = 1_000
+EVENTS_PER_DOCUMENT = 5_000
 
 # Some orders with negative savings stand for customers that are listed very often.
 REPEATED, REPEATS = "o_orderkey < 12 and o_totalprice < 100000", 2_500

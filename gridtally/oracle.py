@@ -419,7 +419,7 @@ def statements() -> dict[str, str]:
         ),
         "q_document_load_report": f"""
             select case when {_LOADED} then 'loaded' else 'rejected' end as status,
-              count(distinct (user_id, event_id // 1000)) as n_documents,
+              count(distinct (user_id, event_id // 5000)) as n_documents,
               count(*) filter (where {_LOADED}) as n_values,
               count(*) filter (where {_LOADED} and event_id % 101 <> 0
                 and event_id % 1009 between 1 and 5) as n_unreadable,

@@ -11,7 +11,6 @@ from gridtally.functions import clock, missing
 from gridtally.functions.ids import meter_id, site_of_document
 from gridtally.functions.numbers import number_from_text
 from gridtally.operators.joins import left_join_many
-from gridtally.sources.documents import unreadable_value
 
 
 def flatten(documents: DataFrame, zone: str = clock.DENVER) -> DataFrame:
@@ -28,16 +27,18 @@ def flatten(documents: DataFrame, zone: str = clock.DENVER) -> DataFrame:
     exploded = documents.select(
         "file_name", F.explode_outer("savings").alias("time_text", "value")
     )
-    pairs = exploded.filter("time_text is not null")
+    # Numbers are read in a step of their own, so that two columns can use them.
+    pairs = exploded.filter("time_text is not null").withColumn(
+        "number", number_from_text(F.col("value"))
+    )
     utc = clock.utc_from_text(F.col("time_text"))
-    value = F.col("value")
-    savings = F.when(value.isNull(), F.lit(0.0)).otherwise(number_from_text(value))
+    value, number = F.col("value"), F.col("number")
     return pairs.select(
         site_of_document(F.col("file_name")).alias("id"),
         utc.alias("time_utc"),
         clock.utc_to_local(utc, zone).alias("time"),
-        savings.alias("savings"),
-        unreadable_value(value).alias("unreadable"),
+        F.when(value.isNull(), F.lit(0.0)).otherwise(number).alias("savings"),
+        (value.isNotNull() & number.isNull()).alias("unreadable"),
     )
 
 
