@@ -8,9 +8,10 @@ aligns the cells of tables in columns. Boilerplate is visible text, so it stays.
 
 Not displayed: ``head``, scripts, styles, templates, fallback content of embedded media,
 ``noscript``, hidden inputs, a closed ``dialog``, the content of closed ``details`` but
-its summary, options that are not chosen, elements with the attribute ``hidden`` or with
-``display:none`` in their style or by a rule of the page's style sheets whose selector is
-one tag, class or id. ``visibility:hidden`` is undone by ``visibility:visible`` inside.
+its summary, options that are not chosen, elements with the attribute ``hidden`` unless
+their style displays them, elements with ``display:none`` in their style or by the page's
+style sheets, as these count on a wide screen (``style_sheets``). ``visibility:hidden`` is
+undone by ``visibility:visible`` inside.
 
 Cases: a NULL page has a NULL text, an empty one an empty text. Broken markup never
 fails: a tag that does not end is text, end tags without a start are left out, elements
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gridtally.llm import style_sheets
+
 MAX_DEPTH = 256
 #: A cell wider than this does not widen its column; it runs over.
 COLUMN_WIDTH = 60
@@ -46,11 +49,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 # Fixed values of the HTML standard: element groups of the parser.
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -96,11 +95,16 @@ _BLOCKS = _MARGINS | set(
 _LISTS = {"ul", "ol", "menu", "dir"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    parent: Element | None = None
+    #: Whether styles display the element, and whether text right in it is visible.
+    display: bool | None = None
+    seen: bool | None = None
+    places: tuple | None = None
 
 
 def _attrs(source: str) -> dict[str, str]:
@@ -122,7 +126,7 @@ def _close(stack: list[Element], tags: set[str], stops: set[str]) -> None:
         del stack[found:]
 
 
-def parse(html: str) -> tuple[Element, str]:
+def parse(html: str) -> tuple[Element, list[str]]:
     """The tree of a page and its style sheets."""
     root = Element("html")
     stack, styles, at, end = [root], [], 0, len(html)
@@ -155,6 +159,8 @@ def parse(html: str) -> tuple[Element, str]:
             continue
         tag = token["start"].lower()
         if tag in ("html", "head") and len(stack) > 1 or tag == "html":
+            if tag == "html" and token["attrs"]:
+                root.attrs = _attrs(token["attrs"]) | root.attrs
             continue
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
             stack.pop()
@@ -168,7 +174,8 @@ def parse(html: str) -> tuple[Element, str]:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             content = html[at : stop.start() if stop else end]
             if tag == "style":
-                styles.append(content)
+                if _applies(element) and not any(e.tag in ("noscript", "template") for e in stack):
+                    styles.append(content)
             elif tag in ("textarea", "title"):
                 element.children.append(unescape(content))
             elif tag == "xmp":
@@ -176,25 +183,39 @@ def parse(html: str) -> tuple[Element, str]:
             at = html.find(">", stop.start()) + 1 or end if stop else end
         elif tag not in _VOID and len(stack) < MAX_DEPTH:
             stack.append(element)
-    return root, "\n".join(styles)
-
-
-class _Rules:
-    """Selectors of one tag, class or id that hide an element."""
-
-    def __init__(self, styles: str):
-        self.hidden: set[str] = set()
-        if "none" in styles:
-            for selectors, body in _RULE.findall(_COMMENT.sub("", styles)):
-                if _HIDES.search(body):
-                    self.hidden.update(s.strip() for s in selectors.split(","))
-
-    def hides(self, element: Element) -> bool:
-        if not self.hidden:
-            return False
-        names = [element.tag, f"#{element.attrs.get('id', '')}"]
-        names += [f".{name}" for name in element.attrs.get("class", "").split()]
-        return not self.hidden.isdisjoint(names)
+    return root, styles
+
+
+def _applies(style: Element) -> bool:
+    media = style.attrs.get("media", "").strip()
+    kind = style.attrs.get("type", "").strip().lower()
+    return kind in ("", "text/css") and (not media or style_sheets.media(media))
+
+
+def _styled(root: Element, styles: list[str]) -> None:
+    """Sets what the styles make of each element; below hidden ones nothing is set."""
+    sheet = style_sheets.Sheet(styles)
+    # The body that a page leaves out.
+    body = Element("body", parent=root, children=root.children)
+    below = [(root, True)]
+    while below:
+        element, seen = below.pop()
+        element.display, visible = sheet.of(element)
+        element.seen = seen if visible is None else visible
+        if element.display is False:
+            continue
+        inner = element
+        if element is root and all(isinstance(c, str) or c.tag != "body" for c in root.children):
+            body.display, visible = sheet.of(body)
+            if body.display is False:
+                root.children = [c for c in root.children if isinstance(c, Element) and c.tag == "head"]
+            element.seen = element.seen if visible is None else visible
+            inner = body
+        rows = Element("tbody", parent=element, children=element.children)
+        for child in element.children:
+            if isinstance(child, Element):
+                child.parent = rows if child.tag == "tr" and element.tag == "table" else inner
+                below.append((child, element.seen))
 
 
 def _width(line: str) -> int:
@@ -254,8 +275,7 @@ def _integer(text: str | None, default: int) -> int:
 
 
 class _Renderer:
-    def __init__(self, rules: _Rules):
-        self.rules = rules
+    def __init__(self):
         #: How many lists the current element is in; inner lists have no margins.
         self.lists = 0
 
@@ -270,13 +290,14 @@ class _Renderer:
 
     def shown(self, element: Element) -> bool:
         tag, attrs = element.tag, element.attrs
-        if tag in _NOT_SHOWN or "hidden" in attrs or self.rules.hides(element):
-            return False
-        if tag == "dialog" and "open" not in attrs or tag == "input":
+        if tag in _NOT_SHOWN or tag == "input":
             return False
-        return not ("style" in attrs and _HIDES.search(attrs["style"]))
+        if element.display is not None:
+            return element.display
+        return not ("hidden" in attrs or tag == "dialog" and "open" not in attrs)
 
     def content(self, element: Element, page: _Page, seen: bool, pre: bool) -> None:
+        seen = seen if element.seen is None else element.seen
         for child in element.children:
             if isinstance(child, str):
                 if seen:
@@ -288,9 +309,7 @@ class _Renderer:
         if not self.shown(element):
             return
         tag = element.tag
-        style = _VISIBILITY.search(element.attrs.get("style", ""))
-        if style:
-            seen = style[1].lower() == "visible"
+        seen = seen if element.seen is None else element.seen
         if tag == "br":
             page.end_line(True)
             return
@@ -391,6 +410,7 @@ class _Renderer:
                 caption += self.lines(row, seen, pre)
                 continue
             cells, column = [], 0
+            row_seen = seen if row.seen is None else row.seen
             for cell in row.children:
                 if isinstance(cell, str):
                     if not cell.strip(" \t\n\r\f"):
@@ -405,7 +425,7 @@ class _Renderer:
                 # The limits of the standard.
                 across = min(max(_integer(cell.attrs.get("colspan"), 1), 1), 1000)
                 down = min(max(_integer(cell.attrs.get("rowspan"), 1), 1), 65534)
-                cells.append((column, across, self.lines(cell, seen, pre)))
+                cells.append((column, across, self.lines(cell, row_seen, pre)))
                 for at in range(column, column + across):
                     taken[at] = max(taken.get(at, 0), down)
                 column += across
@@ -436,7 +456,8 @@ class _Renderer:
 def visible_text(html: str) -> str:
     """The visible text of a page, without blank lines at its ends."""
     root, styles = parse(html)
-    lines = _Renderer(_Rules(styles)).lines(root, True, False)
+    _styled(root, styles)
+    lines = _Renderer().lines(root, True, False) if root.display is not False else []
     return "\n".join(lines).strip("\n")
 
 

@@ -36,6 +36,55 @@ def test_layout(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("css", "body", "text"),
+    [
+        ("@media print{nav,.side{display:none}}", "<nav>a</nav><b class=side>b</b>", "a\nb"),
+        ("@media (max-width:600px){aside{display:none}}", "<aside>a</aside>", "a"),
+        ("@media screen and (min-width:600px){aside{display:none}}", "<aside>a</aside>ok", "ok"),
+        ("@media not print{b{display:none}}@media (400px<=width<=700px){i{display:none}}", "<b>x</b><i>a</i>", "a"),
+        ("@media print{@media screen{b{display:none}}}b{color:red}", "<b>a</b>", "a"),
+        ("@supports (display:grid){b{display:none}}@supports not (display:grid){i{display:none}}", "<b>x</b><i>a</i>", "a"),
+        ("@keyframes k{from{display:none}}@font-face{src:url(a;b})}b{display:none}", "<b>x</b>ok", "ok"),
+        ("@import 'x';.m{display:none} .m{display:block}", "<p class=m>a", "a"),
+        (".m{display:none}", "<p class=m style='display:block'>a<p class=m>x", "a"),
+        (".m{display:none!important}", "<p class=m style='display:block'>x</p>ok", "ok"),
+        (".m{display:none;display:nonsense}", "<p class=m>x</p>ok", "ok"),
+        ("#i{display:none}.m{display:block}", "<p class=m id=i>x</p>ok", "ok"),
+        ("div.h{display:none}", "<div class=h>x</div><p class=h>a", "a"),
+        (".a .b, .c>.d{display:none}", "<p class=b>a<p class=a><b class=b>x</b><i class=c><u><u class=d>b", "a\n\nb"),
+        ("h1+p{display:none}i~u{display:none}", "<h1>a</h1><p>x</p><p>b<u>c</u><i>d</i><s>e</s><u>x", "a\n\nbcde"),
+        ("b{visibility:hidden}b i{visibility:visible}", "<b>x<i>a</i></b>", "a"),
+        (".h{visibility:hidden}", "<ul><li class=h>x<li>a</ul><table><tr class=h><td>x<tr><td>b</table>", "- a\n\nb"),
+        (".sm\\:h{display:none}", "<b class=sm:h>x</b>ok", "ok"),
+        ("[data-x='}'],a[href^=mailto i]{display:none}", "<b data-x='}'>x</b><a href=MAILTO:a>x</a>ok", "ok"),
+        ("li:nth-child(2n+1):not(.k){display:none}", "<ul><li>x<li>a<li class=k>b</ul>", "- a\n- b"),
+        ("b:hover,b::before{display:none}b:is(.x,.y){display:none}", "<b>a</b><b class=y>x</b>", "a"),
+        (".p{.q{display:none}&.r{display:none}}", "<p class='p r'>x<p class=p>a<b class=q>x", "a"),
+        ("@layer a,b;@layer b{i{display:inline}}@layer a{i{display:none}}", "<i>a</i>", "a"),
+        ("p{display:block}", "<p hidden>a", "a"),
+        ("table>tbody>tr>td.h{display:none}", "<table><tr><td>a<td class=h>x</table>", "a"),
+        (".js .h{display:none}body>b{display:none}", "<html class=js><i class=h>x</i><b>x</b>ok", "ok"),
+        ("/* b{ */ i{display:none /* } */} b{color:red}", "<b>a</b><i>x</i>", "a"),
+        ("i{display:none", "<b>a</b><i>x</i>", "a"),
+    ],
+)
+def test_style_sheets(css, body, text):
+    assert visible_text(f"<style>{css}</style>{body}") == text
+
+
+def test_style_elements_that_do_not_apply():
+    rule = "b{display:none}"
+    html = f"<style media=print>{rule}</style><noscript><style>{rule}</style></noscript>"
+    assert visible_text(f"{html}<style type=text/less>{rule}</style><b>a</b>") == "a"
+    assert visible_text(f"{html}<style media='all, print'>{rule}</style><b>x</b>ok") == "ok"
+
+
+@pytest.mark.parametrize("css", ["{" * 5000, "}" * 9, ":not(" * 5000, "a{&" * 5000, "b " * 9999, "@media " + "(" * 5000, "url(" * 9999, "@layer" + "{@layer" * 999])
+def test_broken_sheets_hide_nothing(css):
+    assert visible_text(f"<style>{css}{{display:none}}</style><i>a</i>") == "a"
+
+
 def test_tables_are_aligned():
     html = (
         "<table><caption>Cap</caption><tr><th>Name<th>N<th>Note"
