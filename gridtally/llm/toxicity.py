@@ -1,14 +1,18 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 The terms of a text are its distinct words and their first letters, so that inflected and
-made-up forms of a word share a term; every term is hashed to 32 bits. Terms that are
-about as frequent in toxic as in other documents are left out. The machine has a weight for each term and a vector for each term, whose inner products
-weigh pairs of terms: two terms that are harmless alone can be an insult together.
+made-up forms of a word share a term; every term is hashed to 32 bits. Learned are telling
+terms, whose frequencies differ between toxic and other documents, and their partners: terms
+as frequent in both, whose frequencies differ among the documents with some telling term.
+The machine has a weight for each term and a vector for each term, whose inner products
+weigh pairs of terms: two terms that are harmless alone can be an insult together. A pair
+of which neither term tells anything alone is not learned.
 
 It is fitted on a bounded sample: of each class the ``CLASS_ROWS`` labelled documents
-that come first in a pseudo-random order of their ids. Spark counts their terms; only the
-telling terms, at most ``MAX_TERMS``, and which of them each document of the sample has
-come to the driver. All documents are scored, whole, where they lie; nothing is shuffled.
+that come first in a pseudo-random order of their ids. Spark counts their terms and pairs;
+only the telling terms and the partners, at most ``MAX_TERMS`` of each, and which of them
+each document of the sample has come to the driver. All documents are scored, whole, where
+they lie; nothing is shuffled.
 
 Cases: a NULL text is empty; a text without known terms has the score of the intercept.
 A document id with several labels is toxic if one of them says so; NULL labels and labels
@@ -38,7 +42,8 @@ PREFIXES = (3, 4, 5)
 #: Documents learned from, at most, of the toxic and of the other labelled ones.
 CLASS_ROWS = {1: 6_000, 0: 12_000}
 #: Terms in fewer documents of the sample, or whose frequencies in the two classes differ
-#: by less than this log-likelihood ratio, are not learned; nor are more than so many terms.
+#: by less than this log-likelihood ratio, are not telling; so many at most are. A partner's
+#: best ratio needs 2 ln n more, as it is the best of those with n telling terms.
 MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 3, 15.0, 20_000
 #: What part of the sample toxic documents weigh, whatever their number.
 TOXIC_SHARE = 0.2
@@ -84,14 +89,21 @@ class Machine:
 NOTHING = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)), -30.0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Machine:
+def fit(
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    numbers: np.ndarray,
+    weighed: np.ndarray | None = None,
+) -> Machine:
     """Learns by stochastic gradients with a step size of its own for each weight.
 
     ``numbers`` are the terms to learn, ascending; a row has the places of its terms there.
+    Terms that are not ``weighed`` count in pairs only.
     """
     if len(set(labels.tolist())) < 2 or not any(map(len, rows)):
         return NOTHING
     n = len(numbers)
+    weighed = np.ones(n, bool) if weighed is None else weighed
     rng = np.random.default_rng(SEED)
     weight = np.where(labels > 0, TOXIC_SHARE / labels.mean(), (1 - TOXIC_SHARE) / (1 - labels.mean()))
     intercept = float(np.log(TOXIC_SHARE / (1 - TOXIC_SHARE)))
@@ -116,6 +128,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Mach
             error *= weight[batch] / len(batch)
             per_term = error[doc]
             grad = np.bincount(at, per_term, len(used)) + WEIGHT_PENALTY * own_w
+            grad *= weighed[used]
             w_seen[used] += grad**2
             w[used] = own_w - RATE * grad / np.sqrt(w_seen[used])
             pull = per_term[:, None] * (sums[doc] - of_term)
@@ -162,6 +175,58 @@ def _telling(learned: DataFrame) -> np.ndarray:
     return np.array(sorted(r.term for r in told.collect()), np.int64)
 
 
+def _partners(learned: DataFrame, rows: list, numbers: np.ndarray) -> np.ndarray:
+    """The other terms whose frequencies tell the classes apart next to a telling term.
+
+    ``rows`` are the ``doc_id``, ``toxic`` and places in ``numbers`` of the sample, by id.
+    """
+    if not len(numbers):
+        return numbers
+    ids = np.array([r.doc_id for r in rows], np.int64)
+    is_toxic = np.array([r.toxic for r in rows], bool)
+    lengths = np.array([len(r.places) // 4 for r in rows], np.int64)
+    ends = np.cumsum(lengths)
+    places = np.frombuffer(b"".join(r.places for r in rows), np.int32)
+    of_toxic = np.repeat(is_toxic, lengths)
+    n = [np.bincount(places[of_toxic == label], minlength=len(numbers)) for label in (True, False)]
+    least = MIN_RATIO + 2 * np.log(len(numbers))
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen / np.where(expected > 0, expected, 1), 1))
+
+    def best(docs: np.ndarray) -> float:
+        """The largest ratio that the term of these documents has next to a telling term."""
+        at = np.searchsorted(ids, docs)
+        own = lengths[at]
+        flat = np.arange(own.sum()) + np.repeat(ends[at] - np.cumsum(own), own)
+        near, toxic = places[flat], of_toxic[flat]
+        seen = [np.bincount(near[toxic == label], minlength=len(numbers)) for label in (True, False)]
+        used = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCUMENTS) & (n[0] > 0) & (n[1] > 0))
+        share = (seen[0][used] + seen[1][used]) / (n[0][used] + n[1][used])
+        ratio = np.zeros(len(used))
+        for k, all_rows in zip(seen, n):
+            k, all_rows = k[used], all_rows[used]
+            ratio += 2 * part(k, share * all_rows) + 2 * part(all_rows - k, (1 - share) * all_rows)
+        return float(ratio.max(initial=0.0))
+
+    def with_ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[~np.isin(batch["term"].to_numpy(), numbers)]
+            yield batch[["term"]].assign(ratio=[best(np.asarray(docs)) for docs in batch["docs"]])
+
+    found = (
+        learned.select("doc_id", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.collect_list("doc_id").alias("docs"))
+        .where(F.size("docs") >= MIN_DOCUMENTS)
+        .mapInPandas(with_ratio, "term int, ratio double")
+        .where(F.col("ratio") >= float(least))
+        .orderBy(F.desc("ratio"), "term")
+        .limit(MAX_TERMS)
+    )
+    return np.array(sorted(r.term for r in found.collect()), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted on the sample; ``labels`` has ``doc_id`` and ``toxic``."""
     known = (
@@ -189,20 +254,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         .groupBy("doc_id", "toxic")
         .agg(F.min("terms").alias("terms"))
     )
-    numbers = _telling(learned)
 
-    def with_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            places = [np.flatnonzero(np.isin(numbers, t)) for t in batch["terms"]]
-            yield batch.drop(columns="terms").assign(places=places)
-
-    rows = sorted(
-        learned.mapInPandas(with_places, "doc_id long, toxic int, places array<int>").collect()
-    )
+    def placed(numbers: np.ndarray) -> list:
+        def with_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [np.flatnonzero(np.isin(numbers, t)) for t in batch["terms"]]
+                places = [at.astype(np.int32).tobytes() for at in found]
+                yield batch.drop(columns="terms").assign(places=places)
+
+        # As bytes: lists of numbers would take the driver many times the memory.
+        return sorted(
+            learned.mapInPandas(with_places, "doc_id long, toxic int, places binary").collect()
+        )
+
+    telling = _telling(learned)
+    rows = placed(telling)
+    partners = _partners(learned, rows, telling)
+    numbers = np.union1d(telling, partners)
+    if len(partners):
+        rows = placed(numbers)
     return fit(
-        [np.array(r.places, np.int64) for r in rows],
+        [np.frombuffer(r.places, np.int32) for r in rows],
         np.array([r.toxic for r in rows], np.float64),
         numbers,
+        np.isin(numbers, telling),
     )
 
 

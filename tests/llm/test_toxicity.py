@@ -61,6 +61,32 @@ def test_pairs_of_terms_count():
     assert np.abs(machine.vectors).max() > 0.1
 
 
+def test_a_group_word_of_both_classes_is_learned_in_pairs(spark):
+    """Half of each class has the group word; with the insult, which half has too, it is toxic."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2400):
+        toxic = i % 4 == 0
+        # Of the others a half has the group word alone, a quarter the insult alone.
+        extra = ["insult", "group"] if toxic else [["group"], [], ["group"], ["insult"]][i // 4 % 4]
+        extra = extra if not toxic or i % 8 else ["scum"]
+        words = [f"word{w}" for w in rng.choice(60, 20)] + extra
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    share = [np.mean(["group" in t for _, t, y in rows if y == label]) for label in (0, 1)]
+    assert share[0] == pytest.approx(share[1], abs=0.01)
+    docs, labels = _frames(spark, rows)
+    machine = toxicity.train(docs, labels)
+    assert np.isin(toxicity.terms("group"), machine.numbers).all()
+    assert not np.isin(toxicity.terms("word1"), machine.numbers).any()
+    asked = spark.createDataFrame([(1, "insult group"), (2, "insult"), (3, "group"), (4, "")], DOCS)
+    scores = asked.select("doc_id", toxicity.score(asked.text, machine).alias("score"))
+    both, insult, group, none = (r.score for r in sorted(scores.collect()))
+    assert both >= toxicity.THRESHOLD > max(insult, group, none)
+    out = toxicity.scored(docs, labels).where("held_out").collect()
+    assert np.mean([r.predicted == rows[r.doc_id][2] for r in out]) > 0.97
+
+
 def test_held_out_labels_are_not_read(spark):
     rows = _corpus(200)
     docs, labels = _frames(spark, rows)
