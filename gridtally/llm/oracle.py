@@ -176,9 +176,44 @@ left join labelled l on l.doc_id = d.doc_id
 left join best m on m.doc_id = d.doc_id
 """
 
+FILL_IN_MIDDLE = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+         sha256('1:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), t as (
+  select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as tokens,
+         ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4
+  from d
+), c as (
+  select *, len(tokens)::bigint as n,
+         least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as a,
+         greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as b,
+         case when text = '' or regexp_matches(text, '<[PSM]>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from t
+), p as (
+  select doc_id, n, form, text,
+         array_to_string(tokens[1:a], '') as prefix,
+         array_to_string(tokens[a + 1:b], '') as middle,
+         array_to_string(tokens[b + 1:n], '') as suffix
+  from c
+)
+select doc_id, n, form,
+       case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        else text end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
+"""
+
 ORACLES = {
     "op6_topk": TOP_K,
     "op7_mixing": MIXING,
     "op8_chat": CHAT,
     "op9_licenses": LICENSES,
+    "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm import (
     chat,
+    fill_in_middle,
     html_text,
     licenses,
     mixing,
@@ -139,6 +140,20 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("first").alias("prefix_chars"),
+        (F.col("second") - F.col("first")).alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -150,5 +165,6 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 

@@ -34,5 +34,5 @@ def test_query_equals_oracle(spark, duck, name):
 def test_all_are_registered():
     registered = entry_point.queries()
     numbers = {n.removeprefix("op").split("_")[0] for n in registered if n.startswith("op")}
-    assert numbers == {str(n) for n in range(1, 11)}
+    assert numbers == {str(n) for n in range(1, 14)}
     assert registered["pipeline"] is corpus_pipeline.run
