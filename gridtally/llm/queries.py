@@ -16,6 +16,7 @@ from gridtally.llm import (
     packing,
     pii,
     simhash,
+    spelling,
     topk,
     toxicity,
     vectors,
@@ -140,6 +141,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.corpus_words(table(spark, folder, "documents"), slip_every=97)
+    return spelling.variants(words)
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
     text = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -165,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
