@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtally.operators.checkpoints import checkpointed
+from gridtally.operators.checkpoints import checkpointed, shared_folder
 
 __all__ = [
-    "WORD", "checkpointed", "let", "lower_ascii", "start_offsets", "table", "word_count",
+    "WORD", "checkpointed", "let", "lower_ascii", "shared_folder", "start_offsets", "table", "word_count",
 ]
 
 #: A word is a run of anything but blanks and the controls tab to carriage return.

@@ -176,6 +176,26 @@ left join labelled l on l.doc_id = d.doc_id
 left join best m on m.doc_id = d.doc_id
 """
 
+WARC = r"""
+with p as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h
+  from pages
+), k as (
+  select *,
+         row_number() over (partition by payload order by page_id desc nulls last) as place,
+         first_value(page_id) over (partition by payload order by page_id desc nulls last) as kept
+  from p
+)
+select page_id, strlen(payload)::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1, 1)),
+         '') as payload_digest,
+       case when place = 1 then 'response' else 'revisit' end as record_type,
+       case when place > 1 then kept end as refers_to
+from k
+"""
+
 FILL_IN_MIDDLE = r"""
 with d as (
   select doc_id, coalesce(text, '') as text,
@@ -215,5 +235,6 @@ ORACLES = {
     "op7_mixing": MIXING,
     "op8_chat": CHAT,
     "op9_licenses": LICENSES,
+    "op12_warc": WARC,
     "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

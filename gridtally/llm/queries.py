@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,9 @@ from gridtally.llm import (
     topk,
     toxicity,
     vectors,
+    warc_archive,
 )
-from gridtally.llm.common import checkpointed, table, word_count
+from gridtally.llm.common import checkpointed, shared_folder, table, word_count
 from gridtally.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -146,6 +148,14 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(words)
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc_archive.write_archive(table(spark, folder, "pages"), archive)
+    return warc_archive.read_archive(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
     text = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -172,6 +182,7 @@ QUERIES: dict[str, Query] = {
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
     "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
