@@ -1,12 +1,9 @@
-"""Missing-value rules for aggregates, predicates and sorts.
+"""Missing-value rules for predicates, counts and sorts.
 
 Two families of sums exist side by side in the analyses and differ only in what
 a NULL does: *strict* ones are NULL as soon as one input is NULL, the others
-skip NULLs and are 0 for an empty group. Spark's own ``sum`` is neither.
-
-Doubles are summed as exact billionths (see :func:`exact_total`), so a total does
-not depend on partitioning, task order or retries, and rounding it to two places
-has one right answer.
+skip NULLs and are 0 for an empty group. Spark's own ``sum`` is neither. Both are
+made from exact totals (:mod:`gridtally.operators.exact_sums`).
 """
 
 from __future__ import annotations
@@ -14,79 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(31,9)"
-
-_BILLION = 1_000_000_000
-_MILLION = 1_000_000
-
-
-def nan_to_null(value: Column) -> Column:
-    """NaN is "missing" here; Spark would sort and compare it as the largest number."""
-    return F.when(~F.isnan(value), value)
-
-
-def exact_total(value: Column) -> Column:
-    """Sum of a double column, each value taken to nine decimals, as ``EXACT``.
-
-    The value is split into thousandths and the billionths left over, and both are
-    summed as integers: as exact as a decimal sum, at the price of a double one.
-    Neither sum can overflow before 9e12 rows of one group or 9e15 units in total;
-    there, and for an infinite value, ANSI mode raises.
-    """
-    whole = value.cast("bigint")
-    billionths = F.rint((value - whole) * F.lit(float(_BILLION))).cast("bigint")
-    thousandths = whole * 1000 + _div(billionths, _MILLION)
-    left_over = billionths % _MILLION
-    total = F.sum(thousandths).cast("decimal(19,0)") * F.lit("0.001").cast("decimal(3,3)")
-    rest = F.sum(left_over).cast("decimal(19,0)") * F.lit("0.000000001").cast("decimal(9,9)")
-    return (total + rest).cast(EXACT)
-
-
-def _div(a: Column, b: int) -> Column:
-    """Integer quotient, towards zero like the remainder ``%``."""
-    return F.call_function("div", a, F.lit(b))
-
-
-def lost_total(value: Column) -> Column:
-    """What :func:`exact_total` cuts off, in units of 1e-18: a bigint that sums to a sign.
-
-    What is no more than the rounding of the double itself counts as nothing.
-    """
-    kept = F.rint(value * F.lit(float(_BILLION))) / F.lit(float(_BILLION))
-    lost = value - kept
-    noise = F.abs(value) * F.lit(1e-15)
-    return F.sum(F.when(F.abs(lost) > noise, F.rint(lost * F.lit(1e18)).cast("bigint")).otherwise(0))
-
-
-def strict_sum(value: Column) -> Column:
-    """Sum of a double column that is NULL if any row of the group is NULL."""
-    return F.when(F.count(F.lit(1)) == F.count(value), exact_total(value))
-
-
-def sum_or_zero(value: Column) -> Column:
-    """Sum of a double column that skips NULLs and is 0 when nothing is left."""
-    return F.coalesce(exact_total(value), F.lit(0).cast(EXACT))
-
-
-def strict_mean(value: Column) -> Column:
-    """Mean that is NULL if any row is NULL."""
-    return F.when(F.count(F.lit(1)) == F.count(value), matched_mean(value))
-
-
-def matched_mean(value: Column) -> Column:
-    """Mean over the rows that have a value."""
-    return F.try_divide(to_double(exact_total(value)), F.count(value))
-
-
-def to_double(total: Column) -> Column:
-    """Leave the exact domain, last step before a result column."""
-    return total.cast("double")
-
-
-def round_half_even(total: Column, places: int = 2) -> Column:
-    """Banker's rounding of an exact total."""
-    return F.bround(total, places)
-
 
 def distinct_with_null(*columns: Column) -> Column:
     """Distinct count in which NULL is a value like any other.
@@ -101,16 +25,6 @@ def sign_label(value: Column) -> Column:
     return F.when(value > 0, "Active").when(value <= 0, "Inactive")
 
 
-def total_label(total: Column, lost: Column) -> Column:
-    """Activity label of an exact total and what was cut off from it.
-
-    The cut part decides where the total is too small for nine decimals.
-    """
-    unit = F.lit("0.000000000000000001").cast("decimal(18,18)")
-    whole = total.cast("decimal(38,18)") + lost.cast("decimal(20,0)") * unit
-    return sign_label(whole)
-
-
 def nulls_last(*names: str) -> list[Column]:
     """Ascending sort keys with NULL at the end."""
     return [F.asc_nulls_last(name) for name in names]

@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 # "Infinity" as well.
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
-#: Larger numbers could not be added up exactly (see ``missing.exact_total``).
-LIMIT = 9e12
-
 
 def number_from_text(text: Column) -> Column:
-    """The double a text stands for; NULL for anything that is no number, or too large."""
+    """The double a text stands for; NULL for anything that is no number, or none a double holds."""
     plain = F.trim(text)
     value = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
-    return F.when(F.abs(value) < LIMIT, value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def integer_from_text(text: Column) -> Column:

@@ -18,6 +18,10 @@ EVENTS_PER_DOCUMENT = 5_000
 # Some orders with negative savings stand for customers that are listed very often.
 REPEATED, REPEATS = "o_orderkey < 12 and o_totalprice < 100000", 2_500
 
+# Savings far from all others: sums must neither lose them nor what is next to them.
+HUGE, TINY = "event_id % 397 = 3", "event_id % 397 in (5, 6)"
+ENDLESS = "event_type = 'signup' and event_id % 397 = 9"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,7 +36,9 @@ def savings(spark: SparkSession, folder: str) -> DataFrame:
              else concat('Event ', event_id % 4 + 1) end as event""",
         "event_type = 'error' as initial_export",
         "cast(ts as timestamp_ntz) as ts",
-        "if(event_id % 101 = 0, null, round(value - 30.0D, 2)) as metered_savings",
+        f"""case when event_id % 101 = 0 then null when {HUGE} then 1e13D
+             when {TINY} then 3e-10D when {ENDLESS} then double('Infinity')
+             else round(value - 30.0D, 2) end as metered_savings""",
         "if(event_id % 53 = 0, null, event_id % 7 = 0) as non_responsive",
     )
     return events.withColumn("timestamp", clock.hour_floor(F.col("ts"))).drop("ts")
@@ -122,7 +128,8 @@ def vendor(spark: SparkSession, folder: str) -> DataFrame:
 def model_documents(spark: SparkSession, folder: str) -> DataFrame:
     """JSON model outputs as ``file_name, text``, assembled from the events of a user.
 
-    Some values are no numbers, some times are none, and some documents are broken.
+    Some values are no numbers, some times are none, and some documents are broken. Sites
+    that the vendor lacks have a few values far from all others.
 
     A user's events are cut into runs by event number, one document per run, all
     under the user's file name as if in separate folders: however active a user
@@ -137,9 +144,11 @@ def model_documents(spark: SparkSession, folder: str) -> DataFrame:
                 when 9 then date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS 'Etc/UTC'")
                 else date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") end, '":',
               if(event_id % 101 = 0, 'null', case event_id % 1009
-                when 1 then '"NaN"' when 2 then '1e19' when 3 then '"3d"'
+                when 1 then '"NaN"' when 2 then '1e999' when 3 then '"3d"'
                 when 4 then '"text"' when 5 then '[1]'
-                else cast(value as string) end)) as entry""",
+                else case when user_id % 5 <> 1 then cast(value as string)
+                  when event_id % 1013 = 11 then '1e13' when event_id % 1013 = 12 then '3e-10'
+                  else cast(value as string) end end)) as entry""",
     )
     grouped = entries.groupBy("user_id", "run").agg(
         F.concat_ws(",", F.collect_list("entry")).alias("entries")

@@ -18,9 +18,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.functions.missing import EXACT
 from gridtally.operators.checkpoints import checkpointed
 
+# Numbers as texts of keys: the text of a double differs between engines.
+KEY_DECIMAL = "decimal(31,9)"
+
 # Identical rows expanded where they were counted; further ones are spread out.
 COPIES_PER_BLOCK = 1_000
 
@@ -70,7 +72,7 @@ def row_key(seed: int | str, columns: Mapping[str, str], copy: Column) -> Column
     for name, kind in columns.items():
         value = F.col(name)
         if kind in ("double", "float"):
-            value = value.try_cast(EXACT)
+            value = value.try_cast(KEY_DECIMAL)
         parts.append(F.coalesce(value.cast("string"), F.lit("NA")))
     return F.md5(F.concat_ws(":", *parts, copy.cast("string")))
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.functions.missing import nan_to_null
+from gridtally.functions.exact import nan_to_null
 
 SKETCH_ACCURACY = 10_000
 

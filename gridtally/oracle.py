@@ -20,19 +20,41 @@ _DENVER = "((({0}) at time zone 'UTC') at time zone 'America/Denver')"
 
 
 def _exact(expr: str) -> str:
-    return f"cast({expr} as decimal(28,9))"
+    """The decimal that a finite double prints as."""
+    return f"(case when isfinite({expr}) then cast(cast({expr} as varchar) as decimal(38,18)) end)"
+
+
+def _sum(expr: str, empty: str, places: int | None = None, mw: bool = False) -> str:
+    """A decimal sum, rounded if asked for, as a double; infinities win, or cancel out.
+
+    With ``mw`` it is a thousandth of the sum: the decimal point moves, nothing else.
+    """
+    plus = f"count(*) filter (where {expr} = 'inf'::double) > 0"
+    minus = f"count(*) filter (where {expr} = '-inf'::double) > 0"
+    finite = f"sum({_exact(expr)})"
+    if mw:
+        finite = f"cast(cast({finite} as varchar) || 'e-3' as decimal(38,21))"
+    if places is not None:
+        finite = f"round_even({finite}, {places})"
+    return f"""(case when {plus} and {minus} then null when {plus} then 'inf'::double
+      when {minus} then '-inf'::double else coalesce(cast({finite} as double), {empty}) end)"""
 
 
-def _strict(expr: str) -> str:
-    return f"(case when count(*) = count({expr}) then sum({_exact(expr)}) end)"
+def _strict(expr: str, mw: bool = False) -> str:
+    return f"(case when count(*) = count({expr}) then {_sum(expr, 'null', mw=mw)} end)"
 
 
-def _sum0(expr: str) -> str:
-    return f"coalesce(sum({_exact(expr)}), 0)"
+def _sum0(expr: str, mw: bool = False) -> str:
+    return _sum(expr, "0.0::double", mw=mw)
 
 
-def _round2(expr: str) -> str:
-    return f"cast(round_even({expr}, 2) as double)"
+def _mw2(expr: str) -> str:
+    """A kWh sum in MW at two places."""
+    return _sum(expr, "0.0::double", 2, mw=True)
+
+
+def _key_decimal(expr: str) -> str:
+    return f"cast({expr} as decimal(28,9))"
 
 
 _BLOCKS: dict[str, str] = {}
@@ -45,7 +67,10 @@ _BLOCKS["savings"] = """
         else 'Event ' || cast(event_id % 4 + 1 as varchar) end as event,
       event_type = 'error' as initial_export,
       cast(date_trunc('hour', ts) as timestamp) as ts_utc,
-      case when event_id % 101 = 0 then null else round(value - 30.0, 2) end as metered_savings,
+      case when event_id % 101 = 0 then null when event_id % 397 = 3 then 1e13::double
+        when event_id % 397 in (5, 6) then 3e-10::double
+        when event_type = 'signup' and event_id % 397 = 9 then 'inf'::double
+        else round(value - 30.0, 2) end as metered_savings,
       case when event_id % 53 = 0 then null else event_id % 7 = 0 end as non_responsive
     from events"""
 
@@ -101,24 +126,24 @@ _BLOCKS["eligible"] = "select * from clean where bad_meter = false and in_event_
 
 _BLOCKS["rowsign"] = f"""
     select event, "interval",
-      {_round2(_sum0("case when savings_mw > 0 and non_responsive = false then savings_mw end"))}
+      {_mw2("(case when savings_kwh > 0 and non_responsive = false then savings_kwh end)")}
         as mw_reduction_active,
-      {_round2(_sum0("case when savings_mw < 0 and non_responsive = false then savings_mw end"))}
+      {_mw2("(case when savings_kwh < 0 and non_responsive = false then savings_kwh end)")}
         as mw_reduction_inactive
     from eligible group by event, "interval" """
 
 _BLOCKS["activity"] = f"""
-    select meter_id, event, total as total_exact,
+    select meter_id, event, total as total_event_activity,
       case when total > 0 then 'Active' when total <= 0 then 'Inactive' end as activity_label
-    from (select meter_id, event, {_strict("savings_mw")} as total
+    from (select meter_id, event, {_strict("savings_kwh", mw=True)} as total
           from clean group by meter_id, event)"""
 
 _BLOCKS["eventlabel"] = f"""
     select c.event, c."interval",
-      round_even({_sum0('''case when activity_label = 'Active' and non_responsive = false
-        then savings_mw end''')}, 2) as active,
-      round_even({_sum0('''case when activity_label = 'Inactive' and non_responsive = false
-        then savings_mw end''')}, 2) as inactive
+      {_mw2('''(case when activity_label = 'Active' and non_responsive = false
+        then savings_kwh end)''')} as active,
+      {_mw2('''(case when activity_label = 'Inactive' and non_responsive = false
+        then savings_kwh end)''')} as inactive
     from eligible c left join activity a
       on c.meter_id is not distinct from a.meter_id and c.event is not distinct from a.event
     group by c.event, c."interval" """
@@ -136,12 +161,15 @@ _BLOCKS["hourly"] = f"""
     select cast(user_id as varchar) as id,
       case when event_id % 1013 <> 7 then {_DENVER.format("ts")} end as "time",
       case when event_id % 101 = 0 then 0.0::double
-        when event_id % 1009 between 1 and 5 then null else value end as savings,
+        when event_id % 1009 between 1 and 5 then null
+        when user_id % 5 = 1 and event_id % 1013 = 11 then 1e13::double
+        when user_id % 5 = 1 and event_id % 1013 = 12 then 3e-10::double
+        else value end as savings,
       event_id % 101 <> 0 and event_id % 1009 between 1 and 5 as unreadable
     from events where {_LOADED}"""
 
 _BLOCKS["modelled"] = f"""
-    select id, cast({_strict("savings")} as double) as model_metered_savings
+    select id, {_strict("savings")} as model_metered_savings
     from hourly group by id"""
 
 _BLOCKS["vendor"] = """
@@ -219,7 +247,7 @@ _BLOCKS["strata"] = """
 _BLOCKS["keyed"] = f"""
     select stratum, item_id, metered_savings,
       md5(concat_ws(':', '{SEED}', coalesce(item_id, 'NA'),
-        coalesce(cast({_exact("metered_savings")} as varchar), 'NA'),
+        coalesce(cast({_key_decimal("metered_savings")} as varchar), 'NA'),
         cast(row_number() over (partition by item_id, metered_savings) - 1 as varchar))) as k
     from strata"""
 
@@ -268,7 +296,7 @@ def _with(needs: list[str], body: str) -> str:
 
 def _totals(keys: str) -> str:
     return f"""select id, {keys}, count(*) as n_observations,
-      cast({_strict("kwh")} as double) as total_kwh
+      {_strict("kwh")} as total_kwh
     from local_reads group by id, {keys}"""
 
 
@@ -286,7 +314,7 @@ def statements() -> dict[str, str]:
         for q in ("Q1", "Q2", "Q3", "Q4")
     )
     breaks = ", ".join(
-        f"('break', '{label}', (select {_round2(_exact(name))} from quartiles))"
+        f"('break', '{label}', (select cast(round_even({_exact(name)}, 2) as double) from quartiles))"
         for label, name in (
             ("0%", "p0"),
             ("25%", "p25"),
@@ -307,13 +335,13 @@ def statements() -> dict[str, str]:
         "q_initial_union": _with(
             ["savings"],
             f"""select event, count(*) as n_rows,
-              cast({_sum0("metered_savings")} as double) as total_kwh
+              {_sum0("metered_savings")} as total_kwh
             from savings where initial_export group by event""",
         ),
         "q_updated_union": _with(
             ["savings"],
             f"""select event, count(*) as n_rows,
-              cast({_sum0("metered_savings")} as double) as total_kwh,
+              {_sum0("metered_savings")} as total_kwh,
               count(case when event <> 'Event 3' then non_responsive end) as n_flagged
             from savings where not initial_export group by event""",
         ),
@@ -321,7 +349,7 @@ def statements() -> dict[str, str]:
         "q_site_export": _with(
             ["clean"],
             f"""select meter_id, in_event_info, non_responsive, bad_meter,
-              cast({_strict("savings_kwh")} as double) as savings_kwh
+              {_strict("savings_kwh")} as savings_kwh
             from clean where event = 'Event 1' and savings_kwh > 0
             group by meter_id, in_event_info, non_responsive, bad_meter""",
         ),
@@ -330,24 +358,23 @@ def statements() -> dict[str, str]:
         ),
         "q_customer_activity": _with(
             ["activity"],
-            """select meter_id, event, cast(total_exact as double) as total_event_activity,
-              activity_label from activity""",
+            "select * from activity",
         ),
         "q_customer_activity_skipna": _with(
             ["clean"],
-            f"""select meter_id, event, cast({_sum0("savings_mw")} as double) as event_savings,
-              case when {_sum0("savings_mw")} > 0 then 'Active' else 'Inactive' end
+            f"""select meter_id, event, {_sum0("savings_kwh", mw=True)} as event_savings,
+              case when {_sum0("savings_kwh", mw=True)} > 0 then 'Active' else 'Inactive' end
                 as customer_activity
             from clean group by meter_id, event""",
         ),
         "q_interval_eventlabel": _with(
             ["eventlabel"],
-            """select event, "interval", cast(active as double) as mw_reduction_active,
-              cast(inactive as double) as mw_reduction_inactive from eventlabel""",
+            """select event, "interval", active as mw_reduction_active,
+              inactive as mw_reduction_inactive from eventlabel""",
         ),
         "q_event_totals": _with(
             ["eligible"],
-            f"""select event, {_round2(_sum0("savings_mw"))} as mw_reduction_active,
+            f"""select event, {_mw2("savings_kwh")} as mw_reduction_active,
               count(distinct row(meter_id)) as total_participants
             from eligible group by event""",
         ),
@@ -362,8 +389,8 @@ def statements() -> dict[str, str]:
         ),
         "q_event_rounded_totals": _with(
             ["eventlabel"],
-            """select event, cast(sum(active) as double) as total_kwh_active,
-              cast(sum(inactive) as double) as total_kwh_inactive
+            f"""select event, {_sum("active", "null")} as total_kwh_active,
+              {_sum("inactive", "null")} as total_kwh_inactive
             from eventlabel group by event""",
         ),
         "q_filter_ladder": _with(
@@ -397,8 +424,8 @@ def statements() -> dict[str, str]:
         "q_diff_histogram": _with(
             ["compared"],
             """select bin, n_sites, bin * 0.1::double as bin_center from (
-              select cast(ceil(absolute_savings_difference / 0.1::double
-                - (0.5::double + 1e-8::double)) as bigint) as bin, count(*) as n_sites
+              select ceil(absolute_savings_difference / 0.1::double
+                - (0.5::double + 1e-8::double)) as bin, count(*) as n_sites
               from compared where absolute_savings_difference is not null group by 1)""",
         ),
         "q_model_fit": _with(
@@ -412,7 +439,7 @@ def statements() -> dict[str, str]:
         ),
         "q_event_window": _with(
             ["hourly"],
-            f"""select id, cast({_strict("savings")} as double) as model_metered_savings
+            f"""select id, {_strict("savings")} as model_metered_savings
             from hourly
             where "time" >= timestamp '{WINDOW[0]}' and "time" <= timestamp '{WINDOW[1]}'
             group by id""",
@@ -475,7 +502,7 @@ def statements() -> dict[str, str]:
         ),
         "q_same_month_total": _with(
             ["local_reads"],
-            f"""select year, month, cast(total as double) as total_kwh, id, n_sites from (
+            f"""select year, month, total as total_kwh, id, n_sites from (
               select *, count(*) over (partition by year, month, total) as n_sites from (
                 select id, year, month, {_strict("kwh")} as total
                 from local_reads group by id, year, month)

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.functions import clock, missing
+from gridtally.functions import clock, exact, missing
 from gridtally.functions.ids import meter_id
+from gridtally.operators.exact_sums import binned_sums, exact_sums, gathered, or_zero, strict
 from gridtally.operators.joins import flag_members, left_join
 
 # Event labels and the customer flag that belongs to each.
@@ -27,6 +28,10 @@ EVENT_FLAGS = {
 }
 IN_INFO = "Yes"
 
+# MW totals are kWh totals times ten to this power: single values divided by 1,000 carry
+# rounding errors into their sum.
+KWH_IN_MW = -3
+
 
 # -- preparation ---------------------------------------------------------------
 
@@ -78,7 +83,7 @@ def savings_clean(
     its own: one exchange of the savings serves this join and the next, and the
     customer list is read once instead of once per event.
     """
-    kwh = missing.nan_to_null(F.col("metered_savings"))
+    kwh = exact.nan_to_null(F.col("metered_savings"))
     local = clock.utc_to_local(F.col("timestamp"), zone)
     rows = savings.select(
         meter_id(F.col("item_id")).alias("meter_id"),
@@ -120,13 +125,9 @@ def _eligible(clean: DataFrame) -> DataFrame:
     return clean.filter(~F.col("bad_meter") & F.col("in_event_info"))
 
 
-def _mw_where(condition: Column) -> Column:
-    """Exact MW total over the rows meeting a condition."""
-    return missing.sum_or_zero(F.when(condition, F.col("savings_mw")))
-
-
-def _rounded(total: Column) -> Column:
-    return missing.round_half_even(total, 2)
+def _rounded_mw(name: str) -> Column:
+    """An exact kWh total in MW, at two places; 0 where no row counted."""
+    return or_zero(exact.rounded(F.col(name), 2, KWH_IN_MW)).alias(name)
 
 
 # -- tables --------------------------------------------------------------------
@@ -134,29 +135,55 @@ def _rounded(total: Column) -> Column:
 
 def export_totals(clean: DataFrame) -> DataFrame:
     """Event totals of raw exports: rows and kWh per event."""
-    return clean.groupBy("event").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        missing.to_double(missing.sum_or_zero(F.col("metered_savings"))).alias("total_kwh"),
+    totals = exact_sums(
+        clean,
+        ["event"],
+        F.col("metered_savings"),
+        {"total_kwh": None},
+        {"n_rows": F.count(F.lit(1))},
     )
+    total = or_zero(exact.to_double(F.col("total_kwh")))
+    return totals.select("event", "n_rows", total.alias("total_kwh"))
 
 
 def site_export(clean: DataFrame, event: str = "Event 1") -> DataFrame:
     """Positive savings of one event per meter and flag set (unknown flags included)."""
+    keys = ["meter_id", "in_event_info", "non_responsive", "bad_meter"]
     positive = clean.filter((F.col("event") == event) & (F.col("savings_kwh") > 0))
-    return positive.groupBy("meter_id", "in_event_info", "non_responsive", "bad_meter").agg(
-        missing.to_double(missing.strict_sum(F.col("savings_kwh"))).alias("savings_kwh")
+    # A positive value is never unknown, so neither is the total.
+    totals = exact_sums(positive, keys, F.col("savings_kwh"), {"savings_kwh": None})
+    return totals.withColumn("savings_kwh", exact.to_double(F.col("savings_kwh")))
+
+
+def _by_row_sign(clean: DataFrame) -> DataFrame:
+    """Rounded MW by the sign of each row, and response counts, per event and interval."""
+    kwh, responsive = F.col("savings_kwh"), ~F.col("non_responsive")
+    totals = exact_sums(
+        _eligible(clean),
+        ["event", "interval"],
+        kwh,
+        {
+            "mw_reduction_active": (kwh > 0) & responsive,
+            "mw_reduction_inactive": (kwh < 0) & responsive,
+        },
+        {
+            "n_active": F.count_if(responsive),
+            "n_inactive": F.count_if(F.col("non_responsive")),
+        },
+    )
+    return totals.select(
+        "event",
+        "interval",
+        _rounded_mw("mw_reduction_active"),
+        "n_active",
+        _rounded_mw("mw_reduction_inactive"),
+        "n_inactive",
     )
 
 
 def interval_by_row_sign(clean: DataFrame) -> DataFrame:
     """MW per event and interval, split by the sign of each row; responsive rows only."""
-    mw, responsive = F.col("savings_mw"), ~F.col("non_responsive")
-    table = _eligible(clean).groupBy("event", "interval").agg(
-        missing.to_double(_rounded(_mw_where((mw > 0) & responsive))).alias("mw_reduction_active"),
-        missing.to_double(_rounded(_mw_where((mw < 0) & responsive))).alias(
-            "mw_reduction_inactive"
-        ),
-    )
+    table = _by_row_sign(clean).drop("n_active", "n_inactive")
     return table.orderBy(*missing.nulls_last("event", "interval"))
 
 
@@ -165,95 +192,131 @@ def interval_keys(clean: DataFrame) -> DataFrame:
     return interval_by_row_sign(clean).drop("mw_reduction_active", "mw_reduction_inactive")
 
 
+def _activity(clean: DataFrame) -> DataFrame:
+    """Exact kWh of each meter and event, its rows and those that have a value."""
+    return exact_sums(
+        clean,
+        ["meter_id", "event"],
+        F.col("savings_kwh"),
+        {"kwh": None},
+        {"n": F.count(F.lit(1)), "n_known": F.count("savings_kwh")},
+    )
+
+
 def customer_activity(clean: DataFrame) -> DataFrame:
     """Savings and activity label per meter and event; one unknown hour makes both unknown."""
-    total, lost = missing.strict_sum(F.col("savings_mw")), missing.lost_total(F.col("savings_mw"))
-    return clean.groupBy("meter_id", "event").agg(
-        missing.to_double(total).alias("total_event_activity"),
-        missing.total_label(total, lost).alias("activity_label"),
+    total = strict("kwh", "n", "n_known")
+    return _activity(clean).select(
+        "meter_id",
+        "event",
+        exact.to_double(total, KWH_IN_MW).alias("total_event_activity"),
+        missing.sign_label(exact.sign(total)).alias("activity_label"),
     )
 
 
 def customer_activity_skipping_unknown(clean: DataFrame) -> DataFrame:
     """The same, with unknown hours left out of the total."""
-    total, lost = missing.sum_or_zero(F.col("savings_mw")), missing.lost_total(F.col("savings_mw"))
-    return clean.groupBy("meter_id", "event").agg(
-        missing.to_double(total).alias("event_savings"),
-        missing.total_label(total, F.coalesce(lost, F.lit(0))).alias("customer_activity"),
+    total = F.col("kwh")
+    # Without any known hour the total is 0; infinities that cancel out are unknown.
+    sign = F.when(total.isNull(), F.lit(0)).otherwise(exact.sign(total))
+    mw = F.when(total.isNull(), F.lit(0.0)).otherwise(exact.to_double(total, KWH_IN_MW))
+    return _activity(clean).select(
+        "meter_id",
+        "event",
+        mw.alias("event_savings"),
+        missing.sign_label(sign).alias("customer_activity"),
     )
 
 
 def exact_by_event_label(clean: DataFrame) -> DataFrame:
-    """Rounded (still decimal) MW per event and interval, split by the meter's label.
+    """Rounded MW per event and interval, split by the meter's label for the whole event.
 
     The label needs the meter's whole event, the table needs its intervals. Rows
-    are first combined to one per meter, event, interval and flag set, map-side
-    where they repeat; the window over a meter's event then sees at most one day
-    of intervals, however many rows the meter has. No second read of the input
+    are first combined to one per meter, event, interval, flag set and bin of the exact
+    sum, map-side where they repeat; the windows over a meter's event then see at most one
+    day of intervals, however many rows the meter has. No second read of the input
     and no join back.
     """
-    known = F.count("savings_mw") == F.count(F.lit(1))
-    combined = clean.groupBy(
-        "meter_id", "event", "interval", "bad_meter", "in_event_info", "non_responsive"
-    ).agg(
-        missing.sum_or_zero(F.col("savings_mw")).alias("mw"),
-        missing.lost_total(F.col("savings_mw")).alias("lost"),
-        known.alias("known"),
-    )
+    known = {"n": F.count(F.lit(1)), "n_known": F.count("savings_kwh")}
+    flags = ["bad_meter", "in_event_info", "non_responsive"]
+    keys = ["meter_id", "event", "interval", *flags]
+    combined = binned_sums(clean, keys, F.col("savings_kwh"), {"kwh": None}, known)
 
+    # The wider window first: one exchange serves both.
     whole_event = Window.partitionBy("meter_id", "event")
-    total = F.when(F.min("known").over(whole_event), F.sum("mw").over(whole_event))
-    lost = F.sum("lost").over(whole_event)
-    labelled = combined.withColumn("activity_label", missing.total_label(total, lost))
+    bin_of_event = Window.partitionBy("meter_id", "event", "_bin")
+    all_known = F.sum("n").over(whole_event) == F.sum("n_known").over(whole_event)
+    sums = [F.sum(F.col("kwh")[limb]).over(bin_of_event).alias(limb) for limb in exact.LIMBS]
+    in_bin = F.when(F.col("kwh").isNotNull(), F.struct(F.col("kwh")["bin"].alias("bin"), *sums))
+    of_event = combined.withColumn("_known", all_known).withColumn("_in_bin", in_bin)
+    # Rows of one bin carry the same sum, so the set holds one for each bin.
+    bins = F.collect_set("_in_bin").over(whole_event)
+    labelled = of_event.withColumn("_sign", exact.sign(F.when(F.col("_known"), bins)))
 
-    mw = F.col("mw")
     responsive = ~F.col("non_responsive")
-
-    def split(label: str) -> Column:
-        rows = F.when((F.col("activity_label") == label) & responsive, mw)
-        return _rounded(F.coalesce(F.sum(rows), F.lit(0)))
-
-    return _eligible(labelled).groupBy("event", "interval").agg(
-        split("Active").alias("mw_reduction_active"),
-        split("Inactive").alias("mw_reduction_inactive"),
+    label = missing.sign_label(F.col("_sign"))
+    split = {"mw_reduction_active": "Active", "mw_reduction_inactive": "Inactive"}
+
+    def limb_sums(name: str, activity: str) -> Column:
+        mine = (label == activity) & responsive
+        limbs = [F.sum(F.when(mine, F.col("kwh")[limb])).alias(limb) for limb in exact.LIMBS]
+        total = F.struct(F.any_value("_bin").alias("bin"), *limbs)
+        return F.when(F.count_if(mine & F.col("kwh").isNotNull()) > 0, total).alias(name)
+
+    by_interval = (
+        _eligible(labelled)
+        .groupBy("event", "interval", "_bin")
+        .agg(*[limb_sums(name, activity) for name, activity in split.items()])
     )
+    totals = gathered(by_interval, ["event", "interval"], list(split))
+    return totals.select("event", "interval", *map(_rounded_mw, split))
 
 
-def interval_by_event_label(clean: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+def interval_by_event_label(clean: DataFrame, exact_table: DataFrame | None = None) -> DataFrame:
     """MW per event and interval, split by the meter's label for the whole event.
 
-    ``exact`` is the table of :func:`exact_by_event_label`, if it is at hand.
+    ``exact_table`` is that of :func:`exact_by_event_label`, if it is at hand.
     """
-    table = (exact_by_event_label(clean) if exact is None else exact).select(
-        "event",
-        "interval",
-        missing.to_double(F.col("mw_reduction_active")).alias("mw_reduction_active"),
-        missing.to_double(F.col("mw_reduction_inactive")).alias("mw_reduction_inactive"),
-    )
+    table = exact_by_event_label(clean) if exact_table is None else exact_table
     return table.orderBy(*missing.nulls_last("event", "interval"))
 
 
-def event_rounded_totals(clean: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+def event_rounded_totals(clean: DataFrame, exact_table: DataFrame | None = None) -> DataFrame:
     """Per event, the sum of the *rounded* interval values (MW, despite the names)."""
-    table = exact_by_event_label(clean) if exact is None else exact
-    return table.groupBy("event").agg(
-        missing.to_double(F.sum("mw_reduction_active")).alias("total_kwh_active"),
-        missing.to_double(F.sum("mw_reduction_inactive")).alias("total_kwh_inactive"),
-    )
+    table = exact_by_event_label(clean) if exact_table is None else exact_table
+    names = {"total_kwh_active": "mw_reduction_active", "total_kwh_inactive": "mw_reduction_inactive"}
+    values = [
+        F.struct(F.lit(name).alias("name"), F.col(column).alias("rounded_mw"))
+        for name, column in names.items()
+    ]
+    long = table.select("event", F.inline(F.array(*values)))
+    sums = {name: F.col("name") == name for name in names}
+    totals = exact_sums(long, ["event"], F.col("rounded_mw"), sums)
+    return totals.select("event", *[exact.to_double(F.col(name)).alias(name) for name in names])
 
 
 def event_totals(clean: DataFrame) -> DataFrame:
     """Per event, all eligible MW and the number of distinct meters.
 
     ``mw_reduction_active`` counts every eligible row, whatever its activity; the
-    name is kept from the report it is compared with.
+    name is kept from the report it is compared with. A meter is counted in the first
+    bin of its exact sum, so one pass serves both columns; an unknown meter is one meter.
     """
-    table = _eligible(clean).groupBy("event").agg(
-        missing.to_double(_rounded(missing.sum_or_zero(F.col("savings_mw")))).alias(
-            "mw_reduction_active"
-        ),
-        missing.distinct_with_null(F.col("meter_id")).alias("total_participants"),
+    name = "mw_reduction_active"
+    by_meter = binned_sums(
+        _eligible(clean), ["event", "meter_id"], F.col("savings_kwh"), {name: None}
+    )
+    order = Window.partitionBy("event", "meter_id").orderBy(F.asc_nulls_first("_bin"))
+    first = (F.row_number().over(order) == 1).cast("bigint")
+    marked = by_meter.withColumn("total_participants", first)
+    limbs = [F.sum(F.col(name)[limb]).alias(limb) for limb in exact.LIMBS]
+    summed = F.struct(F.any_value("_bin").alias("bin"), *limbs)
+    by_bin = marked.groupBy("event", "_bin").agg(
+        F.when(F.count(name) > 0, summed).alias(name),
+        F.sum("total_participants").alias("total_participants"),
     )
+    totals = gathered(by_bin, ["event"], [name], ["total_participants"])
+    table = totals.select("event", _rounded_mw(name), "total_participants")
     return table.orderBy(*missing.nulls_last("event"))
 
 
@@ -275,16 +338,7 @@ def interval_combined(clean: DataFrame) -> DataFrame:
     Both halves group the same rows by the same keys, so one aggregate computes
     them; a join of the two tables would return exactly this.
     """
-    mw, responsive = F.col("savings_mw"), ~F.col("non_responsive")
-    table = _eligible(clean).groupBy("event", "interval").agg(
-        missing.to_double(_rounded(_mw_where((mw > 0) & responsive))).alias("mw_reduction_active"),
-        F.count_if(responsive).alias("n_active"),
-        missing.to_double(_rounded(_mw_where((mw < 0) & responsive))).alias(
-            "mw_reduction_inactive"
-        ),
-        F.count_if(F.col("non_responsive")).alias("n_inactive"),
-    )
-    return table.orderBy(*missing.nulls_last("event", "interval"))
+    return _by_row_sign(clean).orderBy(*missing.nulls_last("event", "interval"))
 
 
 # -- filter ladder -------------------------------------------------------------

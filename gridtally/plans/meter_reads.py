@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.functions import clock, missing
+from gridtally.functions import clock, exact, missing
+from gridtally.operators.exact_sums import exact_sums, strict
 from gridtally.operators.joins import flag_members, inner_join, semi_join
 
 # Grains from coarse to fine; each adds one part of the local time.
@@ -28,7 +29,7 @@ def reads_of_sites(reads: DataFrame, sites: DataFrame) -> DataFrame:
     named = reads.select(
         F.col("account_id").alias("id"),
         *[F.col(part).cast("int").alias(part) for part in PARTS],
-        missing.nan_to_null(F.col("kwh").cast("double")).alias("kwh"),
+        exact.nan_to_null(F.col("kwh").cast("double")).alias("kwh"),
     )
     return semi_join(named, sites.withColumnRenamed("model_id", "id"), ["id"])
 
@@ -63,28 +64,30 @@ def local_reads(site_reads: DataFrame, zone: str = clock.DENVER) -> DataFrame:
 def read_totals(local: DataFrame, grain: str) -> DataFrame:
     """Observations and kWh per site and period; an unknown read makes the total unknown.
 
-    One exchange, with rows combined before it. The repeated wall-clock hour in
-    autumn is one period.
+    Rows are combined before they move. The repeated wall-clock hour in autumn is one
+    period.
     """
-    return _exact_totals(local, grain).withColumn(
-        "total_kwh", missing.to_double(F.col("total_kwh"))
-    )
-
-
-def _exact_totals(local: DataFrame, grain: str) -> DataFrame:
-    return local.groupBy("id", *GRAINS[grain]).agg(
-        F.count(F.lit(1)).alias("n_observations"),
-        missing.strict_sum(F.col("kwh")).alias("total_kwh"),
-    )
+    counts = {"n_observations": F.count(F.lit(1)), "n_known": F.count("kwh")}
+    return _strict_totals(local, grain, "kwh", counts)
 
 
 def coarser_totals(totals: DataFrame, grain: str) -> DataFrame:
     """Totals of a coarser grain from those of a finer one, without the reads."""
-    rolled = totals.groupBy("id", *GRAINS[grain]).agg(
-        F.sum("n_observations").alias("n_observations"),
-        missing.strict_sum(F.col("total_kwh")).alias("total_kwh"),
-    )
-    return rolled.withColumn("total_kwh", missing.to_double(F.col("total_kwh")))
+    counts = {
+        "n_observations": F.sum("n_observations"),
+        "n_periods": F.count(F.lit(1)),
+        "n_known": F.count("total_kwh"),
+    }
+    return _strict_totals(totals, grain, "total_kwh", counts, rows="n_periods")
+
+
+def _strict_totals(
+    frame: DataFrame, grain: str, value: str, counts: dict[str, Column], rows: str = "n_observations"
+) -> DataFrame:
+    keys = ["id", *GRAINS[grain]]
+    sums = exact_sums(frame, keys, F.col(value), {"total_kwh": None}, counts)
+    total = exact.to_double(strict("total_kwh", rows, "n_known"))
+    return sums.select(*keys, "n_observations", total.alias("total_kwh"))
 
 
 def in_time_order(totals: DataFrame, grain: str) -> DataFrame:
@@ -163,13 +166,20 @@ def same_month_totals(local: DataFrame, places: int | None = None) -> DataFrame:
     decimals. Shared totals are counted first and joined back, one row per site:
     a total shared by very many sites is never gathered in one place.
     """
-    keys = ["year", "month", "total_kwh"]
-    total = F.col("total_kwh")
-    if places is not None:
-        total = missing.round_half_even(total, places)
-    monthly = _exact_totals(local, "month").select("id", "year", "month", total.alias("total_kwh"))
-    known = monthly.filter("total_kwh is not null")
-    shared = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites")).filter("n_sites > 1")
-    return inner_join(known, shared, keys).select(
-        "year", "month", missing.to_double(F.col("total_kwh")).alias("total_kwh"), "id", "n_sites"
+    sums = exact_sums(
+        local,
+        ["id", "year", "month"],
+        F.col("kwh"),
+        {"total": None},
+        {"n": F.count(F.lit(1)), "n_known": F.count("kwh")},
+    )
+    known = sums.filter("n = n_known")
+    kwh = exact.to_double(F.col("total")) if places is None else exact.rounded(F.col("total"), places)
+    # Totals are compared as texts, which only equal numbers share.
+    same = exact.to_text(F.col("total")) if places is None else kwh.cast("string")
+    monthly = known.select("id", "year", "month", kwh.alias("total_kwh"), same.alias("same")).filter(
+        "same is not null"
     )
+    keys = ["year", "month", "same"]
+    shared = monthly.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites")).filter("n_sites > 1")
+    return inner_join(monthly, shared, keys).select("year", "month", "total_kwh", "id", "n_sites")

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.functions import clock, missing
+from gridtally.functions import clock, exact
 from gridtally.functions.ids import meter_id, site_of_document
 from gridtally.functions.numbers import number_from_text
+from gridtally.operators.exact_sums import exact_sums, strict
 from gridtally.operators.joins import left_join_many
 
 
@@ -58,9 +59,10 @@ def in_event_window(
 
 def site_savings(hourly: DataFrame) -> DataFrame:
     """Modelled savings per site over all hours; an unreadable value makes them unknown."""
-    return hourly.groupBy("id").agg(
-        missing.to_double(missing.strict_sum(F.col("savings"))).alias("model_metered_savings")
-    )
+    counts = {"n": F.count(F.lit(1)), "n_known": F.count("savings")}
+    sums = exact_sums(hourly, ["id"], F.col("savings"), {"total": None}, counts)
+    total = exact.to_double(strict("total", "n", "n_known"))
+    return sums.select("id", total.alias("model_metered_savings"))
 
 
 def model_vs_vendor(modelled: DataFrame, vendor: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def model_vs_vendor(modelled: DataFrame, vendor: DataFrame) -> DataFrame:
     estimates = vendor.select(
         meter_id(F.col("item_id")).alias("id"),
         "item_id",
-        missing.nan_to_null(F.col("metered_savings")).alias("vendor_estimation"),
+        exact.nan_to_null(F.col("metered_savings")).alias("vendor_estimation"),
     )
     joined = left_join_many(modelled, estimates, ["id"])
     gap = F.abs(F.col("model_metered_savings") - F.col("vendor_estimation"))
@@ -88,11 +90,14 @@ def model_vs_vendor(modelled: DataFrame, vendor: DataFrame) -> DataFrame:
 def mean_difference(compared: DataFrame) -> DataFrame:
     """Mean absolute difference: unknown if any site is unmatched, and over matches only."""
     gap = F.col("absolute_savings_difference")
-    return compared.agg(
-        missing.strict_mean(gap).alias("mean_difference"),
-        missing.matched_mean(gap).alias("matched_mean_difference"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(gap).alias("n_matched"),
+    counts = {"n_rows": F.count(F.lit(1)), "n_matched": F.count(gap)}
+    sums = exact_sums(compared, [], gap, {"total": None}, counts)
+    mean = F.try_divide(exact.to_double(F.col("total")), F.col("n_matched"))
+    return sums.select(
+        F.when(F.col("n_rows") == F.col("n_matched"), mean).alias("mean_difference"),
+        mean.alias("matched_mean_difference"),
+        "n_rows",
+        "n_matched",
     )
 
 
@@ -107,7 +112,9 @@ def difference_histogram(compared: DataFrame, width: float = 0.1) -> DataFrame:
     histogram plot draws them; rows without a difference are left out.
     """
     steps = F.col("absolute_savings_difference") / F.lit(width)
-    index = F.ceil(steps - F.lit(0.5 + _EDGE_TOLERANCE))
+    # A double of 2 ** 53 and more is whole, and may be too large for an integer.
+    near = F.ceil(steps - F.lit(0.5 + _EDGE_TOLERANCE)).cast("double")
+    index = F.when(steps < F.lit(2.0**53), near).otherwise(steps)
     return (
         compared.filter("absolute_savings_difference is not null")
         .groupBy(index.alias("bin"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.functions.missing import EXACT, nan_to_null
+from gridtally.functions.exact import nan_to_null
 from gridtally.operators.draws import draw
 from gridtally.operators.quantiles import exact_quantiles
 
@@ -21,6 +23,9 @@ QUARTILE_SIZE = 2_250
 SIMPLE_SIZE = 14_000
 SIMPLE_SEED = 12
 
+# Digits enough for any double.
+_WIDE = Context(prec=400)
+
 
 def _savings() -> Column:
     """Savings; NaN is missing, and Spark would take it for the largest number."""
@@ -121,12 +126,19 @@ def sample_check(sample: Sample) -> DataFrame:
     lines = [_line("negatives", NEGATIVE, F.col("negatives")), *bins]
     counted = counts.select(F.inline(F.array(*lines)))
     breaks = [
-        _line("break", f"{p:.0%}", F.bround(F.lit(float(b)).cast(EXACT), 2))
+        _line("break", f"{p:.0%}", F.lit(_two_places(b)))
         for p, b in zip(QUARTILE_PROBABILITIES, sample.breaks)
     ]
     return counted.union(spark.range(1).select(F.inline(F.array(*breaks))))
 
 
+def _two_places(value: float) -> float:
+    """Rounded as the decimal it prints as, ties to even; infinities stay."""
+    if math.isinf(value):
+        return value
+    return float(Decimal(repr(float(value))).quantize(Decimal("0.01"), ROUND_HALF_EVEN, _WIDE))
+
+
 def _line(metric: str, label: str, value: Column) -> Column:
     return F.struct(
         F.lit(metric).alias("metric"),

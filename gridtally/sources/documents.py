@@ -118,7 +118,7 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def unreadable_value(value: Column) -> Column:
-    """A value that is present but no number, or one too large to be added up."""
+    """A value that is present but no number, or none that a double holds."""
     return value.isNotNull() & number_from_text(value).isNull()
 
 

@@ -1,0 +1,178 @@
+"""Exact sums: any doubles, any order, any number of bins."""
+
+import math
+from decimal import ROUND_HALF_EVEN, Decimal, localcontext
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridtally.functions import exact
+from gridtally.functions.numbers import number_from_text
+from gridtally.operators.exact_sums import exact_sums, or_zero, strict
+from gridtally.plans import event_savings, meter_reads, samples
+
+INF, NAN = float("inf"), float("nan")
+
+def totals(spark, groups):
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    summed = exact_sums(df, ["k"], F.col("x"), {"t": None}, {"n": F.count(F.lit(1))})
+    t = F.col("t")
+    out = summed.select(
+        "k",
+        "n",
+        exact.to_double(t).alias("total"),
+        exact.to_double(t, -3).alias("thousandth"),
+        exact.rounded(t).alias("hundredths"),
+        exact.sign(t).alias("sign"),
+        exact.to_text(t).alias("text"),
+    ).collect()
+    # What each double stands for is what Spark prints.
+    printed = df.select("x", F.col("x").cast("string").alias("s")).distinct().collect()
+    return {r["k"]: r for r in out}, {r["x"]: r["s"] for r in printed}
+
+
+def check(spark, groups):
+    found, printed = totals(spark, groups)
+    assert set(found) == set(groups)
+    with localcontext(prec=1_400):
+        for k, values in groups.items():
+            total = sum((Decimal(printed[v]) for v in values), Decimal(0))
+            row = found[k]
+            assert row["n"] == len(values)
+            assert row["total"] == float(total), values
+            assert row["thousandth"] == float(total.scaleb(-3)), values
+            cents = total.quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN)
+            assert row["hundredths"] == float(cents), values
+            assert math.copysign(1, row["hundredths"]) == 1 or row["hundredths"] != 0
+            assert row["sign"] == (total > 0) - (total < 0), values
+            mark, digits, power = total.normalize().as_tuple()
+            plain = "0" if total == 0 else f"{'-' * mark}{''.join(map(str, digits))}E{power}"
+            assert row["text"] == plain, values
+
+
+FAR = [1e13, -1e13, 3e-10, -3e-10, 1e300, -1e300, 1e-300, 5e-324, 1.5e308, -1.5e308, 0.1, 0.2, -0.3,
+       12.345, 0.005, 0.015, 0.025, 4194304.5, -4194303.999999999, 2.0**53, 73.66547000000001]
+
+
+def test_planted(spark):
+    check(
+        spark,
+        {
+            0: [1e300, 1e-300, -1e300], 1: [0.1] * 10 + [-1.0], 2: [1e13, 3e-10, -1e13], 3: [12.345],
+            4: [0.125, 0.25], 5: [0.005], 6: [-0.005], 7: [0.015], 8: [1e13, 0.005], 9: [3e-10],
+            10: [0.0], 11: [-0.0], 12: [1e22, 1.0, -1e22], 13: [5e-324], 14: FAR, 15: [-2.675, 1e-20],
+            16: [999_999.999_999_999] * 50, 17: [-1e-9] * 3, 18: [0.994999999999, 1e-15], 19: [1e30, 0.01],
+        },
+    )
+
+
+values = st.one_of(
+    st.integers(-(10**9), 10**9).map(lambda n: n / 100),
+    st.integers(-(10**15), 10**15).map(lambda n: n / 10**9),
+    st.sampled_from(FAR),
+    st.floats(allow_nan=False, allow_infinity=False).filter(lambda x: abs(x) < 1e306),
+)
+
+
+@settings(
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.lists(st.lists(values, min_size=1, max_size=25), min_size=1, max_size=25))
+def test_equals_decimal_sums(spark, groups):
+    check(spark, dict(enumerate(groups)))
+
+
+def test_infinite_unknown_and_nothing(spark):
+    groups = {1: [INF, 1.0], 2: [INF, -INF], 3: [-INF, 1e300], 4: [NAN], 5: [None], 6: [NAN, 2.0]}
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "k int, x double")
+    known = F.count(exact.nan_to_null(F.col("x")))
+    summed = exact_sums(df, ["k"], F.col("x"), {"t": None}, {"n": F.count(F.lit(1)), "m": known})
+    strict_total = exact.to_double(strict("t", "n", "m"))
+    skipping = or_zero(exact.rounded(F.col("t")))
+    out = {r[0]: tuple(r)[1:] for r in summed.select("k", strict_total, skipping).collect()}
+    assert out == {
+        1: (INF, INF), 2: (None, 0.0), 3: (-INF, -INF), 4: (None, 0.0), 5: (None, 0.0), 6: (None, 2.0),
+    }
+
+
+def test_conditions_and_empty_frames(spark):
+    df = spark.createDataFrame([(1, 0.5), (1, -2.0), (1, 1e20), (2, -1.0)], "k int, x double")
+    x = F.col("x")
+    sums = exact_sums(df, ["k"], x, {"plus": x > 0, "minus": x < 0})
+    out = {
+        r["k"]: (r["p"], r["m"])
+        for r in sums.select(
+            "k", exact.to_double(F.col("plus")).alias("p"), exact.to_double(F.col("minus")).alias("m")
+        ).collect()
+    }
+    assert out == {1: (1e20, -2.0), 2: (None, -1.0)}
+    none = df.where("false")
+    assert exact_sums(none, ["k"], x, {"t": None}).collect() == []
+    whole = exact_sums(none, [], x, {"t": None}, {"n": F.count(F.lit(1))}).first()
+    assert (whole["t"], whole["n"]) == (None, 0)
+
+
+def test_many_small_values(spark):
+    df = spark.range(1_000_000).select(F.lit(0.1).alias("x"))
+    total = exact_sums(df, [], F.col("x"), {"t": None})
+    assert total.select(exact.to_double(F.col("t"))).first()[0] == 100_000.0
+
+
+def test_large_group_of_large_limbs(spark):
+    df = spark.range(3_000_000).select(F.lit(4194303.999999999).alias("x"))
+    total = exact_sums(df, [], F.col("x"), {"t": None})
+    expected = float(Decimal("4194303.999999999") * 3_000_000)
+    assert total.select(exact.to_double(F.col("t"))).first()[0] == expected
+
+
+@pytest.mark.parametrize(
+    ("kwh", "label"),
+    [([3e-10], "Active"), ([-3e-10], "Inactive"), ([30.0, -30.0], "Inactive"), ([1e300, -1e300, 1e-300], "Active"),
+     ([10.0, 20.0, -30.0], "Inactive"), ([1000.0, -1000.0, 4e-12], "Active"), ([INF, -1.0], "Active"),
+     ([INF, -INF], None), ([None, 1.0], None)],
+)
+def test_label_of_small_and_far_totals(spark, kwh, label):
+    rows = [("m", "Event 1", "i", False, True, False, v) for v in kwh]
+    clean = spark.createDataFrame(
+        rows,
+        "meter_id string, event string, interval string, bad_meter boolean, in_event_info boolean,"
+        " non_responsive boolean, savings_kwh double",
+    )
+    assert event_savings.customer_activity(clean).first()["activity_label"] == label
+    table = event_savings.interval_by_event_label(clean).first()
+    assert (table["mw_reduction_inactive"] != 0) <= (label == "Inactive")
+
+
+def test_exact_totals_stay_exact_in_coarser_periods(spark):
+    hours = [("a", 2024, 7, 1, h, 1, v) for h, v in enumerate([1e13, 3e-10, -1e13])]
+    hours += [("b", 2024, 7, 1, 0, 1, None), ("b", 2024, 7, 1, 1, 2, 1.0)]
+    schema = "id string, year int, month int, day int, hour int, n_observations long, total_kwh double"
+    days = meter_reads.coarser_totals(spark.createDataFrame(hours, schema), "day")
+    assert {(r["id"], r["n_observations"], r["total_kwh"]) for r in days.collect()} == {
+        ("a", 3, 3e-10), ("b", 3, None),
+    }
+
+
+def test_shared_totals_are_the_same_number(spark):
+    reads = [("a", 0.1), ("a", 0.2), ("b", 0.3), ("c", 0.30000000000000004), ("d", 1e300), ("d", -1e300), ("e", 0.0)]
+    local = spark.createDataFrame([(i, 2024, 7, 1, 0, v) for i, v in reads], "id string, year int, month int, day int, hour int, kwh double")
+    shared = meter_reads.same_month_totals(local).collect()
+    assert {(r["id"], r["total_kwh"], r["n_sites"]) for r in shared} == {
+        ("a", 0.3, 2), ("b", 0.3, 2), ("d", 0.0, 2), ("e", 0.0, 2),
+    }
+
+
+def test_break_points_at_two_places():
+    places = {0.125: 0.12, 12.345: 12.34, 1e13: 1e13, 3e-10: 0.0, 1e300: 1e300, INF: INF}
+    assert {value: samples._two_places(value) for value in places} == places
+
+
+def test_numbers_of_any_size_are_read(spark):
+    texts = {"9e12": 9e12, "1e13": 1e13, "1e300": 1e300, "-1e19": -1e19, "1e-400": 0.0, "1e999": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", number_from_text(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in out} == texts

@@ -440,7 +440,7 @@ def test_only_one_whole_object_loads(spark, text, status):
 
 def test_values_that_are_no_numbers(spark):
     good = {"1": 1.0, "-2.5": -2.5, "1e3": 1000.0, "+.5": 0.5, "3.": 3.0}
-    bad = ["NaN", "Infinity", "1e19", "3d", "4f", "text", "0x1", "1_000", ""]
+    bad = ["NaN", "Infinity", "1e999", "3d", "4f", "text", "0x1", "1_000", ""]
     df = spark.createDataFrame([(v,) for v in [*good, *bad]], "v string")
     out = {r.v: r.n for r in df.select("v", number_from_text(F.col("v")).alias("n")).collect()}
     assert out == {**good, **dict.fromkeys(bad)}

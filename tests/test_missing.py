@@ -1,13 +1,9 @@
 """Missing-value rules, each on a hand-made frame."""
 
-from decimal import Decimal
-
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridtally.functions import missing
+from gridtally.functions import exact, missing
 from gridtally.operators import joins
 
 
@@ -19,64 +15,6 @@ def one(df, *columns):
     return tuple(df.agg(*columns).first())
 
 
-def test_strict_sum_is_null_after_one_null(spark):
-    df = frame(spark, [("a", 1.0), ("a", None), ("b", 1.5), ("b", 2.0)], "k string, x double")
-    out = df.groupBy("k").agg(missing.to_double(missing.strict_sum(F.col("x"))).alias("s"))
-    assert {r.k: r.s for r in out.collect()} == {"a": None, "b": 3.5}
-
-
-def test_sum_or_zero_of_nothing_is_zero(spark):
-    df = frame(spark, [("a", None), ("a", None), ("b", None), ("b", 2.0)], "k string, x double")
-    out = df.groupBy("k").agg(missing.to_double(missing.sum_or_zero(F.col("x"))).alias("s"))
-    assert {r.k: r.s for r in out.collect()} == {"a": 0.0, "b": 2.0}
-
-
-def test_means(spark):
-    x = F.col("x")
-    gaps = frame(spark, [(1.0,), (None,), (2.0,)], "x double")
-    assert one(gaps, missing.strict_mean(x), missing.matched_mean(x)) == (None, 1.5)
-    full = frame(spark, [(1.0,), (2.0,)], "x double")
-    assert one(full, missing.strict_mean(x), missing.matched_mean(x)) == (1.5, 1.5)
-    empty = frame(spark, [(None,)], "x double")
-    assert one(empty, missing.matched_mean(x)) == (None,)
-
-
-@settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
-)
-@given(
-    st.lists(
-        st.one_of(
-            st.integers(-(10**15), 10**15).map(lambda n: n / 10**9),
-            st.integers(-(10**8), 10**8).map(lambda n: n / 100),
-        ),
-        min_size=1,
-        max_size=60,
-    )
-)
-def test_exact_total_equals_decimal_sum(spark, values):
-    df = frame(spark, [(v,) for v in values], "x double").repartition(3)
-    expected = sum((Decimal(repr(v)).quantize(Decimal("1e-9")) for v in values), Decimal(0))
-    assert one(df, missing.exact_total(F.col("x"))) == (expected,)
-
-
-def test_exact_total_of_many_small_values(spark):
-    df = spark.range(1_000_000).select(F.lit(0.1).alias("x"))
-    assert one(df, missing.exact_total(F.col("x"))) == (Decimal("100000.000000000"),)
-
-
-def test_infinite_value_raises(spark):
-    df = frame(spark, [(float("inf"),)], "x double")
-    with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
-        df.agg(missing.exact_total(F.col("x"))).collect()
-
-
-def test_rounding_ties_go_to_even(spark):
-    df = frame(spark, [(0.125,), (0.375,), (-0.125,), (0.135,)], "x double")
-    rounded = missing.round_half_even(F.col("x").cast("decimal(20,9)"), 2).cast("double")
-    assert [r[0] for r in df.select(rounded).collect()] == [0.12, 0.38, -0.12, 0.14]
-
-
 def test_distinct_counts_null_as_a_value(spark):
     rows = [("a", 1), ("a", None), (None, None), (None, 1), ("a", 1)]
     df = frame(spark, rows, "a string, b int")
@@ -90,7 +28,7 @@ def test_distinct_counts_null_as_a_value(spark):
 
 def test_nan_is_missing(spark):
     df = frame(spark, [(float("nan"),), (None,), (-1.0,), (0.0,), (3.0,)], "x double")
-    x = missing.nan_to_null(F.col("x"))
+    x = exact.nan_to_null(F.col("x"))
     rows = df.select(x, missing.sign_label(x)).collect()
     assert [tuple(r) for r in rows] == [
         (None, None),
@@ -163,18 +101,3 @@ def test_membership_is_never_null(sides):
 def test_semi_join_keeps_rows_once(sides):
     left, right = sides
     assert rows_of(joins.semi_join(left, right, ["k"]), "x") == [(1,), (3,), (4,)]
-
-
-
-
-@pytest.mark.parametrize(
-    ("values", "label"),
-    [([3e-10], "Active"), ([-3e-10], "Inactive"), ([0.03, -0.03], "Inactive"),
-     ([0.01, 0.02, -0.03], "Inactive"), ([1.0, -1.0, 4e-12], "Active"), ([2e-9, -3e-10], "Active"), ([None], None)],
-)
-def test_label_of_totals_below_nine_decimals(spark, values, label):
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    total = df.agg(
-        missing.total_label(missing.strict_sum(F.col("x")), missing.lost_total(F.col("x"))).alias("l")
-    )
-    assert total.first().l == label
