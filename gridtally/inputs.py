@@ -159,6 +159,9 @@ def model_documents(spark: SparkSession, folder: str) -> DataFrame:
              when user_id % 31 = 30 then concat('{"metered_savings":{', entries, '}} junk')
              when user_id % 37 = 36 then concat('{"metered_savings":{', entries, '}}{"a":1}')
              when user_id % 41 = 40 then '  '
+             when user_id % 43 = 42 then concat('[{', entries, '}]')
+             when user_id % 47 = 46 then '{"metered_savings":[1,2]}'
+             when user_id % 53 = 52 then concat('metered_savings = ', user_id)
              when user_id % 2 = 0 then concat('{"data":{"metered_savings":{', entries, '}}}')
              else concat('{"metered_savings":{', entries, '}}') end as text""",
     )
@@ -172,6 +175,19 @@ def unknown_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hourly_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Model outputs of unknown shape: single values, objects, lists, and a field of two types."""
+    return table(spark, folder, "events").selectExpr(
+        "event_id",
+        """concat('{"site":"', user_id, '","model":{"r2":', round(value / 100, 4),
+             ',"fit":{"name":"', event_type, '"}},"hour":[0,1,2],"load":[', value, ',',
+             if(event_id % 4 = 0, 'null', cast(event_id as string)), '],"tag":',
+             if(event_id % 2 = 0, cast(event_id as string), '"odd"'),
+             if(event_id % 3 = 0, ',"checked":true', ''), '}',
+             if(event_id % 19 = 18, '{}', '')) as text""",
+    )
+
+
 def updated_exports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """One export per event; that of event 3 lacks a column."""
     updated = savings(spark, folder).filter("not initial_export").drop("initial_export")

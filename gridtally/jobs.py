@@ -176,10 +176,9 @@ def model_report(
     spark: SparkSession, documents_folder: str, frame_path: str, out: str
 ) -> dict[str, DataFrame]:
     """Model outputs per site next to the vendor's estimates."""
-    listed = documents.of_family(
-        documents.list_documents(spark, documents_folder), documents.SAVINGS_FAMILY
-    )
-    texts = documents.read_savings_documents(spark, documents_folder)
+    every = documents.list_documents(spark, documents_folder)
+    listed = documents.of_family(every, documents.SAVINGS_FAMILY)
+    texts = documents.read_savings_documents(spark, documents_folder, every)
     # Documents are read and parsed once, and compared with the vendor once.
     read = write_table(documents.parse_savings(texts), f"{out}/parsed_documents")
     parsed = documents.with_unread(read, listed)
@@ -197,6 +196,7 @@ def model_report(
         "linear_fit": model_compare.linear_fit(compared),
         "load_report": documents.load_report(parsed),
         "rejects": documents.rejects(parsed),
+        "reject_reasons": documents.reject_reasons(parsed),
     }
     _write_all(tables, out)
     return tables

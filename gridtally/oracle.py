@@ -155,7 +155,15 @@ _BLOCKS["responses"] = """
     from eligible group by event, "interval" """
 
 # Documents that hold one object and nothing else.
-_LOADED = "user_id % 29 <> 28 and user_id % 31 <> 30 and user_id % 37 <> 36 and user_id % 41 <> 40"
+_LOADED = " and ".join(
+    f"user_id % {n} <> {n - 1}" for n in (29, 31, 37, 41, 43, 47, 53)
+)
+
+# Why the others are rejected.
+_REASON = """case when user_id % 29 = 28 then 'truncated' when user_id % 31 = 30 then 'trailing text'
+      when user_id % 37 = 36 then 'trailing text' when user_id % 41 = 40 then 'blank'
+      when user_id % 43 = 42 then 'no object' when user_id % 47 = 46 then 'wrong field type'
+      else 'malformed' end"""
 
 _BLOCKS["hourly"] = f"""
     select cast(user_id as varchar) as id,
@@ -452,6 +460,20 @@ def statements() -> dict[str, str]:
                 and event_id % 1009 between 1 and 5) as n_unreadable,
               count(*) filter (where {_LOADED} and event_id % 1013 = 7) as n_unreadable_times
             from events group by 1""",
+        "q_reject_reasons": f"""
+            select {_REASON} as reason, count(distinct (user_id, event_id // 5000)) as n_documents
+            from events where not ({_LOADED}) group by 1""",
+        "q_hourly_rows": """
+            select event_id, "row"::int as "row",
+              case when event_id % 3 = 0 then true end as checked,
+              "row"::bigint as hour,
+              case "row" when 0 then value
+                when 1 then case when event_id % 4 <> 0 then event_id end end::double as load,
+              event_type as model_fit_name, round(value / 100, 4) as model_r2,
+              user_id::varchar as site,
+              case when event_id % 2 = 0 then event_id::varchar else '"odd"' end as tag
+            from events, (values (0), (1), (2)) places("row")
+            where event_id % 19 <> 18""",
         "q_hourly_profile": """
             with texts as (
               select left(props, length(props) - 1) || ', "site": "' || user_id || '"'

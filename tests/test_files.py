@@ -181,6 +181,27 @@ def test_empty_and_vanished_files_are_rejected(spark, tmp_path):
     }
 
 
+def test_no_file_name_passes_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        put(tmp_path / "docs", f"run {i % 7}/metered_savings_{i}%20é.txt", "{}" if i % 3 else "")
+
+    def refused(*_, **__):
+        raise AssertionError("a list of files on the driver")
+
+    monkeypatch.setattr(type(spark.range(0)), "inputFiles", refused)
+    monkeypatch.setattr(type(spark.range(0)), "collect", refused)
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    folder = str(tmp_path / "docs")
+    listed = documents.list_documents(spark, folder)
+    parsed = documents.parse_savings(documents.read_savings_documents(spark, folder))
+    whole = documents.with_unread(parsed, listed)
+    monkeypatch.undo()
+    assert whole.groupBy("status", "reason").count().orderBy("status").collect() == [
+        ("loaded", None, 26), ("rejected", "not read", 14),
+    ]
+    assert {r.file_name for r in whole.collect()} == {f"metered_savings_{i}%20é.txt" for i in range(40)}
+
+
 def test_family_matches_the_whole_path(spark, tmp_path):
     put(tmp_path / "docs", "metered_savings_run/other.txt", "{}")
     found = documents.read_savings_documents(spark, str(tmp_path / "docs"))
@@ -250,6 +271,34 @@ def test_rejects_and_report(spark, folder):
     }
     report = {r.status: tuple(r)[1:] for r in documents.load_report(parsed).collect()}
     assert report == {"loaded": (8, 12, 2, 1), "rejected": (3, 0, 0, 0)}
+    reasons = {tuple(r) for r in documents.reject_reasons(parsed).collect()}
+    assert reasons == {("truncated", 1), ("blank", 1), ("no object", 1)}
+
+
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        (None, "blank"), ("", "blank"), (" \n\t", "blank"), ("{", "truncated"), ('{"metered_savings":{"a', "truncated"),
+        ('{"metered_savings":{"a":1}', "truncated"), ('{"a":"}}"', "truncated"), ('["x", {"y":1}', "truncated"),
+        ('{"a":1}}', "trailing text"), ('{"a":1} {"a":2}', "trailing text"), ("[1],[2]", "trailing text"),
+        ("[]", "no object"), ("3.5", "no object"), ('"text"', "no object"), ("null", "no object"),
+        ("savings", "malformed"), ('{"a" 1}', "malformed"), ("{a}", "malformed"),
+        ('{"metered_savings":[1]}', "wrong field type"), ('{"metered_savings":5}', "wrong field type"),
+        ('{"data":[{"metered_savings":{}}]}', "wrong field type"), ('{"data":{"metered_savings":"x"}}', "wrong field type"),
+        ('{"data":{"x":1},"metered_savings":7}', None), ('{"data":null,"metered_savings":null}', None),
+        ("{}", None), ('{"metered_savings":{}}', None), ('{"metered_savings":{"a":1}}', None),
+    ],
+)
+def test_reasons(spark, text, reason):
+    df = spark.createDataFrame([("f.txt", text)], "file_name string, text string")
+    row = documents.parse_savings(df).first()
+    assert (row.reason, row.status) == (reason, "loaded" if reason is None else "rejected")
+
+
+def test_envelope_that_is_not_unwrapped_may_be_anything(spark):
+    df = spark.createDataFrame([("f.txt", '{"data":5,"metered_savings":{"a":1}}')], "file_name string, text string")
+    assert documents.parse_savings(df).first().reason == "wrong field type"
+    assert documents.parse_savings(df, unwrap=False).first().reason is None
 
 
 def test_documents_of_unknown_shape(spark, folder):
@@ -264,6 +313,47 @@ def test_documents_of_unknown_shape(spark, folder):
     assert set(profile) == {"site", "r2", "hours"}
 
 
+def rows_of(spark, texts, kind=None):
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    table = documents.typed_rows(documents.parse_any(df), kind)
+    return table.columns, sorted((tuple(r) for r in table.collect()), key=str)
+
+
+def test_typed_rows(spark):
+    columns, rows = rows_of(
+        spark,
+        [
+            '{"site":"a","r2":0.5,"hours":[1,2,3],"load":[1.5,null],"deep":{"x":{"y":7}},"odd`name":1}',
+            '{"site":"b","r2":1,"mixed":"text","deep_x_y":"taken"}',
+            '{"mixed":2.5,"parts":[{"p":1}],"hours":[]}',
+            "[1]", "{bad", '{"site":"c"} {}', None, "{}",
+        ],
+    )
+    assert columns == [
+        "n", "row", "deep_x_y", "deep_x_y_2", "hours", "load", "mixed", "odd`name", "parts", "r2", "site",
+    ]
+    assert rows == [
+        (0, 0, 7, None, 1, 1.5, None, 1, None, 0.5, "a"),
+        (0, 1, 7, None, 2, None, None, 1, None, 0.5, "a"),
+        (0, 2, 7, None, 3, None, None, 1, None, 0.5, "a"),
+        (1, 0, None, "taken", None, None, '"text"', None, None, 1.0, "b"),
+        (2, 0, None, None, None, None, "2.5", None, '[{"p":1}]', None, None),
+        (7, 0, None, None, None, None, None, None, None, None, None),
+    ]
+
+
+def test_typed_rows_of_nothing(spark):
+    assert rows_of(spark, ["[1]", "x"]) == (["n", "row"], [])
+    assert rows_of(spark, [])[1] == []
+
+
+def test_typed_rows_of_a_known_type(spark):
+    from pyspark.sql.types import LongType, StructType
+
+    columns, rows = rows_of(spark, ['{"a":1,"b":2}', '{"a":"x"}'], StructType().add("a", LongType()))
+    assert columns == ["n", "row", "a"] and rows == [(0, 0, 1), (1, 0, None)]
+
+
 # -- comparison ----------------------------------------------------------------------
 
 
