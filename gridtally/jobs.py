@@ -1,7 +1,8 @@
 """Whole analyses, from files to report folders.
 
 Each job reads its inputs, writes every table of one analysis below an output
-folder, and returns the tables. Files are read, and documents parsed, once: what
+folder, and returns the tables, among them a report of the cells that could not be read
+(``cell_report``). Files are read, and documents parsed, once: what
 several reports need is written as Parquet and read back, so no report recomputes it
 and a lost executor costs only its own tasks.
 """
@@ -19,7 +20,7 @@ from gridtally.functions import clock, missing
 from gridtally.plans import event_savings, meter_reads, model_compare, samples
 from gridtally.sources import documents
 from gridtally.sources.sinks import write_csv, write_table
-from gridtally.sources.tables import read_csv
+from gridtally.sources.tables import CellReport, read_csv
 
 # Headers of the delivered files and the type of each column.
 EXPORT_COLUMNS = {
@@ -48,23 +49,30 @@ SITE_COLUMNS = {"model_id": "string"}
 # -- readers ---------------------------------------------------------------------
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    export = read_csv(spark, path, EXPORT_COLUMNS)
+def read_export(
+    spark: SparkSession, path: str, report: CellReport | None = None, table: str | None = None
+) -> DataFrame:
+    export = read_csv(spark, path, EXPORT_COLUMNS, report=report, table=table)
     return export.withColumnRenamed("Non-responsive", "non_responsive")
 
 
-def read_meter_list(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, METER_LIST_COLUMNS).withColumnRenamed("meterId", "meter_raw")
+def read_meter_list(
+    spark: SparkSession, path: str, report: CellReport | None = None, table: str | None = None
+) -> DataFrame:
+    meters = read_csv(spark, path, METER_LIST_COLUMNS, report=report, table=table)
+    return meters.withColumnRenamed("meterId", "meter_raw")
 
 
-def read_frame(spark: SparkSession, path: str) -> DataFrame:
+def read_frame(spark: SparkSession, path: str, report: CellReport | None = None) -> DataFrame:
     """Vendor sample frame; blank ids stay blank."""
-    return read_csv(spark, path, FRAME_COLUMNS, blank_is_null=False)
+    return read_csv(spark, path, FRAME_COLUMNS, blank_is_null=False, report=report, table="frame")
 
 
-def read_hourly_reads(spark: SparkSession, path: str) -> DataFrame:
+def read_hourly_reads(
+    spark: SparkSession, path: str, report: CellReport | None = None
+) -> DataFrame:
     names = {"Account #": "account_id", "kWh": "kwh"}
-    reads = read_csv(spark, path, READ_COLUMNS)
+    reads = read_csv(spark, path, READ_COLUMNS, report=report, table="reads")
     return reads.withColumnsRenamed({c: names.get(c, c.lower()) for c in READ_COLUMNS})
 
 
@@ -85,9 +93,16 @@ def event_savings_report(
     spark: SparkSession, files: EventFiles, out: str, zone: str = clock.DENVER
 ) -> dict[str, DataFrame]:
     """Event tables, count reconciliation and the site export."""
-    exports = {event: read_export(spark, path) for event, path in files.exports.items()}
-    customers = read_csv(spark, files.customers, CUSTOMER_COLUMNS)
-    lists = [read_meter_list(spark, path) for path in files.meter_lists]
+    cells = CellReport()
+    exports = {
+        event: read_export(spark, path, cells, f"export {event}")
+        for event, path in files.exports.items()
+    }
+    customers = read_csv(spark, files.customers, CUSTOMER_COLUMNS, report=cells, table="customers")
+    lists = [
+        read_meter_list(spark, path, cells, f"meter list {n}")
+        for n, path in enumerate(files.meter_lists, 1)
+    ]
     prepared = event_savings.savings_clean(
         event_savings.union_events(exports),
         event_savings.customer_flags(customers),
@@ -114,7 +129,10 @@ def event_savings_report(
         "updated_savings": event_savings.site_export(clean),
     }
     if files.initial_exports:
-        initial = {e: read_export(spark, path) for e, path in files.initial_exports.items()}
+        initial = {
+            event: read_export(spark, path, cells, f"initial export {event}")
+            for event, path in files.initial_exports.items()
+        }
         superseded = event_savings.union_events(initial)
         tables["initial_totals"] = event_savings.export_totals(superseded)
 
@@ -124,7 +142,7 @@ def event_savings_report(
     )
     for rung in [*event_savings.LADDER, event_savings.ALL_FLAGS]:
         tables[rung] = ladder.filter(F.col("scenario") == rung).drop("scenario")
-    _write_all(tables, out)
+    _write_all(tables, out, cells)
     return {"savings_clean": clean, **tables}
 
 
@@ -143,8 +161,9 @@ def meter_read_report(
 
     ``extract`` names sites and a local day whose hours are written as well.
     """
-    reads = read_hourly_reads(spark, reads_path)
-    sites = read_csv(spark, sites_path, SITE_COLUMNS)
+    cells = CellReport()
+    reads = read_hourly_reads(spark, reads_path, cells)
+    sites = read_csv(spark, sites_path, SITE_COLUMNS, report=cells, table="sites")
     # The file is read once; every report reads the table of the sites' reads.
     kept = meter_reads.with_local_time(meter_reads.reads_of_sites(reads, sites), zone)
     timed = write_table(kept, f"{out}/site_reads")
@@ -165,7 +184,7 @@ def meter_read_report(
     }
     if extract is not None:
         tables["extract"] = meter_reads.hourly_extract(site_reads, *extract, zone=zone)
-    _write_all(tables, out)
+    _write_all(tables, out, cells)
     return tables
 
 
@@ -185,9 +204,9 @@ def model_report(
     modelled = write_table(
         model_compare.site_savings(model_compare.flatten(parsed)), f"{out}/site_savings"
     )
-    compared = write_table(
-        model_compare.model_vs_vendor(modelled, read_frame(spark, frame_path)), f"{out}/compared"
-    )
+    cells = CellReport()
+    frame = read_frame(spark, frame_path, cells)
+    compared = write_table(model_compare.model_vs_vendor(modelled, frame), f"{out}/compared")
     tables = {
         "savings_processed": compared,
         "site_ids": modelled.select(F.col("id").alias("model_id")),
@@ -198,7 +217,7 @@ def model_report(
         "rejects": documents.rejects(parsed),
         "reject_reasons": documents.reject_reasons(parsed),
     }
-    _write_all(tables, out)
+    _write_all(tables, out, cells)
     return tables
 
 
@@ -214,12 +233,13 @@ def stratified_sample_report(
     seed: int | str = samples.SIMPLE_SEED,
 ) -> samples.Sample:
     """Draw and write the stratified sample and its check."""
-    sample = samples.stratified_sample(
-        read_frame(spark, frame_path), n_negative, n_per_quartile, seed
-    )
+    cells = CellReport()
+    frame = read_frame(spark, frame_path, cells)
+    sample = samples.stratified_sample(frame, n_negative, n_per_quartile, seed)
     drawn = samples.Sample(write_table(sample.rows, f"{out}/drawn"), sample.breaks)
     write_csv(drawn.ids(), f"{out}/sample", quote_all=True)
     write_csv(samples.sample_check(drawn), f"{out}/sample_check")
+    write_csv(cells.table(spark), f"{out}/cell_report")
     return drawn
 
 
@@ -231,11 +251,17 @@ def simple_sample_report(
     seed: int | str = samples.SIMPLE_SEED,
 ) -> DataFrame:
     """Draw and write the simple sample."""
-    sample = samples.simple_sample(read_frame(spark, frame_path), n, seed)
+    cells = CellReport()
+    sample = samples.simple_sample(read_frame(spark, frame_path, cells), n, seed)
     write_csv(sample, f"{out}/sample")
+    write_csv(cells.table(spark), f"{out}/cell_report")
     return sample
 
 
-def _write_all(tables: Mapping[str, DataFrame], out: str) -> None:
+def _write_all(tables: dict[str, DataFrame], out: str, cells: CellReport) -> None:
+    """Writes all tables, and then the cells that the passes counted."""
     for name, table in tables.items():
         write_csv(table, f"{out}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    tables["cell_report"] = cells.table(spark)
+    write_csv(tables["cell_report"], f"{out}/cell_report")

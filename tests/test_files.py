@@ -12,7 +12,7 @@ from gridtally import jobs
 from gridtally.functions.numbers import integer_from_text, number_from_text
 from gridtally.plans import model_compare
 from gridtally.sources import documents, sinks
-from gridtally.sources.tables import read_csv
+from gridtally.sources.tables import CellReport, read_csv
 
 EXPORT = jobs.EXPORT_COLUMNS
 
@@ -60,6 +60,34 @@ def test_cells(spark, tmp_path):
     ]
 
 
+def test_lost_cells_are_counted_in_the_pass(spark, tmp_path):
+    path = put(
+        tmp_path,
+        "e.csv",
+        "item_id,timestamp,metered_savings,Non-responsive\n"
+        "1,2024-07-12T19:00:00Z,1.5,TRUE\n2,soon,NA,maybe\n,,1.5.2,\n3,2024-07-12T19:00:00Z,1e999,F\n",
+    )
+    report = CellReport()
+    rows = read_csv(spark, path, EXPORT, report=report, table="e")
+    assert rows.columns == list(EXPORT)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    # A filter above the counts does not change them.
+    assert rows.filter("item_id = '1'").count() == 1
+    assert {tuple(r)[1:] for r in report.table(spark).collect()} == {
+        ("item_id", 3, 0), ("timestamp", 3, 1), ("metered_savings", 3, 2), ("Non-responsive", 3, 1),
+    }
+
+
+def test_cells_of_a_skipped_pass_are_counted_for_the_report(spark, tmp_path):
+    reads = put(tmp_path, "reads.csv", "k,v\na,1\nb,x\n")
+    report = CellReport()
+    rows = read_csv(spark, reads, {"k": "string", "v": "double"}, report=report, table="reads")
+    nothing = spark.createDataFrame([], "k string")
+    assert rows.join(nothing, "k", "left_semi").collect() == []
+    assert {tuple(r) for r in report.table(spark).collect()} == {("reads", "k", 2, 0), ("reads", "v", 2, 1)}
+
+
 def test_blanks_may_stay(spark, tmp_path):
     path = put(tmp_path, "f.csv", 'item_id,metered_savings\n,1\n"",\nNA,2\n a ,NA\n')
     rows = read_csv(spark, path, jobs.FRAME_COLUMNS, blank_is_null=False).collect()
@@ -431,6 +459,11 @@ def test_event_savings_job(spark, tmp_path):
     assert written(f"{out}/all_filters")[0] == ["event", "interval"]
     assert tables["initial_totals"].first().total_kwh == 1000.0
     assert tables["savings_clean"].count() == 3
+    cells = written(f"{out}/cell_report")[1]
+    assert ["export Event 2", "timestamp", "1", "0"] in cells and ["customers", "event2_in_info", "1", "0"] in cells
+    assert {row[0] for row in cells} == {
+        "export Event 1", "export Event 2", "initial export Event 1", "customers", "meter list 1",
+    }
 
 
 def test_meter_read_job(spark, tmp_path):
@@ -459,6 +492,8 @@ def test_meter_read_job(spark, tmp_path):
     ]
     assert written(f"{out}/site_coverage")[1] == [["FALSE", "1"], ["TRUE", "2"]]
     assert written(f"{out}/duplicate_reads")[1] == [["a", "2023", "7", "1", "6", "2"]]
+    cells = written(f"{out}/cell_report")[1]
+    assert ["reads", "kWh", "4", "0"] in cells and ["sites", "model_id", "3", "0"] in cells
 
 
 def _reads_file(table, name):
@@ -490,9 +525,10 @@ def test_model_job(spark, tmp_path, folder):
 
 def test_sample_jobs(spark, tmp_path):
     lines = "".join(f"{i}_AMI,{i - 40}.5\n" for i in range(400))
-    frame = put(tmp_path, "frame.csv", "item_id,metered_savings\n" + lines)
+    frame = put(tmp_path, "frame.csv", "item_id,metered_savings\n" + lines + "x,many\n")
     out = str(tmp_path / "stratified")
     jobs.stratified_sample_report(spark, frame, out, n_negative=10, n_per_quartile=20)
+    assert ["frame", "metered_savings", "401", "1"] in written(f"{out}/cell_report")[1]
     header, rows = written(f"{out}/sample")
     assert header == ["item_id"] and len(rows) == 90
     assert ["negatives", "NEG", "10.0"] in written(f"{out}/sample_check")[1]
