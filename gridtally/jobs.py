@@ -166,11 +166,14 @@ def meter_read_report(
     sites = read_csv(spark, sites_path, SITE_COLUMNS, report=cells, table="sites")
     # The file is read once; every report reads the table of the sites' reads.
     kept = meter_reads.with_local_time(meter_reads.reads_of_sites(reads, sites), zone)
-    timed = write_table(kept, f"{out}/site_reads")
+    timed = write_table(
+        meter_reads.in_storage_order(kept), f"{out}/site_reads", *meter_reads.STORED_BY
+    )
     site_reads, local = timed.drop("local"), meter_reads.local_parts(timed)
 
     # Days and months add up from the hours.
     hours = write_table(meter_reads.read_totals(local, "hour"), f"{out}/hour_totals", "year")
+    sketches = write_table(meter_reads.hour_sketches(local), f"{out}/hour_sketches", "year")
     days = meter_reads.coarser_totals(hours, "day")
     months = meter_reads.coarser_totals(hours, "month")
     tables = {
@@ -178,6 +181,8 @@ def meter_read_report(
         "summary_day": meter_reads.in_time_order(days, "day"),
         "summary_hour": meter_reads.in_time_order(hours, "hour"),
         "distinct_readings": meter_reads.distinct_readings(local, hours),
+        "distinct_readings_day": meter_reads.approximate_readings(sketches, "day"),
+        "distinct_readings_month": meter_reads.approximate_readings(sketches, "month"),
         "duplicate_reads": meter_reads.duplicate_reads(site_reads),
         "site_coverage": meter_reads.site_coverage(sites, site_reads),
         "same_month_totals": meter_reads.same_month_totals(local),

@@ -6,14 +6,18 @@ copy has a key of its own and copies are drawn one by one like any other row.
 
 The keyed rows are written once, after the only shuffle of the frame. A first
 pass over them counts rows by the leading digits of their keys. That yields the
-stratum sizes and, exactly, a key prefix under which just over the wanted number
-of rows lie. The draw itself keeps only those rows before it ranks them: what a
-stratum sends to one task grows with the sample, not with the table.
+stratum sizes and the range of keys in which the last row of the sample lies. Further
+passes cut that range into 4,096 until it holds few enough to be ranked. All rows below it
+belong to the sample, whatever their order; only the rows inside it are ranked. So no
+task sees more than that, however large the sample is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,11 @@ from gridtally.operators.checkpoints import checkpointed
 # Numbers as texts of keys: the text of a double differs between engines.
 KEY_DECIMAL = "decimal(31,9)"
 
+# Rows of a stratum that one task may rank.
+RANKED_ROWS = 100_000
+# Hexadecimal digits by which a range is cut.
+_DIGITS = 3
+
 # Identical rows expanded where they were counted; further ones are spread out.
 COPIES_PER_BLOCK = 1_000
 
@@ -39,6 +48,7 @@ def draw(
     stratum: str,
     strict: bool = True,
     copies_per_block: int = COPIES_PER_BLOCK,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Draw ``sizes[s]`` rows without replacement from each stratum ``s``.
 
@@ -48,18 +58,20 @@ def draw(
     """
     wanted = frame.select(stratum, *columns).filter(F.col(stratum).isin(*sizes))
     keyed = checkpointed(_with_keys(wanted, columns, seed, stratum, copies_per_block))
-    cutoffs = _cutoffs(keyed, stratum, sizes, strict)
-    if not cutoffs:
+    cuts = _cuts(keyed, stratum, sizes, strict, ranked_rows)
+    if not cuts:
         return keyed.select(stratum, *columns).filter(F.lit(False))
 
-    # "g" sorts after every hex digit: all keys starting with the prefix pass.
-    limits = F.create_map(*[F.lit(v) for name in cutoffs for v in (name, cutoffs[name] + "g")])
-    candidates = keyed.filter(F.col("_key") < limits[F.col(stratum)])
+    def of(values: Mapping[str, object]) -> Column:
+        return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[F.col(stratum)]
+
+    prefix = of({name: cut.prefix for name, cut in cuts.items()})
+    below = keyed.filter(F.col("_key") < prefix)
+    inside = keyed.filter(F.startswith("_key", prefix))
     order = Window.partitionBy(stratum).orderBy("_key", *columns)
-    size_of = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])
-    ranked = candidates.withColumn("_rank", F.row_number().over(order))
-    drawn = ranked.filter(F.col("_rank") <= size_of[F.col(stratum)])
-    return drawn.select(stratum, *columns)
+    ranked = inside.withColumn("_rank", F.row_number().over(order))
+    edge = ranked.filter(F.col("_rank") <= of({name: cut.wanted for name, cut in cuts.items()}))
+    return below.select(stratum, *columns).unionByName(edge.select(stratum, *columns))
 
 
 def row_key(seed: int | str, columns: Mapping[str, str], copy: Column) -> Column:
@@ -103,27 +115,63 @@ def _with_keys(
     return copies.select(stratum, *columns, key)
 
 
-def _cutoffs(
-    keyed: DataFrame, stratum: str, sizes: Mapping[str, int], strict: bool
-) -> dict[str, str]:
-    """Per stratum, the shortest-keyed prefix range holding at least its sample.
+@dataclass
+class _Cut:
+    """Where a sample ends: with so many of the rows whose keys start with a prefix."""
+
+    prefix: str
+    rows: int
+    wanted: int
 
-    Keys are counted by "leading zeros plus one digit": at most 480 rows per
-    stratum come back, in steps of at most a factor of about two, so the range
-    holds roughly the sample size to twice that.
+
+def _cuts(
+    keyed: DataFrame, stratum: str, sizes: Mapping[str, int], strict: bool, ranked_rows: int
+) -> dict[str, _Cut]:
+    """The cut of each stratum; its prefix is the end of all keys if all rows belong to it.
+
+    The first pass counts keys by "leading zeros plus one digit", at most 480 rows per
+    stratum; each further one cuts the range left of a stratum into 4,096 at most.
     """
     zeros = F.length("_key") - F.length(F.ltrim(F.col("_key"), F.lit("0")))
-    prefix = F.left(F.col("_key"), zeros + 1).alias("prefix")
-    counts = keyed.groupBy(F.col(stratum).alias("name"), prefix).count().collect()
-
-    held = {name: 0 for name in sizes}
-    cutoffs: dict[str, str] = {}
-    for row in sorted(counts, key=lambda r: r["prefix"]):
-        name = row["name"]
-        if held[name] < sizes[name]:
-            held[name] += row["count"]
-            cutoffs[name] = row["prefix"]
+    counts = _counted(keyed, stratum, F.left(F.col("_key"), zeros + 1))
+    held = {name: sum(counts.get(name, {}).values()) for name in sizes}
     short = {name: held[name] for name, size in sizes.items() if held[name] < size}
     if strict and short:
         raise SampleTooLarge(f"strata smaller than the requested sample: {short} of {dict(sizes)}")
-    return cutoffs
+
+    # "g" sorts after every hexadecimal digit.
+    cuts = {name: _Cut("g", 0, 0) for name in short if held[name]}
+    wanted = {name: _Cut("", held[name], size) for name, size in sizes.items() if size and name not in short}
+    while wanted:
+        for name, cut in wanted.items():
+            cuts[name] = _crossing(counts[name], cut.wanted)
+        # A whole key is shared by no more rows than its MD5 has collisions.
+        wanted = {
+            name: cuts[name] for name in wanted
+            if cuts[name].rows > ranked_rows and len(cuts[name].prefix) < 32
+        }
+        if wanted:
+            ranges = [(F.col(stratum) == n) & F.startswith("_key", F.lit(c.prefix)) for n, c in wanted.items()]
+            longer = F.coalesce(
+                *[F.when(r, F.left("_key", F.lit(len(c.prefix) + _DIGITS))) for r, c in zip(ranges, wanted.values())]
+            )
+            counts = _counted(keyed.filter(reduce(or_, ranges)), stratum, longer)
+    return cuts
+
+
+def _counted(keyed: DataFrame, stratum: str, prefix: Column) -> dict[str, dict[str, int]]:
+    """Rows of each stratum by prefix."""
+    counts: dict[str, dict[str, int]] = {}
+    grouped = keyed.groupBy(F.col(stratum).alias("name"), prefix.alias("prefix")).count()
+    for row in grouped.collect():
+        counts.setdefault(row["name"], {})[row["prefix"]] = row["count"]
+    return counts
+
+
+def _crossing(counts: Mapping[str, int], wanted: int) -> _Cut:
+    """The prefix among which the last wanted row is, and how many of its rows are wanted."""
+    for prefix in sorted(counts):
+        if wanted <= counts[prefix]:
+            break
+        wanted -= counts[prefix]
+    return _Cut(prefix, counts[prefix], wanted)

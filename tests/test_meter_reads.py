@@ -158,3 +158,18 @@ def test_same_month_totals(spark):
         (2024, 7, 2.25, "b", 2),
     ]
     assert rows_of(mr.same_month_totals(local, places=1), "id", "n_sites") == [("a", 2), ("b", 2)]
+
+
+def test_sketched_counts_unite(spark):
+    reads = [(f"s{i % 300}", 2024, 7, 1 + i % 2, i % 24, None if i % 50 == 0 else float(i % 4000)) for i in range(20_000)]
+    reads += [(None, 2024, 7, 1, 0, float("nan")), (None, 2024, 7, 1, 0, None), ("", 2024, 7, 1, 0, 0.0)]
+    local = spark.createDataFrame(reads, "id string, year int, month int, day int, hour int, kwh double")
+    sketches = mr.hour_sketches(local)
+    assert sketches.count() == 24
+    for grain in ("hour", "day", "month"):
+        checked = mr.approximation_check(local, sketches, grain).collect()
+        assert len(checked) == {"hour": 24, "day": 2, "month": 1}[grain]
+        assert all(r["unique_kwh_readings_close"] and r["unique_sites_close"] for r in checked)
+    month = mr.approximate_readings(sketches, "month").first()
+    assert month["n_observations"] == len(reads)
+    assert abs(month["unique_sites"] - 302) <= 8

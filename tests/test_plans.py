@@ -53,6 +53,8 @@ def test_tables_are_scanned_once(spark, sf_small):
         ("q_reads_hour", "lineitem"),
         ("q_initial_union", "events"),
         ("q_site_coverage", "lineitem"),
+        ("q_reads_distinct", "lineitem"),
+        ("q_reads_distinct", "part"),
         ("q_site_coverage", "part"),
     ):
         assert scans(plan_of(queries[name](spark, sf_small)), table) == 1, name
@@ -69,6 +71,50 @@ def test_scans_read_only_what_is_used(spark, sf_small):
     assert set(re.findall(r"(\w+):", schema)) == {"l_partkey", "l_shipdate", "l_quantity"}
 
 
+def files_read(df):
+    """Files that the scans of a plan opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_extract_reads_the_folders_of_its_day(spark, tmp_path):
+    import datetime as dt
+
+    from gridtally.plans import meter_reads
+    from gridtally.sources.sinks import write_table
+
+    hours = spark.range(0, 24 * 366 * 6, 1, 4).selectExpr(
+        "concat('site', id % 6) as id", "timestampadd(HOUR, id div 6, timestamp_ntz '2023-01-01') as t", "0.5D as kwh"
+    )
+    reads = hours.selectExpr("id", "year(t) as year", "month(t) as month", "day(t) as day", "hour(t) as hour", "kwh")
+    timed = meter_reads.with_local_time(reads)
+    stored = write_table(
+        meter_reads.in_storage_order(timed), str(tmp_path / "reads"), *meter_reads.STORED_BY
+    )
+    whole = files_read(stored.groupBy("id").count())
+    extract = meter_reads.hourly_extract(stored.drop("local"), ["site3"], dt.date(2023, 7, 15))
+    few = files_read(extract)
+    assert extract.count() == 24
+    # The day and its neighbours in UTC lie in one month of thirteen.
+    assert 0 < few <= whole / 6
+    at_the_turn = meter_reads.hourly_extract(stored.drop("local"), ["site3"], dt.date(2023, 7, 31))
+    assert at_the_turn.count() == 24 and files_read(at_the_turn) <= whole / 3
+    assert re.search(r"PartitionFilters: \[[^\]]*year#", plan_of(extract))
+
+
 def test_filters_reach_the_scan(spark, sf_small):
     plan = plan_of(entry_point.queries()["q_savings_clean"](spark, sf_small))
     assert re.search(r"PushedFilters: \[IsNotNull\(event_type\), Not\(EqualTo", plan)

@@ -1,5 +1,6 @@
 """Quantiles, draws and samples, against brute force."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridtally.operators import quantile_sketches
 from gridtally.operators.draws import SampleTooLarge, draw
 from gridtally.operators.quantiles import exact_quantiles
 from gridtally.plans import samples
@@ -96,6 +98,39 @@ def test_draw_equals_brute_force(spark):
     assert Counter(tuple(r) for r in drawn.collect()) == brute_draw(rows, sizes, 9)
 
 
+@pytest.mark.parametrize("ranked_rows", [1, 40, 1_000])
+def test_large_samples_rank_few_rows(spark, ranked_rows):
+    rows = [(("a", "b", "c")[i % 3 and 1 + i % 2], str(i), i % 5 / 4) for i in range(9_000)]
+    sizes = {"a": 1_000, "b": 2_999, "c": 0}
+    drawn = draw(stratified(spark, rows), ["id", "v"], sizes, 9, "s", ranked_rows=ranked_rows)
+    assert Counter(tuple(r) for r in drawn.collect()) == brute_draw(rows, sizes, 9)
+
+
+def test_sample_of_a_third_of_the_frame_ranks_few_rows(spark):
+    frame = spark.range(120_000).select(F.lit("a").alias("s"), F.col("id").cast("string").alias("id"))
+    drawn = draw(frame, ["id"], {"a": 40_000}, 9, "s", ranked_rows=500)
+    drawn.write.format("noop").mode("overwrite").save()
+    assert drawn.count() == 40_000 == drawn.distinct().count()
+    # Only rows of the last range reach the window: its filter is on whole prefixes.
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "StartsWith" in plan.split("Window")[1]
+    ranked = drawn._jdf.queryExecution().optimizedPlan()
+    window = [n for n in _nodes(ranked) if n.nodeName() == "Window"]
+    below = window[0].children().head()
+    from pyspark.sql import DataFrame
+
+    session = spark._jsparkSession
+    fed = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, below)
+    assert 0 < DataFrame(fed, spark).count() <= 500
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def test_copies_are_drawn_one_by_one(spark):
     rows = [("a", "hot", 1.0)] * 4000 + [("a", str(i), 1.0) for i in range(4000)]
     sizes = {"a": 1000}
@@ -205,3 +240,45 @@ def test_rows_without_savings_are_not_drawn(spark):
     sample = samples.stratified_sample(frame(spark, numbers + [float("nan")] * 30), 5, 5)
     assert sample.breaks == [0.0, 19.75, 39.5, 59.25, 79.0]
     assert not any(r.metered_savings != r.metered_savings for r in sample.rows.collect())
+
+
+# -- sketches ----------------------------------------------------------------------
+
+
+def sketched(spark, numbers, parts=7):
+    rows = [(i % parts, None if n is None else float(n)) for i, n in enumerate(numbers)]
+    frame = spark.createDataFrame(rows, "part int, x double")
+    return frame, quantile_sketches.sketch_table(frame, "x", ["part"])
+
+
+@pytest.mark.parametrize("name", ["spread", "hot", "constant", "one", "outliers"])
+def test_sketched_quantiles_are_close_in_rank(spark, name):
+    numbers = number_sets()[name] * 5
+    frame, sketches = sketched(spark, numbers + [None, float("nan")])
+    row = quantile_sketches.sketched_quantiles(sketches, PROBS).first()
+    assert row["n"] == len(numbers)
+    ordered = sorted(numbers)
+    for p, x in zip(PROBS, row["quantiles"]):
+        low, high = bisect.bisect_left(ordered, x), bisect.bisect_right(ordered, x)
+        slack = quantile_sketches.RANK_ERROR
+        assert low / len(ordered) - slack <= p <= high / len(ordered) + slack
+        assert x in ordered
+    checked = quantile_sketches.rank_check(frame, "x", PROBS, row["quantiles"])
+    assert {r["close"] for r in checked.collect()} == {True}
+    wrong = quantile_sketches.rank_check(frame, "x", [0.5], [ordered[-1] + 1])
+    assert wrong.first()["close"] is False
+
+
+def test_sketches_of_new_parts_join_the_old(spark):
+    old = sketched(spark, range(20_000))[1]
+    new = sketched(spark, range(20_000, 40_000), parts=3)[1]
+    row = quantile_sketches.sketched_quantiles(old.union(new), [0.0, 0.5, 1.0]).first()
+    assert row["n"] == 40_000
+    assert row["quantiles"][0] == 0 and row["quantiles"][2] == 39_999
+    assert abs(row["quantiles"][1] - 20_000) <= 40_000 * quantile_sketches.RANK_ERROR
+
+
+def test_sketch_of_nothing(spark):
+    for numbers in ([], [None, None]):
+        row = quantile_sketches.sketched_quantiles(sketched(spark, numbers)[1], [0.5]).first()
+        assert (row["n"], row["quantiles"]) == (0, None)
