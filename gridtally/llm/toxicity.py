@@ -1,18 +1,21 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 The terms of a text are its distinct words and their first letters, so that inflected and
-made-up forms of a word share a term; every term is hashed to 32 bits. Learned are telling
-terms, whose frequencies differ between toxic and other documents, and their partners: terms
-as frequent in both, whose frequencies differ among the documents with some telling term.
-The machine has a weight for each term and a vector for each term, whose inner products
-weigh pairs of terms: two terms that are harmless alone can be an insult together. A pair
-of which neither term tells anything alone is not learned.
-
-It is fitted on a bounded sample: of each class the ``CLASS_ROWS`` labelled documents
-that come first in a pseudo-random order of their ids. Spark counts their terms and pairs;
-only the telling terms and the partners, at most ``MAX_TERMS`` of each, and which of them
-each document of the sample has come to the driver. All documents are scored, whole, where
-they lie; nothing is shuffled.
+made-up forms of a word share a term; every term is hashed to ``TERM_BITS`` bits. The
+machine has a weight for each telling term, whose frequencies differ between toxic and
+other documents, and a vector for every term of the sample that is seen twice. The inner
+products of vectors weigh pairs of terms: two terms that are harmless alone can be an
+insult together, and neither has to tell anything by itself.
+
+Learning goes in two steps. The first fits weights, and vectors, of the telling terms. The
+second fits further components of all vectors to what the first left unexplained; a part
+of the sample is kept apart to say how long that helps, and whether it does at all.
+
+The sample is bounded: of each class the ``CLASS_ROWS`` labelled documents that come first
+in a pseudo-random order of their ids, and of these as many as have ``SAMPLE_TERMS`` terms
+in all. Spark counts their terms; the numbers of the terms of each document come to the
+driver, partition by partition. All documents are scored, whole, where they lie; nothing
+is shuffled.
 
 Cases: a NULL text is empty; a text without known terms has the score of the intercept.
 A document id with several labels is toxic if one of them says so; NULL labels and labels
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,11 +42,13 @@ from gridtally.llm.common import checkpointed
 THRESHOLD = 0.3
 #: Lengths of word beginnings that are terms.
 PREFIXES = (3, 4, 5)
-#: Documents learned from, at most, of the toxic and of the other labelled ones.
+TERM_BITS = 22
+#: Documents learned from, at most, of the toxic and of the other labelled ones, and the
+#: terms that all of them may have together (four bytes each on the driver).
 CLASS_ROWS = {1: 6_000, 0: 12_000}
+SAMPLE_TERMS = 24_000_000
 #: Terms in fewer documents of the sample, or whose frequencies in the two classes differ
-#: by less than this log-likelihood ratio, are not telling; so many at most are. A partner's
-#: best ratio needs 2 ln n more, as it is the best of those with n telling terms.
+#: by less than this log-likelihood ratio, have no weight of their own; so many at most do.
 MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 3, 15.0, 20_000
 #: What part of the sample toxic documents weigh, whatever their number.
 TOXIC_SHARE = 0.2
@@ -51,6 +56,10 @@ RANK = 4
 EPOCHS, BATCH, RATE = 12, 64, 0.2
 #: How fast weights and vectors shrink.
 WEIGHT_PENALTY, VECTOR_PENALTY = 1e-4, 1e-3
+#: The second step: rounds at most and without progress, the share of a document's terms
+#: that a round sees, the part of the sample kept apart, and the size of steps and starts.
+PAIR_EPOCHS, PATIENCE, SEEN_SHARE, CHECK_SHARE = 15, 3, 0.7, 0.2
+PAIR_PENALTY, PAIR_RATE, PAIR_START = 1e-2, 0.05, 0.05
 SEED = 5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -60,7 +69,7 @@ _KEPT_WORDS = 200_000
 
 def _word_terms(word: str) -> list[int]:
     parts = [f"={word}", *[f"^{word[:n]}" for n in PREFIXES if len(word) >= n]]
-    return [zlib.crc32(part.encode("utf-8", "replace")) - (1 << 31) for part in parts]
+    return [zlib.crc32(part.encode("utf-8", "replace")) >> (32 - TERM_BITS) for part in parts]
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -78,39 +87,39 @@ class Machine:
     vectors: np.ndarray
     intercept: float
 
-    def score(self, places: list[int]) -> float:
+    def score(self, places: Sequence[int]) -> float:
         """The probability for a text with the terms at these places."""
-        v = self.vectors[places]
-        pairs = ((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum() / 2
-        z = self.intercept + self.weights[places].sum() + pairs
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(_probability(_sum(self, places)))
+
+
+def _probability(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 NOTHING = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)), -30.0)
 
 
-def fit(
-    rows: list[np.ndarray],
-    labels: np.ndarray,
-    numbers: np.ndarray,
-    weighed: np.ndarray | None = None,
-) -> Machine:
+def _class_weights(labels: np.ndarray) -> np.ndarray:
+    """Of each document; toxic ones together have ``TOXIC_SHARE`` of all."""
+    toxic = labels.mean()
+    return np.where(labels > 0, TOXIC_SHARE / toxic, (1 - TOXIC_SHARE) / (1 - toxic))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, numbers: np.ndarray) -> Machine:
     """Learns by stochastic gradients with a step size of its own for each weight.
 
     ``numbers`` are the terms to learn, ascending; a row has the places of its terms there.
-    Terms that are not ``weighed`` count in pairs only.
     """
-    if len(set(labels.tolist())) < 2 or not any(map(len, rows)):
+    if len(set(labels.tolist())) < 2:
         return NOTHING
     n = len(numbers)
-    weighed = np.ones(n, bool) if weighed is None else weighed
     rng = np.random.default_rng(SEED)
-    weight = np.where(labels > 0, TOXIC_SHARE / labels.mean(), (1 - TOXIC_SHARE) / (1 - labels.mean()))
+    weight = _class_weights(labels)
     intercept = float(np.log(TOXIC_SHARE / (1 - TOXIC_SHARE)))
     w, w_seen = np.zeros(n), np.full(n, 1e-6)
     v, v_seen = rng.normal(0, 0.01, (n, RANK)), np.full((n, RANK), 1e-6)
     intercept_seen = 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(EPOCHS if any(map(len, rows)) else 0):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             batch = order[start : start + BATCH]
@@ -118,23 +127,14 @@ def fit(
             used, at = np.unique(np.concatenate([rows[i] for i in batch]), return_inverse=True)
             own_w, own_v = w[used], v[used]
             of_term = own_v[at]
-            sums = np.stack(
-                [np.bincount(doc, of_term[:, f], len(batch)) for f in range(RANK)], axis=1
-            )
-            squares = np.bincount(doc, (of_term**2).sum(axis=1), len(batch))
-            z = intercept + np.bincount(doc, own_w[at], len(batch))
-            z += ((sums**2).sum(axis=1) - squares) / 2
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch])
-            error *= weight[batch] / len(batch)
+            sums, pairs = _pairs(of_term, doc, len(batch))
+            z = intercept + np.bincount(doc, own_w[at], len(batch)) + pairs
+            error = (_probability(z) - labels[batch]) * weight[batch] / len(batch)
             per_term = error[doc]
             grad = np.bincount(at, per_term, len(used)) + WEIGHT_PENALTY * own_w
-            grad *= weighed[used]
             w_seen[used] += grad**2
             w[used] = own_w - RATE * grad / np.sqrt(w_seen[used])
-            pull = per_term[:, None] * (sums[doc] - of_term)
-            grads = np.stack(
-                [np.bincount(at, pull[:, f], len(used)) for f in range(RANK)], axis=1
-            )
+            grads = _gradients(per_term, sums[doc] - of_term, at, len(used))
             grads = grads + VECTOR_PENALTY * own_v
             v_seen[used] += grads**2
             v[used] = own_v - RATE / 4 * grads / np.sqrt(v_seen[used])
@@ -144,6 +144,80 @@ def fit(
     return Machine(numbers, w, v, intercept)
 
 
+def _pairs(of_term: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of vectors and sums of inner products of all pairs of terms, for each document."""
+    rank = of_term.shape[1]
+    sums = np.stack([np.bincount(doc, of_term[:, f], n) for f in range(rank)], axis=1)
+    squares = np.bincount(doc, (of_term**2).sum(axis=1), n)
+    return sums, ((sums**2).sum(axis=1) - squares) / 2
+
+
+def _gradients(per_term: np.ndarray, others: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Of the vectors: the error times the sum of the other vectors in the document."""
+    pull = per_term[:, None] * others
+    return np.stack([np.bincount(at, pull[:, f], n) for f in range(pull.shape[1])], axis=1)
+
+
+def fit_pairs(
+    rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, n_terms: int
+) -> tuple[np.ndarray, float]:
+    """Vectors of all terms for what ``known``, the sum of the first step, leaves unexplained.
+
+    A row has the places of a document's terms. Returns the vectors, and what they add to
+    the intercept, of the round that explains the documents kept apart best; zeros if none
+    explains them better than ``known`` does.
+    """
+    rng = np.random.default_rng(SEED)
+    weight = _class_weights(labels)
+    apart = rng.random(len(rows)) < CHECK_SHARE
+    learned, checked = np.flatnonzero(~apart), np.flatnonzero(apart)
+    v = rng.normal(0, PAIR_START, (n_terms, RANK)).astype(np.float32)
+    v_seen = np.full((n_terms, RANK), 1e-6, np.float32)
+    shift, shift_seen = 0.0, 1e-6
+
+    def pairs_of(docs: np.ndarray) -> np.ndarray:
+        out = []
+        for start in range(0, len(docs), BATCH):
+            batch = [rows[i] for i in docs[start : start + BATCH]]
+            doc = np.repeat(np.arange(len(batch)), list(map(len, batch)))
+            out.append(_pairs(v[np.concatenate(batch)].astype(np.float64), doc, len(batch))[1])
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def loss(z: np.ndarray) -> float:
+        p = np.clip(_probability(z), 1e-12, 1 - 1e-12)
+        right = np.where(labels[checked] > 0, p, 1 - p)
+        return float(-(weight[checked] * np.log(right)).sum() / max(weight[checked].sum(), 1e-12))
+
+    least, best, stale = loss(known[checked]), (np.zeros_like(v), 0.0), 0
+    for _ in range(PAIR_EPOCHS):
+        order = rng.permutation(learned)
+        for start in range(0, len(order), BATCH):
+            batch = order[start : start + BATCH]
+            seen = [rows[i][rng.random(len(rows[i])) < SEEN_SHARE] for i in batch]
+            doc = np.repeat(np.arange(len(batch)), list(map(len, seen)))
+            used, at = np.unique(np.concatenate(seen), return_inverse=True)
+            own = v[used].astype(np.float64)
+            of_term = own[at]
+            sums, pairs = _pairs(of_term, doc, len(batch))
+            error = _probability(known[batch] + shift + pairs) - labels[batch]
+            error *= weight[batch] / len(batch)
+            grads = _gradients(error[doc], sums[doc] - of_term, at, len(used)) + PAIR_PENALTY * own
+            v_seen[used] += grads**2
+            v[used] = own - PAIR_RATE * grads / np.sqrt(v_seen[used])
+            slope = float(error.sum())
+            shift_seen += slope**2
+            shift -= RATE * slope / shift_seen**0.5
+        # As learned, and as strong as among the terms that a round sees.
+        whole = pairs_of(checked)
+        now, share = min((loss(known[checked] + shift + a * whole), a) for a in (1.0, SEEN_SHARE**2))
+        stale += 1
+        if now < least:
+            least, best, stale = now, (v * np.float32(share**0.5), shift), 0
+        if stale == PATIENCE:
+            break
+    return best
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether labels of this document must not be learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
@@ -175,58 +249,6 @@ def _telling(learned: DataFrame) -> np.ndarray:
     return np.array(sorted(r.term for r in told.collect()), np.int64)
 
 
-def _partners(learned: DataFrame, rows: list, numbers: np.ndarray) -> np.ndarray:
-    """The other terms whose frequencies tell the classes apart next to a telling term.
-
-    ``rows`` are the ``doc_id``, ``toxic`` and places in ``numbers`` of the sample, by id.
-    """
-    if not len(numbers):
-        return numbers
-    ids = np.array([r.doc_id for r in rows], np.int64)
-    is_toxic = np.array([r.toxic for r in rows], bool)
-    lengths = np.array([len(r.places) // 4 for r in rows], np.int64)
-    ends = np.cumsum(lengths)
-    places = np.frombuffer(b"".join(r.places for r in rows), np.int32)
-    of_toxic = np.repeat(is_toxic, lengths)
-    n = [np.bincount(places[of_toxic == label], minlength=len(numbers)) for label in (True, False)]
-    least = MIN_RATIO + 2 * np.log(len(numbers))
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.where(seen > 0, seen / np.where(expected > 0, expected, 1), 1))
-
-    def best(docs: np.ndarray) -> float:
-        """The largest ratio that the term of these documents has next to a telling term."""
-        at = np.searchsorted(ids, docs)
-        own = lengths[at]
-        flat = np.arange(own.sum()) + np.repeat(ends[at] - np.cumsum(own), own)
-        near, toxic = places[flat], of_toxic[flat]
-        seen = [np.bincount(near[toxic == label], minlength=len(numbers)) for label in (True, False)]
-        used = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCUMENTS) & (n[0] > 0) & (n[1] > 0))
-        share = (seen[0][used] + seen[1][used]) / (n[0][used] + n[1][used])
-        ratio = np.zeros(len(used))
-        for k, all_rows in zip(seen, n):
-            k, all_rows = k[used], all_rows[used]
-            ratio += 2 * part(k, share * all_rows) + 2 * part(all_rows - k, (1 - share) * all_rows)
-        return float(ratio.max(initial=0.0))
-
-    def with_ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[~np.isin(batch["term"].to_numpy(), numbers)]
-            yield batch[["term"]].assign(ratio=[best(np.asarray(docs)) for docs in batch["docs"]])
-
-    found = (
-        learned.select("doc_id", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.collect_list("doc_id").alias("docs"))
-        .where(F.size("docs") >= MIN_DOCUMENTS)
-        .mapInPandas(with_ratio, "term int, ratio double")
-        .where(F.col("ratio") >= float(least))
-        .orderBy(F.desc("ratio"), "term")
-        .limit(MAX_TERMS)
-    )
-    return np.array(sorted(r.term for r in found.collect()), np.int64)
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted on the sample; ``labels`` has ``doc_id`` and ``toxic``."""
     known = (
@@ -234,11 +256,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .withColumn("place", F.xxhash64(F.lit(SEED), "doc_id"))
     )
     parts = [
-        known.where(F.col("toxic") == label)
-        .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-        .limit(rows)
+        known.where(F.col("toxic") == label).orderBy("place", "doc_id").limit(rows)
         for label, rows in CLASS_ROWS.items()
     ]
     sample = F.broadcast(parts[0].unionByName(parts[1]))
@@ -250,35 +271,72 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     learned = checkpointed(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
-        .mapInPandas(with_terms, "doc_id long, toxic int, terms array<int>")
-        .groupBy("doc_id", "toxic")
+        .mapInPandas(with_terms, "doc_id long, toxic int, place long, terms array<int>")
+        .groupBy("doc_id", "toxic", "place")
         .agg(F.min("terms").alias("terms"))
     )
+    learned = learned.where(F.col("place") <= F.lit(_last_place(learned)))
+    telling = _telling(learned)
+    rows, toxic = _collected(learned)
+    return _fitted(rows, toxic, telling)
 
-    def placed(numbers: np.ndarray) -> list:
-        def with_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [np.flatnonzero(np.isin(numbers, t)) for t in batch["terms"]]
-                places = [at.astype(np.int32).tobytes() for at in found]
-                yield batch.drop(columns="terms").assign(places=places)
 
-        # As bytes: lists of numbers would take the driver many times the memory.
-        return sorted(
-            learned.mapInPandas(with_places, "doc_id long, toxic int, places binary").collect()
-        )
+def _last_place(learned: DataFrame) -> int:
+    """Where in the order of the sample ``SAMPLE_TERMS`` terms are passed."""
+    sizes = learned.select("place", F.size("terms").alias("terms")).collect()
+    total = 0
+    for row in sorted(sizes):
+        total += row["terms"]
+        if total > SAMPLE_TERMS:
+            return row["place"] - 1
+    return (1 << 63) - 1
 
-    telling = _telling(learned)
-    rows = placed(telling)
-    partners = _partners(learned, rows, telling)
-    numbers = np.union1d(telling, partners)
-    if len(partners):
-        rows = placed(numbers)
-    return fit(
-        [np.frombuffer(r.places, np.int32) for r in rows],
-        np.array([r.toxic for r in rows], np.float64),
-        numbers,
-        np.isin(numbers, telling),
-    )
+
+def _collected(learned: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The term numbers of each document, in order of ids, and which documents are toxic."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers = [np.asarray(t, np.int32).tobytes() for t in batch["terms"]]
+            yield batch[["doc_id", "toxic"]].assign(terms=numbers)
+
+    # As bytes, and partition by partition: lists would take the driver many times the memory.
+    rows = learned.mapInPandas(packed, "doc_id long, toxic int, terms binary").toLocalIterator()
+    held = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in rows)
+    return [np.frombuffer(t, np.int32) for _, _, t in held], np.array([y for _, y, _ in held], np.float64)
+
+
+def _fitted(rows: list[np.ndarray], labels: np.ndarray, telling: np.ndarray) -> Machine:
+    """Both steps; ``rows`` are term numbers."""
+    if len(set(labels.tolist())) < 2:
+        return NOTHING
+    first = fit([np.searchsorted(telling, _common(r, telling)) for r in rows], labels, telling)
+
+    seen = np.zeros(1 << TERM_BITS, np.int32)
+    for row in rows:
+        seen[row] += 1
+    numbers = np.union1d(np.flatnonzero(seen >= 2), telling)
+    place = np.full(1 << TERM_BITS, -1, np.int32)
+    place[numbers] = np.arange(len(numbers))
+    places = [p[p >= 0] for p in (place[row] for row in rows)]
+    weights, vectors = np.zeros(len(numbers), np.float32), np.zeros((len(numbers), 2 * RANK), np.float32)
+    weights[place[telling]], vectors[place[telling], :RANK] = first.weights, first.vectors
+    known = Machine(numbers, weights, vectors, first.intercept)
+    sums = np.array([_sum(known, p) for p in places])
+    vectors[:, RANK:], shift = fit_pairs(places, labels, sums, len(numbers))
+    used = (weights != 0) | (vectors != 0).any(axis=1)
+    return Machine(numbers[used], weights[used], vectors[used], first.intercept + shift)
+
+
+def _common(row: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return row[np.isin(row, numbers)]
+
+
+def _sum(machine: Machine, places: Sequence[int]) -> float:
+    """The sum of weights and pairs, before it becomes a probability."""
+    v = machine.vectors[places].astype(np.float64)
+    pairs = ((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum() / 2
+    return float(machine.intercept + machine.weights[places].astype(np.float64).sum() + pairs)
 
 
 def score(text: Column, machine: Machine) -> Column:
@@ -289,16 +347,20 @@ def score(text: Column, machine: Machine) -> Column:
         place = dict(zip(machine.numbers.tolist(), range(len(machine.numbers))))
         known: dict[str, list[int]] = {}
 
+        def places_of(word: str) -> list[int]:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= _KEPT_WORDS:
+                    known.clear()
+                found = known[word] = [place[t] for t in _word_terms(word) if t in place]
+            return found
+
         def one(text: str | None) -> float:
-            found: set[int] = set()
-            for word in set(_WORD.findall((text or "").lower())):
-                places = known.get(word)
-                if places is None:
-                    if len(known) >= _KEPT_WORDS:
-                        known.clear()
-                    places = known[word] = [place[t] for t in _word_terms(word) if t in place]
-                found.update(places)
-            return machine.score(sorted(found))
+            words = set(_WORD.findall((text or "").lower()))
+            found: set[int] = set().union(*map(places_of, words))
+            places = np.fromiter(found, np.int32, len(found))
+            places.sort()
+            return float(_probability(_sum(machine, places)))
 
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")

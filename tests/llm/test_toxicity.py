@@ -78,7 +78,6 @@ def test_a_group_word_of_both_classes_is_learned_in_pairs(spark):
     docs, labels = _frames(spark, rows)
     machine = toxicity.train(docs, labels)
     assert np.isin(toxicity.terms("group"), machine.numbers).all()
-    assert not np.isin(toxicity.terms("word1"), machine.numbers).any()
     asked = spark.createDataFrame([(1, "insult group"), (2, "insult"), (3, "group"), (4, "")], DOCS)
     scores = asked.select("doc_id", toxicity.score(asked.text, machine).alias("score"))
     both, insult, group, none = (r.score for r in sorted(scores.collect()))
@@ -87,6 +86,48 @@ def test_a_group_word_of_both_classes_is_learned_in_pairs(spark):
     assert np.mean([r.predicted == rows[r.doc_id][2] for r in out]) > 0.97
 
 
+@pytest.mark.parametrize(("plain", "longest"), [(60, 60), (1_500, 90)])
+def test_a_pair_of_which_neither_word_tells_alone_is_learned(spark, plain, longest):
+    """Toxic if both words are there, or the counterparts of both; each word is in half of all."""
+    rng = np.random.default_rng(plain)
+    rows = []
+    for i in range(3_000):
+        toxic = i % 4 == 0
+        first = rng.random() < 0.5
+        words = [f"word{w}" for w in rng.integers(0, plain, rng.integers(5, longest))]
+        words += ["insult" if first else "praise", "group" if first == toxic else "crowd"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    out = toxicity.scored(*_frames(spark, rows)).where("held_out").collect()
+    assert np.mean([r.predicted == rows[r.doc_id][2] for r in out]) > 0.95
+
+
+def test_score_is_the_sum_over_all_pairs(spark):
+    """The closed form of the machine against a loop over all pairs of a text's terms."""
+    machine = toxicity.train(*_frames(spark, _corpus(400)))
+    assert len(machine.numbers) > 50 and machine.vectors.shape[1] == 2 * toxicity.RANK
+    texts = ["idiot word1 word2", "word3", "", "scumm1 idiots word9 word9 unheard"]
+    asked = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r[0]: r[1] for r in asked.select("doc_id", toxicity.score(asked.text, machine)).collect()}
+    for i, text in enumerate(texts):
+        places = np.flatnonzero(np.isin(machine.numbers, toxicity.terms(text)))
+        z = machine.intercept + sum(float(machine.weights[p]) for p in places)
+        for a, p in enumerate(places):
+            for q in places[a + 1 :]:
+                z += sum(float(x) * float(y) for x, y in zip(machine.vectors[p], machine.vectors[q]))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_sample_is_bounded_in_terms(spark, monkeypatch):
+    rows = _corpus(400)
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 5_000)
+    seen = []
+    fitted = toxicity._fitted
+    monkeypatch.setattr(toxicity, "_fitted", lambda r, y, t: seen.append(sum(map(len, r))) or fitted(r, y, t))
+    toxicity.train(*_frames(spark, rows))
+    assert 4_000 < seen[0] <= 5_000
+
+
 def test_held_out_labels_are_not_read(spark):
     rows = _corpus(200)
     docs, labels = _frames(spark, rows)
