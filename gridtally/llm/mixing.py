@@ -7,17 +7,20 @@ until the total budget is used up, so that each source's share follows its targe
 
 Nothing is ordered in one task. The running words of a source are a sum over shuffle
 buckets plus a window inside one bucket; the finish time that uses up the budget comes
-from a histogram of finish times and the few copies inside one of its bins.
+from a histogram of finish times and the few copies inside one of its bins. Identical rows
+are counted, which combines them before the shuffle, and then numbered and spread again.
 
 Cases: a NULL source is a source of its own, last in order. A NULL text has size 0;
 documents of size 0 are never taken more than 0 words. Repeated rows are documents of
-their own. Copies that finish at the very same time are all served or none is. No rows
+their own, with shuffle keys of their own, and so are rows without an id. Copies that
+finish at the very same time are served in the order of their shuffle keys. No rows
 give no rows. Columns of the input come back inside ``doc``, so names cannot clash.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +33,37 @@ BUCKET_BITS, KEY_BITS = 14, 52
 TIME_BINS = 1 << 16
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    """A pseudo-random long of 52 bits for each document id."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")))
-    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+#: Identical rows that are numbered in place; further ones are spread first.
+COPIES_PER_BLOCK = 1_000
+
+_OWN = ("doc_id", "source", "size")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``doc``, a struct of the row, and ``copy``, its number among identical rows."""
+    whole = rows.select(F.struct("*").alias("doc"))
+    counted = whole.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
+    step = F.lit(COPIES_PER_BLOCK).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, step)
+    further = counted.select("*", F.explode(F.slice(starts, 2, F.size(starts))).alias("start"))
+    # Each block by itself: a row that is there very often is dealt out to all tasks.
+    further = further.repartition("doc", "start")
+    blocks = counted.withColumn("start", F.lit(0).cast("long")).unionByName(further)
+    last = F.least(F.col("start") + step, F.col("copies")) - 1
+    return blocks.select("doc", F.explode(F.sequence("start", last)).alias("copy"))
+
+
+def shuffle_key(doc: Column, columns: list[str], copy: Column, seed: int) -> Column:
+    """A pseudo-random long of 52 bits for each row and copy of it."""
+
+    def shown(name: str) -> Column:
+        return F.coalesce(doc[name].cast("string"), F.lit(""))
+
+    parts = [F.lit(str(seed)), *map(shown, _OWN), copy.cast("string")]
+    more = [doc[name] for name in columns if name not in _OWN]
+    if more:
+        parts.append(F.xxhash64(*more).cast("string"))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -72,12 +102,12 @@ def _timed(
     rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int
 ) -> DataFrame:
     """Each document with its source's size and target and the words played up to its end."""
-    keyed = rows.select(
-        F.struct("*").alias("doc"),
-        F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"),
-        F.col("source").cast("string").alias("source"),
-        shuffle_key(F.col("doc_id"), seed).alias("key"),
-        F.xxhash64(*[F.col(f"`{name}`") for name in rows.columns]).alias("tie"),
+    doc = F.col("doc")
+    keyed = _numbered(rows).select(
+        "doc",
+        F.coalesce(doc["size"].cast("long"), F.lit(0)).alias("size"),
+        doc["source"].cast("string").alias("source"),
+        shuffle_key(doc, rows.columns, F.col("copy"), seed).alias("key"),
     ).withColumns(
         {
             # Never NULL, so that it serves as a plain join key.
@@ -101,7 +131,7 @@ def _timed(
     )
     inside = (
         Window.partitionBy("source_key", "bucket")
-        .orderBy("key", "size", "tie")
+        .orderBy("key", "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return keyed.join(offsets, ["source_key", "bucket"]).withColumn(
@@ -119,43 +149,61 @@ def _finishes(most: float) -> Column:
     )
 
 
-def _last_time(timed: DataFrame, share: float, most: float) -> float | None:
-    """The latest finish time up to which all copies fit the budget; None without copies.
+@dataclass(frozen=True)
+class _Last:
+    """The last copy served, in the order of finish times and then of shuffle keys."""
+
+    finish: float
+    key: int
+
+    def served(self, finish: Column, key: Column) -> Column:
+        end = F.lit(self.finish)
+        return (finish < end) | ((finish == end) & (key <= F.lit(self.key)))
+
+
+_ALL, _NONE = _Last(math.inf, 0), _Last(-1.0, 0)
 
-    Works on a table of two numbers a copy; single rows come to the driver.
+
+def _running(groups: DataFrame, order: str) -> DataFrame:
+    """Adds ``served``: the words up to each group, itself included."""
+    up_to = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return groups.withColumn("served", F.sum("words").over(up_to))
+
+
+def _crossing(copies: DataFrame, order: Column, room: float):
+    """The first value of ``order`` whose words do not fit the room, and the room before it."""
+    sums = copies.groupBy(order.alias("at")).agg(F.sum("size").alias("words"))
+    row = _running(sums, "at").where(F.col("served") > room).orderBy("at").first()
+    return None if row is None else (row["at"], room - (row["served"] - row["words"]))
+
+
+def _last_copy(timed: DataFrame, share: float, most: float) -> _Last:
+    """The last copy up to which all fit the budget.
+
+    Works on a table of three numbers a copy; single rows come to the driver. The order of
+    copies is looked at more and more closely: bins of finish times, the finish times in one
+    of them, bins of the keys that finish at that time, the keys in one of these.
     """
     copies = checkpointed(
         timed.where("target > 0 and size > 0").select(
-            "size", F.posexplode(_finishes(most)).alias("round", "finish")
+            "size", "key", F.posexplode(_finishes(most)).alias("round", "finish")
         )
     )
     total = copies.where("round = 0").agg(F.sum("size")).first()[0]
     if total is None:
-        return None
-    budget = min(share, most) * total
+        return _NONE
     bin_of = F.least(F.floor(F.col("finish") * TIME_BINS), F.lit(2 * TIME_BINS))
-    up_to = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = (
-        copies.groupBy(bin_of.alias("bin"))
-        .agg(F.sum("size").alias("words"), F.max("finish").alias("latest"))
-        .withColumn("served", F.sum("words").over(up_to))
-    )
-    whole = bins.where(F.col("served") <= budget).orderBy(F.desc("bin")).first()
-    crossing = bins.where(F.col("served") > budget).orderBy("bin").first()
+    crossing = _crossing(copies, bin_of, min(share, most) * total)
     if crossing is None:
-        return whole.latest
-    room = budget - (crossing.served - crossing.words)
-    within = Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (
-        copies.where(bin_of == crossing.bin)
-        .groupBy("finish")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("served", F.sum("words").over(within))
-        .where(F.col("served") <= room)
-        .agg(F.max("finish"))
-        .first()[0]
-    )
-    return last if last is not None else whole.latest if whole else 0.0
+        return _ALL
+    copies, room = copies.where(bin_of == crossing[0]), crossing[1]
+    finish, room = _crossing(copies, F.col("finish"), room)
+    copies = copies.where(F.col("finish") == F.lit(finish))
+    # Many small sources may finish at the very same time.
+    bucket = F.shiftright("key", KEY_BITS - BUCKET_BITS)
+    at, room = _crossing(copies, bucket, room)
+    key, _ = _crossing(copies.where(bucket == at), F.col("key"), room)
+    return _Last(finish, key - 1)
 
 
 def mix(
@@ -173,8 +221,8 @@ def mix(
     each copy that is taken, earliest first) and ``taken`` (words, copies counted).
     """
     timed = _timed(rows, weights, share, most, seed)
-    last = _last_time(timed, share, most)
-    served = F.filter(_finishes(most), lambda finish: finish <= F.lit(last).cast("double"))
+    last = _last_copy(timed, share, most)
+    served = F.filter(_finishes(most), lambda finish: last.served(finish, F.col("key")))
     none = F.array().cast("array<double>")
     playable = (F.col("target") > 0) & (F.col("size") > 0)
     return (
@@ -184,7 +232,11 @@ def mix(
     )
 
 
-def mixed(rows: DataFrame, **parameters) -> DataFrame:
-    """The documents of the mix themselves, each as often as it is taken, in serving order."""
+def mixed(rows: DataFrame, in_order: bool = True, **parameters) -> DataFrame:
+    """The documents of the mix themselves, each as often as it is taken.
+
+    They come in serving order, sorted by ranges of finish times; without ``in_order`` they
+    are left where they are, for a reader that deals them out anew.
+    """
     played = mix(rows, **parameters).select("doc", F.explode("finishes").alias("finish"))
-    return played.orderBy("finish").select("doc.*")
+    return (played.orderBy("finish") if in_order else played).select("doc.*")

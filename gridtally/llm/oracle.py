@@ -27,11 +27,16 @@ qualify rank <= 10
 """
 
 MIXING = r"""
-with d as (
+with sized as (
   select doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5('7:' || doc_id), 1, 13))::bigint as key
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
   from documents
+), d as (
+  select *,
+         ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || coalesce(source, '')
+           || ':' || size || ':' || (row_number() over (partition by doc_id, source, size) - 1)),
+           1, 13))::bigint as key
+  from sized
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
 ), weighed as (
@@ -56,25 +61,21 @@ with d as (
                               * weight, most)) as target
   from leveled
 ), timed as (
-  select d.doc_id, d.size, g.source_size, g.target, g.budget,
+  select d.doc_id, d.size, d.key, row_number() over () as row, g.source_size, g.target, g.budget,
          sum(d.size) over (partition by d.source order by d.key, d.size
                            rows unbounded preceding)::bigint as played
   from d join goals g on g.source is not distinct from d.source
 ), copies as (
-  select size, budget, (played + source_size * n) / target as finish
+  select row, size, key, budget, (played + source_size * n) / target as finish
   from timed, range(2) as r(n)
   where size > 0 and target > 0
 ), served as (
-  select finish, budget, sum(size) over (order by finish) as served from copies
-), last as (
-  select max(finish) as finish from served where served <= budget
+  select row, size, budget, sum(size) over (order by finish, key) as served from copies
+), times as (
+  select row, sum(size) as taken from served where served <= budget group by row
 )
-select doc_id, size, source_size, target,
-       case when size > 0 and target > 0 then
-         size * ((played / target <= last.finish)::int
-                 + ((played + source_size) / target <= last.finish)::int)
-       else 0 end::bigint as taken
-from timed, last
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
+from timed left join times using (row)
 """
 
 CHAT = r"""

@@ -60,9 +60,44 @@ def test_edges(spark):
         [(1, "a", 3, "x", "y"), (2, "b", 3, "x", "y")],
         f"{SIZED}, taken string, source_key string",
     )
-    out = mixing.mixed(clash)
-    assert out.columns == clash.columns
-    assert out.count() in (2, 3)
+    for in_order in (True, False):
+        out = mixing.mixed(clash, in_order=in_order)
+        assert out.columns == clash.columns
+        assert out.count() == 3
+
+
+def test_sources_that_finish_together_are_served_one_by_one(spark):
+    rows = [(i, f"s{i:02}", 100) for i in range(60)]
+    out = mixing.mix(spark.createDataFrame(rows, SIZED), weights=(1,)).collect()
+    assert sum(r.taken for r in out) == 9_000
+    again = mixing.mix(spark.createDataFrame(rows[::-1], SIZED).repartition(3), weights=(1,)).collect()
+    assert {(r.doc.doc_id, r.taken) for r in out} == {(r.doc.doc_id, r.taken) for r in again}
+    weighed = mixing.mix(spark.createDataFrame(rows, SIZED)).collect()
+    assert sum(r.taken for r in weighed) >= 8_900
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_rows_without_id_and_repeated_rows_spread(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "COPIES_PER_BLOCK", block)
+    rows = [(None, "a", 3)] * 3_000 + [(5, "a", 3)] * 500 + [(i, "b", 3) for i in range(500)]
+    frame = spark.createDataFrame(rows, SIZED)
+    numbered = mixing._numbered(frame)
+    assert numbered.count() == 4_000 == numbered.distinct().count()
+    key = mixing.shuffle_key(F.col("doc"), frame.columns, F.col("copy"), 7)
+    keys = numbered.select(key.alias("key"), F.shiftright(key, mixing.KEY_BITS - mixing.BUCKET_BITS).alias("b"))
+    assert keys.select("key").distinct().count() == 4_000
+    assert keys.groupBy("b").count().agg(F.max("count")).first()[0] < 10
+    out = mixing.mix(frame).collect()
+    assert len(out) == 4_000
+    assert sum(r.taken for r in out) == pytest.approx(1.5 * 12_000, abs=6)
+
+
+def test_rows_of_one_id_that_differ_elsewhere_have_keys_of_their_own(spark):
+    rows = [(1, "a", 3, f"text {i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, f"{SIZED}, text string")
+    key = mixing.shuffle_key(F.col("doc"), frame.columns, F.col("copy"), 7)
+    assert mixing._numbered(frame).select(key).distinct().count() == 200
+    assert {r.doc.text for r in mixing.mix(frame).collect()} == {r[3] for r in rows}
 
 
 def test_word_count(spark):

@@ -90,6 +90,30 @@ def test_run_gives_the_same_documents(spark, stages):
     assert ids == sorted(i for b in stages["result"].collect() for i in b.doc_ids)
 
 
+def test_each_stage_is_computed_once(spark, monkeypatch):
+    """No stage reads what the one before it returns more often than a handful of times."""
+    read = [spark.sparkContext.accumulator(0) for _ in corpus_pipeline.STAGES]
+    sizes = []
+
+    def counting(at, stage):
+        def rows(batches):
+            for batch in batches:
+                read[at].add(len(batch))
+                yield batch
+
+        def counted(spark, docs, sf_dir):
+            sizes.append(docs.count())
+            return stage(spark, docs.mapInPandas(rows, docs.schema), sf_dir)
+
+        return counted
+
+    stages = [(name, counting(at, stage)) for at, (name, stage) in enumerate(corpus_pipeline.STAGES)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    for (name, _), seen, size in zip(stages, read, sizes):
+        assert size <= seen.value <= 4 * size, name
+
+
 def test_odd_rows_pass_every_stage(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
