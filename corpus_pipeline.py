@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.llm import mixing, packing, pii, simhash, toxicity
-from gridtally.llm.common import table, word_count
+from gridtally.llm.common import checkpointed, table, word_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,9 +30,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of its source wants, in serving order."""
+    """Takes each document as often as the mix of its source wants; packing deals them out anew."""
     sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mixing.mixed(sized).select("row.*")
+    return mixing.mixed(sized, in_order=False).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
+    """All stages applied to ``documents``.
+
+    What a stage returns is written before the next one reads it, so each stage is computed
+    once however often the next looks at its documents.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *stages, (_, last) = STAGES
+    for _, stage in stages:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
