@@ -13,10 +13,12 @@ backslashes, ``|`` gets one more backslash, and reading back takes one away. Ord
 texts stay as they are. The loss mask is a list of spans of code points that cover the
 texts of the trained roles and nothing else.
 
-Cases: a NULL text or role is empty; rows without a conversation id form a conversation
-of their own; a NULL turn comes first; rows of the same turn are ordered by role and
-text; repeated rows are turns of their own. Backslashes and line breaks in roles are
-escaped too. Only the four named columns are read.
+A conversation becomes one text, so its rows must fit one row of Spark (2 GB).
+
+Cases: a NULL text or role is empty; each row without a conversation id is a conversation
+by itself; a NULL turn comes first; rows of the same turn are ordered by role and text;
+repeated rows are turns of their own. Backslashes and line breaks in roles are escaped
+too. Only the four named columns are read.
 """
 
 from __future__ import annotations
@@ -105,15 +107,18 @@ def format_conversations(
     ``turns`` has ``conv_id``, ``turn``, ``role`` and ``text``. ``loss`` is an
     array<struct<start, end>> of code points, one span per trained text, in order.
     """
+    # Rows without an id share nothing, however many there are.
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     rows = turns.select(
         "conv_id",
+        alone.alias("alone"),
         F.struct(
             F.col("turn").cast("bigint").alias("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("row"),
     )
-    collected = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    collected = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("row")).alias("turns"))
 
     def written(pieces: Column) -> Column:
         lengths = F.transform(pieces, lambda p: F.length(p["piece"]))
@@ -142,31 +147,74 @@ def format_conversations(
     ).select("conv_id", "out.written.formatted", "out.written.loss", "out.n_blocks")
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns written in a formatted conversation: array<struct<role, text>>."""
+def _texts(formatted: Column) -> Column:
+    """The texts as they are written: array<struct<role, text, start, end>>, in order.
 
-    def of_block(block: Column) -> Column:
-        role = _unescape_role(F.substring_index(block, "\n", 1))
+    Blocks are split off at their markers, and their lengths added up.
+    """
+
+    def of_block(block: Column, start: Column) -> Column:
+        head = F.substring_index(block, "\n", 1)
         body = F.regexp_replace(block, r"^[^\n]*\n", "")
         texts = F.split(F.regexp_replace(body, r"<\|im_end\|>\n$", ""), r"<\|im_part\|>", -1)
-        return let(
-            role,
-            lambda r: F.transform(
-                texts, lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))
-            ),
-        )
+
+        def located(parts: Column) -> Column:
+            before = start_offsets(F.transform(parts, lambda t: F.length(t) + len(PART)))
+            base = start + len(START) + F.length(head) + 1
+
+            def of_text(role: Column) -> Column:
+                return F.zip_with(
+                    parts,
+                    before,
+                    lambda t, at: F.struct(
+                        role.alias("role"),
+                        t.alias("text"),
+                        (base + at).alias("start"),
+                        (base + at + F.length(t)).alias("end"),
+                    ),
+                )
+
+            return let(_unescape_role(head), of_text)
+
+        return let(texts, located)
 
     blocks = F.split(formatted, r"<\|im_start\|>", -1)
     # Nothing stands in front of the first marker.
     written = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    return F.flatten(F.transform(written, of_block))
 
+    def of(found: Column) -> Column:
+        starts = start_offsets(F.transform(found, lambda b: F.length(b) + len(START)))
+        return F.flatten(F.zip_with(found, starts, of_block))
 
-def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(
-        F.transform(
-            loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))
-        ),
-        "",
+    return let(written, of)
+
+
+def read_turns(formatted: Column) -> Column:
+    """The turns written in a formatted conversation: array<struct<role, text>>."""
+    return F.transform(
+        _texts(formatted),
+        lambda t: F.struct(t["role"].alias("role"), unescape(t["text"]).alias("text")),
+    )
+
+
+def loss_text(
+    formatted: Column, loss: Column, trained_roles: tuple[str, ...] = ("assistant",)
+) -> Column:
+    """All text under the loss mask, unescaped, nothing between.
+
+    The texts that lie exactly under the spans of the mask are read in one pass; a mask
+    with other spans than the texts of the trained roles is cut out span by span.
+    """
+
+    def exact(texts: Column) -> Column:
+        own = F.filter(texts, lambda t: t["role"].isin(*trained_roles))
+        spans = F.transform(own, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+        written = F.array_join(F.transform(own, lambda t: unescape(t["text"])), "")
+        return F.when(spans == loss, written)
+
+    def piecewise(span: Column) -> Column:
+        return unescape(F.substring(formatted, span["start"] + 1, span["end"] - span["start"]))
+
+    return F.coalesce(
+        let(_texts(formatted), exact), F.array_join(F.transform(loss, piecewise), "")
     )

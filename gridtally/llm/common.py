@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gridtally.operators.checkpoints import checkpointed, shared_folder
 
 __all__ = [
-    "WORD", "checkpointed", "let", "lower_ascii", "shared_folder", "start_offsets", "table", "word_count",
+    "WORD", "checkpointed", "cut", "let", "lower_ascii", "running", "shared_folder", "start_offsets",
+    "table", "text_blocks", "word_count",
 ]
 
 #: A word is a run of anything but blanks and the controls tab to carriage return.
@@ -47,29 +48,65 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def start_offsets(lengths: Column) -> Column:
-    """Where each piece starts if pieces of these lengths (array<int>) follow each other."""
+def running(values: Column, start: Column, kind: str, combine: Callable[[Column, Column], Column]) -> Column:
+    """``start`` and what ``combine`` makes of it and each value in turn: one element more.
 
-    def running(block: Column) -> Column:
-        zero = F.array(F.lit(0))
+    ``kind`` is the type of an element. Results are made in blocks and then joined, so that
+    appending stays linear; ``combine`` must not care how values are grouped.
+    """
+
+    def within(block: Column) -> Column:
         return F.aggregate(
-            block, zero, lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
+            block, F.array(start), lambda out, x: F.concat(out, F.array(combine(F.element_at(out, -1), x)))
         )
 
-    def shifted(sums: Column, base: Column) -> Column:
-        return F.transform(F.slice(sums, 1, F.size(sums) - 1), lambda start: start + base)
-
     def of_blocks(blocks: Column) -> Column:
-        bases = running(F.transform(blocks, lambda sums: F.element_at(sums, -1)))
-        return F.flatten(F.zip_with(blocks, F.slice(bases, 1, F.size(bases) - 1), shifted))
+        bases = within(F.transform(blocks, lambda out: F.element_at(out, -1)))
+        joined = F.zip_with(
+            blocks,
+            F.slice(bases, 1, F.size(bases) - 1),
+            lambda out, base: F.transform(F.slice(out, 2, F.size(out) - 1), lambda x: combine(base, x)),
+        )
+        return F.concat(F.array(start), F.flatten(joined))
 
-    def of(all_lengths: Column) -> Column:
-        n_blocks = F.ceil(F.size(all_lengths) / F.lit(_BLOCK)).cast("int")
+    def of(all_values: Column) -> Column:
+        n_blocks = F.ceil(F.size(all_values) / F.lit(_BLOCK)).cast("int")
         blocks = F.transform(
             F.sequence(F.lit(0), n_blocks - 1),
-            lambda b: running(F.slice(all_lengths, b * _BLOCK + 1, _BLOCK)),
+            lambda b: within(F.slice(all_values, b * _BLOCK + 1, _BLOCK)),
         )
-        empty = F.array().cast("array<int>")
-        return F.when(F.size(all_lengths) == 0, empty).otherwise(let(blocks, of_blocks))
+        return F.when(F.size(all_values) == 0, F.array(start)).otherwise(let(blocks, of_blocks))
+
+    return let(values, lambda v: of(v).cast(f"array<{kind}>"))
+
+
+def start_offsets(lengths: Column) -> Column:
+    """Where each piece starts if pieces of these lengths (array<int>) follow each other."""
+    sums = running(lengths, F.lit(0), "int", lambda a, b: a + b)
+    return let(sums, lambda s: F.slice(s, 1, F.size(s) - 1))
+
+
+#: Code points of a block of text.
+_TEXT_BLOCK = 1024
+
 
-    return let(lengths, of)
+def text_blocks(text: Column) -> Column:
+    """The text in blocks, for :func:`cut`; made in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_TEXT_BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` (exclusive) of the text in these blocks.
+
+    A cut costs as much as it is long, and a block or two, wherever in the text it lies.
+    """
+    first = F.floor(start / F.lit(_TEXT_BLOCK)).cast("int")
+    last = F.floor((end - 1) / F.lit(_TEXT_BLOCK)).cast("int")
+    # Looking up a block is cheap; a slice looks at all of them.
+    whole = (
+        F.when(last == first, F.get(blocks, first))
+        .when(last == first + 1, F.concat(F.get(blocks, first), F.get(blocks, last)))
+        .otherwise(F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(1))), ""))
+    )
+    part = F.substring(whole, (start - first * _TEXT_BLOCK + 1).cast("int"), (end - start).cast("int"))
+    return F.when(end > start, part).otherwise(F.lit(""))

@@ -80,21 +80,23 @@ from timed left join times using (row)
 
 CHAT = r"""
 with all_rows as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  select conv_id, case when conv_id is null then row_number() over () end as alone,
+         turn, coalesce(role, '') as role, coalesce(text, '') as text
   from conversations
   union all
-  select -1, n, r, '<|im_end|><|im_start|>assistant ok'
+  select -1, null, n, r, '<|im_end|><|im_start|>assistant ok'
   from (values (0, 'user'), (1, 'assistant')) as own(n, r)
 ), ordered as (
   select *,
-         row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+         row_number() over (partition by conv_id, alone order by turn nulls first, role, text)
+           as place
   from all_rows
 ), marked as (
   select *,
          regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as written,
          regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'),
                         '<(\\*)\|', '<\\\1|', 'g') as written_role,
-         coalesce(lag(role) over (partition by conv_id order by place) <> role, true) as opens
+         coalesce(lag(role) over (partition by conv_id, alone order by place) <> role, true) as opens
   from ordered
 )
 select conv_id,
@@ -108,7 +110,7 @@ select conv_id,
            + case when opens then 12 + length(written_role) + 1 + 11 else 11 end)::bigint
          as formatted_chars
 from marked
-group by conv_id
+group by conv_id, alone
 """
 
 _TEMPLATES = ",\n    ".join(

@@ -12,7 +12,9 @@ Two groups of kinds:
 
 The patterns use possessive repeats and look at run starts only where that cannot change
 a match, so that a text of any length is read in linear time. Positions come from the
-texts between the matches, whose lengths are added up.
+texts between the matches, whose lengths are added up; contexts and the pieces of redacted
+texts are cut out of blocks of the text; spans are compared with their neighbours in order.
+So many spans in one text take no more time each than few.
 
 Cases: a NULL text is an empty one and has no spans. Offsets are code points, the end
 exclusive. Every row is judged by itself; repeated rows and NULL ids need nothing special.
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import let, start_offsets
+from gridtally.llm.common import cut, let, running, start_offsets, text_blocks
 
 MIN_SCORE = 0.6
 #: Code points before and behind a span in which context words count.
@@ -192,13 +194,12 @@ def _located(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _scored(text: Column, kind: Kind, spans: Column) -> Column:
+def _scored(blocks: Column, length: Column, kind: Kind, spans: Column) -> Column:
     def score(s: Column) -> Column:
         first = F.greatest(s["start"] - BEFORE, F.lit(0))
+        behind = F.least(s["end"] + BEHIND, length)
         around = F.concat(
-            text.substr(first + 1, s["start"] - first),
-            F.lit("\n"),
-            text.substr(s["end"] + 1, F.lit(BEHIND)),
+            cut(blocks, first, s["start"]), F.lit("\n"), cut(blocks, s["end"], behind)
         )
         near = F.lower(around).rlike(kind.context)
         return F.least(
@@ -226,61 +227,93 @@ def find_spans(docs: DataFrame, *carry: str) -> DataFrame:
     """
     text = F.col("text")
     found = docs.select(*carry, F.coalesce(text, F.lit("")).alias("text"))
-    for kind in KINDS:
-        found = found.withColumn(f"_{kind.name}", _located(text, kind))
-    base = F.concat(*[_scored(text, k, F.col(f"_{k.name}")) for k in KINDS if k.base])
-    more = F.concat(*[_scored(text, k, F.col(f"_{k.name}")) for k in KINDS if not k.base])
+    # One generated row keeps the optimizer from putting these expressions into later filters.
+    columns = F.struct(*[_located(text, kind).alias(f"_{kind.name}") for kind in KINDS])
+    found = found.select("*", F.inline(F.array(columns)))
+    located = [F.col(f"_{kind.name}") for kind in KINDS]
+    some = F.lit(False)
+    for spans in located:
+        some = some | (F.size(spans) > 0)
+    # Blocks are made once, and only of texts that have spans.
+    none = F.array().cast("array<string>")
+    found = found.withColumn("_blocks", F.when(some, text_blocks(F.col("text"))).otherwise(none))
+    # Bound once: what stands inside a lambda is evaluated for each span.
+    whole = F.struct(F.col("_blocks").alias("blocks"), F.length("text").alias("length"))
+    every = let(
+        whole,
+        lambda w: F.concat(
+            *[_scored(w["blocks"], w["length"], k, spans) for k, spans in zip(KINDS, located)]
+        ),
+    )
+    return found.select(*carry, "text", let(F.array_sort(every), _kept).alias("spans"))
+
+
+_BASE_RANKS = [rank for rank, kind in enumerate(KINDS) if kind.base]
+
+
+def _kept(spans: Column) -> Column:
+    """Spans, sorted, without those of the added kinds that score low or touch a base span."""
 
-    def added(fixed: Column) -> Column:
-        def apart(s: Column) -> Column:
-            return ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def is_base(s: Column) -> Column:
+        return s["rank"].isin(*_BASE_RANKS)
 
-        return F.filter(more, lambda s: (s["score"] >= MIN_SCORE) & apart(s))
+    # How far the base spans in front reach, and where the next one behind starts. A base
+    # span comes before an added one that starts with it, as its kind does.
+    reach = running(
+        F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.lit(0), "int", F.greatest
+    )
+    far = F.lit((1 << 31) - 1)
+    following = running(
+        F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(far))), far, "int", F.least
+    )
+
+    def apart(reach: Column) -> Column:
+        def of(behind: Column) -> Column:
+            def keeps(s: Column, i: Column) -> Column:
+                free = (F.get(reach, i) <= s["start"]) & (F.get(behind, i) >= s["end"])
+                return is_base(s) | ((s["score"] >= MIN_SCORE) & free)
 
-    spans = let(base, lambda fixed: F.array_sort(F.concat(fixed, added(fixed))))
-    return found.select(*carry, "text", spans.alias("spans"))
+            return F.filter(spans, keeps)
+
+        return let(F.reverse(following), of)
+
+    return F.when(F.size(spans) == 0, spans).otherwise(let(reach, apart))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind."""
 
-    def merge(runs: Column, s: Column) -> Column:
-        last = F.element_at(runs, -1)
-        longer = F.struct(
-            last["start"].alias("start"),
-            F.greatest(last["end"], s["end"]).alias("end"),
-            last["kind"].alias("kind"),
-        )
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        kept = F.slice(runs, 1, F.size(runs) - 1)
-        return F.when(
-            s["start"] < last["end"], F.concat(kept, F.array(longer))
-        ).otherwise(F.concat(runs, F.array(own)))
-
-    # The first run is empty and stands for the start of the text.
-    head = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind")
-    )
+    def of_spans(found: Column) -> Column:
+        ends = running(F.transform(found, lambda s: s["end"]), F.lit(0), "int", F.greatest)
+        # How far the spans in front of each go, and at last all of them.
+        return let(ends, lambda reach: let(_heads(found, reach), lambda heads: of_runs(found, reach, heads)))
 
-    def rewritten(runs: Column) -> Column:
-        following = F.concat(
-            F.transform(F.slice(runs, 2, F.size(runs)), lambda r: r["start"]),
-            F.array(F.length(text)),
-        )
-        pieces = F.zip_with(
-            runs,
-            following,
-            lambda r, until: F.concat(
-                F.when(r["kind"] == "", F.lit("")).otherwise(
-                    F.concat(F.lit("["), F.upper(r["kind"]), F.lit("]"))
-                ),
-                text.substr(r["end"] + 1, until - r["end"]),
-            ),
-        )
-        return F.array_join(pieces, "")
+    def of_runs(found: Column, reach: Column, heads: Column) -> Column:
+        """Each run's name and the text behind it, up to the next run."""
+        following = F.concat(F.slice(heads, 2, F.size(heads)), F.array(F.size(found)))
+
+        def of_text(whole: Column) -> Column:
+            blocks, length = whole["blocks"], whole["length"]
+
+            def piece(head: Column, behind: Column) -> Column:
+                until = F.coalesce(F.get(found, behind)["start"], length)
+                name = F.concat(F.lit("["), F.upper(F.get(found, head)["kind"]), F.lit("]"))
+                return F.concat(name, cut(blocks, F.get(reach, behind), until))
 
-    runs = F.aggregate(spans, F.array(head), merge)
-    return F.when(F.size(spans) == 0, text).otherwise(let(runs, rewritten))
+            first = cut(blocks, F.lit(0), F.get(found, F.lit(0))["start"])
+            return F.concat(first, F.array_join(F.zip_with(heads, following, piece), ""))
+
+        return let(F.struct(text_blocks(text).alias("blocks"), F.length(text).alias("length")), of_text)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, of_spans))
+
+
+def _heads(spans: Column, reach: Column) -> Column:
+    """The places of the spans that overlap none in front of them."""
+    own = F.transform(
+        spans, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i)), i)
+    )
+    return F.filter(own, lambda i: i.isNotNull())
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -90,10 +90,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
-    own = spark.createDataFrame(
-        [(-1, 0, "user", says), (-1, 1, "assistant", says)],
-        "conv_id long, turn long, role string, text string",
-    )
+    turns = [
+        F.struct(F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"))
+        for turn, role in enumerate(("user", "assistant"))
+    ]
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.inline(F.array(*turns)))
+    own = own.withColumn("text", F.lit(says))
     rows = table(spark, folder, "conversations").select(*columns).unionByName(own)
     out = chat.format_conversations(rows)
     turns = chat.read_turns(F.col("formatted"))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -44,6 +45,43 @@ def test_neighbours_of_one_role_are_merged(spark):
     assert [out.formatted[s.start : s.end] for s in out.loss] == ["c"]
 
 
+def _seconds(run):
+    start = time.perf_counter()
+    run()
+    return time.perf_counter() - start
+
+
+def test_long_conversations_are_read_in_linear_time(spark):
+    def read(n):
+        turns = spark.range(n).selectExpr(
+            "1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role",
+            "concat(repeat('word ', 30), id, ' <|im_part|>') as text",
+        )
+        out = chat.format_conversations(turns)
+        text = chat.loss_text(F.col("formatted"), F.col("loss"))
+        row = out.select(F.size(chat.read_turns(F.col("formatted"))), F.length(text)).first()
+        assert row[0] == n and row[1] > n // 2 * 150
+
+    read(100)
+    few, many = (_seconds(lambda: read(n)) for n in (2_000, 16_000))
+    assert many < 10 * few + 1
+
+
+def test_mask_that_is_not_the_texts_is_cut_out(spark):
+    out = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "xyz")], SCHEMA))
+    other = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end")), F.struct(F.lit(17).alias("start"), F.lit(20).alias("end")))
+    assert out.select(chat.loss_text(F.col("formatted"), other)).first()[0] == "<|abc"
+
+
+def test_rows_without_a_conversation_are_not_pooled(spark):
+    rows = [(None, i % 3, "user", f"t{i}") for i in range(3_000)] + [(1, 0, "user", "x")] * 2
+    frame = spark.createDataFrame(rows, SCHEMA)
+    out = chat.format_conversations(frame).select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    alone = [r.t for r in out if r.conv_id is None]
+    assert sorted(t[0].text for t in alone) == sorted(f"t{i}" for i in range(3_000))
+    assert [len(r.t) for r in out if r.conv_id == 1] == [2]
+
+
 def test_edges(spark):
     out = _read(spark, [(None, None, None, None), (2, 1, "assistant", "x"), (2, 1, "assistant", "x")])
     assert [tuple(t) for t in out[None].turns] == [("", "")]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,58 @@ def test_checksums_and_context(spark, text, kinds):
     assert [s[0] for s in _spans(spark, [text])[0]] == kinds
 
 
+MIXED = "mail a@b.co to 1.2.3.4 ssn 123-45-6789 call 555-123-4567 or +1 (988) 555-2485, born 1980-02-11; "
+
+
+def _seconds(run):
+    start = time.perf_counter()
+    run()
+    return time.perf_counter() - start
+
+
+def test_many_spans_take_linear_time(spark):
+    def read(n):
+        text = spark.createDataFrame([(1, MIXED * n)], "doc_id long, text string")
+        spans = pii.find_spans(text, "doc_id").select(F.size("spans")).first()[0]
+        clean = pii.redact(text).select(F.length("text")).first()[0]
+        assert spans == 6 * n and 0 < clean < len(MIXED) * n
+
+    read(10)
+    few, many = (_seconds(lambda: read(n)) for n in (700, 5_600))
+    assert many < 10 * few + 1
+
+
+def test_contexts_and_cuts_across_blocks(spark):
+    """Spans around the ends of the blocks that texts are cut from, against plain slicing."""
+    texts = ["é😀"[i % 2] * (1024 * k - i) + MIXED * 12 for k in (1, 2) for i in range(0, 60, 7)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_spans(frame, "doc_id").collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    for i, text in enumerate(texts):
+        assert len(found[i]) == 72
+        assert all(text[s.start : s.end] == s.text for s in found[i])
+        expected, at = "", 0
+        for s in found[i]:
+            assert s.start >= at
+            expected += text[at : s.start] + f"[{s.kind.upper()}]"
+            at = s.end
+        assert clean[i] == expected + text[at:]
+
+
+def test_overlaps_of_many_spans(spark):
+    """Added kinds next to, inside and around base spans, against a comparison of all pairs."""
+    rng = random.Random(8)
+    parts = ["ssn 123-45-6789", "123-45-6789@x.co", "call 555-123-4567 ", "1.2.3.4", "+1555-123-4567", " born 1980-02-11", "1980-02-11@b.co ", "x " * 40]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(150)]
+    for text, spans in zip(texts, _spans(spark, texts)):
+        base = [s for s in spans if s[0] in pii.BASE]
+        assert base == _base(text)
+        assert spans == sorted(spans, key=lambda s: (s[1], [k.name for k in pii.KINDS].index(s[0])))
+        for kind, start, end in spans:
+            if kind not in pii.BASE:
+                assert not any(a < end and start < b for _, a, b in base)
+
+
 def test_redaction(spark):
     texts = ["to a@b.co, ok +1 (988) 555-2485", "none", None, "", "+4111111111111111 x", "1.2.3.4" * 2]
     frame = spark.createDataFrame(
