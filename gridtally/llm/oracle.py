@@ -9,18 +9,18 @@ from gridtally.llm import licenses
 
 TOP_K = r"""
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as w
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda x: floor(1024 * x::double)) as w
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pairs as (
-  select q.vec_id as query_id, v.vec_id,
+  select q.vec_id as query_id, q.row, v.vec_id,
          list_dot_product(q.w, v.w)::bigint as score
-  from v q join v on v.vec_id <> q.vec_id
+  from v q join v on v.row <> q.row
   where q.vec_id % 100 = 0
 )
 select query_id,
-       row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
+       row_number() over (partition by row order by score desc, vec_id)::int as rank,
        vec_id, score
 from pairs
 qualify rank <= 10

@@ -11,9 +11,10 @@ found there along to all other shards, where only better or equal rows count.
 
 Cases: vectors that are NULL or hold NULL or a non-finite component take no part, nor do
 rows with a NULL id; an empty vector is a vector of zeros, and shorter vectors count as
-filled up with zeros. Equal scores are ordered by id. Repeated rows are candidates of
-their own; a query never meets rows of its own id. A query whose row repeats is asked
-once. Scores are exact; one outside the range of a long becomes the end of the range.
+filled up with zeros. Equal scores are ordered by id. Every query row is asked, and every
+row but its own is a candidate, also one with the same id or the same vector: repeated
+query rows get their hits each. A query that is no row of the table leaves out none unless
+a row has its id and vector. Scores are exact; one outside the range of a long becomes the end of the range.
 No rows give no rows. Only ``vec_id`` and ``embedding`` are read.
 """
 
@@ -36,7 +37,7 @@ SHARD_ROWS, LEAF_ROWS = 8192, 64
 #: Sums of products below this are exact as doubles.
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
-_HIT = "query_id long, vec_id long, score long"
+_HIT = "ask long, query_id long, vec_id long, score long"
 
 
 def whole(vectors: pd.Series) -> np.ndarray:
@@ -99,9 +100,12 @@ class BallTree:
         return queries @ self.centre_rows.T + norms * self.radius + 1e-9 * reach + 1.0
 
     def search(
-        self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, known: float
+        self, own_id: int | None, query: np.ndarray, bounds: np.ndarray, k: int, known: float
     ) -> list[tuple[int, int]]:
-        """The best (score, -id) of rows with another id whose score is at least ``known``."""
+        """The best (score, -id) of the rows whose score is at least ``known``.
+
+        With ``own_id`` one row of that id that equals the query, its own, is left out.
+        """
         best: list[tuple[int, int]] = []
         nodes = [(-bounds[0], 0)]
         while nodes:
@@ -115,8 +119,11 @@ class BallTree:
                     heapq.heappush(nodes, (-bounds[child], child))
                 continue
             at = self.order[first:second]
-            for score, vec_id in zip(_products(self.rows[at], query), self.ids[at]):
-                if score < least or vec_id == query_id:
+            for row, score, vec_id in zip(at, _products(self.rows[at], query), self.ids[at]):
+                if score < least:
+                    continue
+                if own_id is not None and vec_id == own_id and (self.rows[row] == query).all():
+                    own_id = None
                     continue
                 hit = (int(score), -int(vec_id))
                 if len(best) < k:
@@ -158,12 +165,16 @@ def _answers(tree: BallTree, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     known = rows["known"].to_numpy(dtype=np.float64, na_value=-np.inf)
     # A long that no double equals may have been rounded up.
     known = np.where(np.abs(known) < _EXACT, known, np.nextafter(known, -np.inf))
+    # A row lies in the shard that its id and vector name, and so do its copies.
+    own_ids = [i if at == own else None for i, at, own in zip(rows["vec_id"], rows["shard"], rows["own"])]
     hits = [
-        (int(query_id), -minus_id, score)
-        for query_id, query, bound, least in zip(rows["vec_id"], queries, bounds, known)
-        for score, minus_id in tree.search(query_id, query, bound, k, least)
+        (int(ask), int(query_id), -minus_id, score)
+        for ask, query_id, own_id, query, bound, least in zip(
+            rows["ask"], rows["vec_id"], own_ids, queries, bounds, known
+        )
+        for score, minus_id in tree.search(own_id, query, bound, k, least)
     ]
-    return pd.DataFrame(hits, columns=["query_id", "vec_id", "score"])
+    return pd.DataFrame(hits, columns=["ask", "query_id", "vec_id", "score"])
 
 
 def _usable(vector: Column) -> Column:
@@ -175,32 +186,41 @@ def _usable(vector: Column) -> Column:
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
     """The k best hits of each query with their rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score``: the best ``k`` of other vectors.
 
-    Both inputs have ``vec_id`` and ``embedding``. Ids of queries are taken as unique.
+    Both inputs have ``vec_id`` and ``embedding``. A query leaves out its own row, the one
+    of the same id and vector.
     """
     usable = F.col("vec_id").isNotNull() & _usable(F.col("embedding"))
     rows = vectors.where(usable).select("vec_id", "embedding")
     n_shards = max(1, -(-rows.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_shards)).cast("int")
+    nothing = F.lit(None).cast("long")
     stored = rows.select(
-        shard.alias("shard"),
-        F.lit(False).alias("asks"),
-        "vec_id",
-        "embedding",
-        F.lit(None).cast("long").alias("known"),
+        shard.alias("shard"), F.lit(False).alias("asks"), "vec_id", "embedding",
+        nothing.alias("known"), nothing.alias("ask"), nothing.alias("own"),
+    )
+    # Numbered and written: both searches must mean the same row by a number.
+    asked = checkpointed(
+        queries.where(usable).select(
+            "vec_id",
+            "embedding",
+            F.monotonically_increasing_id().alias("ask"),
+            shard.cast("long").alias("own"),
+        )
     )
-    asked = queries.where(usable).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
+    home = F.pmod(F.xxhash64("ask"), F.lit(n_shards)).cast("int")
 
     def searched(questions: DataFrame) -> DataFrame:
         both = stored.unionByName(
-            questions.select("shard", F.lit(True).alias("asks"), "vec_id", "embedding", "known")
+            questions.select(
+                "shard", F.lit(True).alias("asks"), "vec_id", "embedding", "known", "ask", "own"
+            )
         )
         return (
             both.repartition("shard")
@@ -209,17 +229,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         )
 
     first = checkpointed(
-        _best(
-            searched(asked.withColumns({"shard": home, "known": F.lit(None).cast("long")})), k
-        ).drop("rank")
-    )
-    kth = first.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("score")).alias("known")
+        _best(searched(asked.withColumns({"shard": home, "known": nothing})), k).drop("rank")
     )
+    kth = first.groupBy("ask").agg(F.when(F.count("*") >= k, F.min("score")).alias("known"))
     shards = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
     others = (
-        asked.join(kth, F.col("vec_id") == F.col("query_id"), "left")
-        .select("vec_id", "embedding", "known", home.alias("home"), shards.alias("shard"))
+        asked.join(kth, "ask", "left")
+        .select("vec_id", "embedding", "known", "ask", "own", home.alias("home"), shards.alias("shard"))
         .where("shard <> home")
     )
     return _best(first.unionByName(searched(others)), k).select(

@@ -93,6 +93,26 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard_rows):
     assert sorted(map(tuple, found.collect())) == sorted(expected)
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 3])
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    rng = np.random.default_rng(4)
+    rows = [(i // 2, rng.standard_normal(4).astype(np.float32).tolist()) for i in range(12)]
+    rows += [rows[0]] * 3 + [(100, rows[0][1])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = topk.top_k(frame, frame.where("vec_id in (0, 3)"), 5).collect()
+    whole = [[int(np.floor(x * 1024)) for x in v] for _, v in rows]
+    expected = []
+    for at, (q, _) in enumerate(rows):
+        if q in (0, 3):
+            scored = sorted(
+                (-sum(a * b for a, b in zip(whole[at], w)), i)
+                for n, ((i, _), w) in enumerate(zip(rows, whole)) if n != at
+            )
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_top_k_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 1.0]), (1, [1.0]), (2, []), (3, None), (4, [nan]), (5, [1e25, 1.0]), (None, [9.0]), (6, [-1.0, 0.0])]
