@@ -11,20 +11,22 @@ Not displayed: ``head``, scripts, styles, templates, fallback content of embedde
 its summary, options that are not chosen, elements with the attribute ``hidden`` unless
 their style displays them, elements with ``display:none`` in their style or by the page's
 style sheets, as these count on a wide screen (``style_sheets``). ``visibility:hidden`` is
-undone by ``visibility:visible`` inside.
+undone by ``visibility:visible`` inside. Form fields and buttons show their ``value``, but
+for hidden, password, checkbox, radio, file, image, range and color fields.
 
 Cases: a NULL page has a NULL text, an empty one an empty text. Broken markup never
-fails: a tag that does not end is text, end tags without a start are left out, elements
-nested deeper than ``MAX_DEPTH`` are siblings. The pages are treated one by one, so ids
+fails: a tag that does not end is text, end tags without a start are left out, and elements
+may be nested to any depth. The pages are treated one by one, so ids
 and repeated rows need nothing special. All input columns come back; a column ``text`` of
 the input is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from unicodedata import east_asian_width
@@ -36,7 +38,6 @@ from pyspark.sql.types import StringType
 
 from gridtally.llm import style_sheets
 
-MAX_DEPTH = 256
 #: A cell wider than this does not widen its column; it runs over.
 COLUMN_WIDTH = 60
 INDENT = "    "
@@ -78,6 +79,7 @@ _IMPLIED = {
 }
 _P_ENDS = {"td", "th", "caption", "table", "button", "object", "body"}
 _END_STOPS = {"td", "th", "table", "body"}
+_ENDS_ANYWHERE = {"table", "tr", "tbody", "body"}
 
 # Fixed values of the HTML standard: how elements are displayed by default.
 _NOT_SHOWN = set(
@@ -94,6 +96,9 @@ _BLOCKS = _MARGINS | set(
 
 _LISTS = {"ul", "ol", "menu", "dir"}
 
+#: Kinds of input that show no text of theirs.
+_NO_VALUE = set("hidden password checkbox radio file image range color".split())
+
 
 @dataclass(eq=False)
 class Element:
@@ -114,28 +119,65 @@ def _attrs(source: str) -> dict[str, str]:
     return out
 
 
-def _close(stack: list[Element], tags: set[str], stops: set[str]) -> None:
-    """Ends the outermost open element of ``tags`` above the innermost of ``stops``."""
-    found = 0
-    for at in range(len(stack) - 1, 0, -1):
-        if stack[at].tag in stops:
-            break
-        if stack[at].tag in tags:
-            found = at
-    if found:
-        del stack[found:]
+class _Open:
+    """The open elements, innermost last, with the places of each tag among them.
+
+    Looking for a tag costs the same however deep the page is nested.
+    """
+
+    def __init__(self, root: Element):
+        self.elements, self.places = [root], {root.tag: [0]}
+        self.depth = 1
+
+    @property
+    def last(self) -> Element:
+        return self.elements[-1]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.elements))
+        self.elements.append(element)
+        self.depth = max(self.depth, len(self.elements))
+
+    def end_from(self, place: int) -> None:
+        while len(self.elements) > place:
+            self.places[self.elements.pop().tag].pop()
 
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element of these tags but the root; 0 if there is none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
 
-def parse(html: str) -> tuple[Element, list[str]]:
-    """The tree of a page and its style sheets."""
+    def close(self, tags: set[str], stops: set[str]) -> None:
+        """Ends the outermost open element of ``tags`` above the innermost of ``stops``."""
+        above = self.innermost(stops)
+        found = []
+        for tag in tags:
+            places = self.places.get(tag, [])
+            at = bisect.bisect_right(places, above)
+            found += places[at : at + 1]
+        if found:
+            self.end_from(min(found))
+
+    def end_tag(self, tag: str) -> None:
+        """Ends the innermost element of a tag, unless a cell, table or body stands between."""
+        place = self.innermost([tag])
+        if place and (tag in _ENDS_ANYWHERE or place >= self.innermost(_END_STOPS)):
+            self.end_from(place)
+
+
+def parse(html: str) -> tuple[Element, list[str], int]:
+    """The tree of a page, its style sheets and how deep it is nested."""
     root = Element("html")
-    stack, styles, at, end = [root], [], 0, len(html)
+    stack, styles, at, end = _Open(root), [], 0, len(html)
+
+    def leave_head() -> None:
+        if stack.last.tag == "head":
+            stack.end_from(len(stack.elements) - 1)
 
     def text(part: str) -> None:
         if part:
-            if stack[-1].tag == "head" and part.strip(" \t\n\r\f"):
-                stack.pop()
-            stack[-1].children.append(unescape(part) if "&" in part else part)
+            if part.strip(" \t\n\r\f"):
+                leave_head()
+            stack.last.children.append(unescape(part) if "&" in part else part)
 
     while at < end:
         token = _TOKEN.search(html, at)
@@ -146,44 +188,39 @@ def parse(html: str) -> tuple[Element, list[str]]:
         at = token.end()
         if closing := token["end"]:
             tag = closing.lower()
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place].tag == tag:
-                    del stack[place:]
-                    break
-                if stack[place].tag in _END_STOPS and tag not in ("table", "tr", "tbody", "body"):
-                    break
+            stack.end_tag(tag)
             if tag == "br":
-                stack[-1].children.append(Element("br"))
+                stack.last.children.append(Element("br"))
             continue
         if not token["start"]:
             continue
         tag = token["start"].lower()
-        if tag in ("html", "head") and len(stack) > 1 or tag == "html":
+        if tag in ("html", "head") and len(stack.elements) > 1 or tag == "html":
             if tag == "html" and token["attrs"]:
                 root.attrs = _attrs(token["attrs"]) | root.attrs
             continue
-        if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
-            stack.pop()
+        if tag not in _HEAD_ONLY:
+            leave_head()
         if tag in _CLOSES_P:
-            _close(stack, {"p"}, _P_ENDS)
+            stack.close({"p"}, _P_ENDS)
         if tag in _IMPLIED:
-            _close(stack, *_IMPLIED[tag])
+            stack.close(*_IMPLIED[tag])
         element = Element(tag, _attrs(token["attrs"]) if token["attrs"] else {})
-        stack[-1].children.append(element)
+        stack.last.children.append(element)
         if tag in _RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             content = html[at : stop.start() if stop else end]
             if tag == "style":
-                if _applies(element) and not any(e.tag in ("noscript", "template") for e in stack):
+                if _applies(element) and not stack.innermost(("noscript", "template")):
                     styles.append(content)
             elif tag in ("textarea", "title"):
                 element.children.append(unescape(content))
             elif tag == "xmp":
                 element.children.append(content)
             at = html.find(">", stop.start()) + 1 or end if stop else end
-        elif tag not in _VOID and len(stack) < MAX_DEPTH:
-            stack.append(element)
-    return root, styles
+        elif tag not in _VOID:
+            stack.push(element)
+    return root, styles, stack.depth
 
 
 def _applies(style: Element) -> bool:
@@ -290,7 +327,9 @@ class _Renderer:
 
     def shown(self, element: Element) -> bool:
         tag, attrs = element.tag, element.attrs
-        if tag in _NOT_SHOWN or tag == "input":
+        if tag in _NOT_SHOWN:
+            return False
+        if tag == "input" and attrs.get("type", "").strip().lower() in _NO_VALUE:
             return False
         if element.display is not None:
             return element.display
@@ -315,6 +354,10 @@ class _Renderer:
             return
         if tag == "wbr":
             return
+        if tag == "input":
+            if seen and (value := element.attrs.get("value")):
+                page.word_run(f" {value} ")
+            return
         block, margin = tag in _BLOCKS, tag in _MARGINS and not (tag in _LISTS and self.lists)
         if block:
             page.block(margin)
@@ -455,8 +498,10 @@ class _Renderer:
 
 def visible_text(html: str) -> str:
     """The visible text of a page, without blank lines at its ends."""
-    root, styles = parse(html)
+    root, styles, depth = parse(html)
     _styled(root, styles)
+    # Rendering an element takes a few calls inside those of its parent.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth + 1_000))
     lines = _Renderer().lines(root, True, False) if root.display is not False else []
     return "\n".join(lines).strip("\n")
 
@@ -466,8 +511,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf(StringType())
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # Each element takes a few calls; Python's default would be less than MAX_DEPTH needs.
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
         for batch in batches:
             yield batch.map(visible_text, na_action="ignore")
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from gridtally.llm import html_text
@@ -22,7 +24,9 @@ from gridtally.llm.html_text import visible_text
         ("<style>.x, #y{color:red;display:none}</style><b class='z x'>no</b><i id=y>no</i>ok", "ok"),
         ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
         ("<details><summary>S</summary>no</details><details open>yes</details>", "S\nyes"),
-        ("<select><option>A<option selected>B</select><input value=v>", "B"),
+        ("<select><option>A<option selected>B</select><input value=v>", "B v"),
+        ("<input type=submit value=Send><input type=HIDDEN value=x><input type=password value=x>ok", "Send ok"),
+        ("a<input type=checkbox value=x><input><input value='' hidden><input value=x hidden>b", "ab"),
         ("<noscript>no</noscript><iframe>no</iframe><template>no</template>ok", "ok"),
         ("a < b > c </p></zz><b", "a < b > c <b"),
         ("<a title='x > y' href=it's>k</a>", "k"),
@@ -120,6 +124,24 @@ def test_all_visible_words_are_kept_in_order():
     assert [w for w in text.split() if w.startswith("w")] == words
 
 
+@pytest.mark.parametrize("depth", [300, 5_000, 100_000])
+def test_deep_pages_hide_what_is_hidden(depth):
+    html = "<div>" * depth + "<p style='display:none'>hidden</p><span style='display:none'>h2<b>x</b></span>shown"
+    assert visible_text(html) == "shown"
+    mixed = "<b>" * depth + "<template>no</template><i hidden>no</i>yes" + "</b>" * depth + "<p>behind"
+    assert visible_text(mixed) == "yes\n\nbehind"
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(depth):
+        start = time.perf_counter()
+        assert visible_text("<div><span>" * depth + "x" + "</span></q></div>" * depth) == "x"
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(32_000) < 16 * seconds(4_000) + 0.5
+
+
 def test_column(spark):
     deep = "<div>" * 5000 + "deep" + "<table>" * 600 + "x"
     long = "<p>long text " * 20_000
