@@ -115,6 +115,7 @@ def event_savings_report(
     combined = write_table(event_savings.interval_combined(clean), f"{out}/intervals")
     by_label = write_table(event_savings.exact_by_event_label(clean), f"{out}/label_intervals")
     in_order = missing.nulls_last("event", "interval")
+    # Fixed values here and below: names of report tables, as their readers expect them.
     tables = {
         "summary": combined.drop("n_active", "n_inactive").orderBy(*in_order),
         "summary_by_event_label": event_savings.interval_by_event_label(clean, by_label),

@@ -343,7 +343,7 @@ def interval_combined(clean: DataFrame) -> DataFrame:
 
 # -- filter ladder -------------------------------------------------------------
 
-# Which rows each rung keeps.
+# Names of the rungs; with each, which rows it keeps.
 LADDER = {
     "badmeter": lambda: ~F.col("bad_meter"),
     "ineventinfo": lambda: F.col("in_event_info"),
