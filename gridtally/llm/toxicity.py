@@ -46,7 +46,7 @@ TERM_BITS = 22
 #: Documents learned from, at most, of the toxic and of the other labelled ones, and the
 #: terms that all of them may have together (four bytes each on the driver).
 CLASS_ROWS = {1: 6_000, 0: 12_000}
-SAMPLE_TERMS = 24_000_000
+SAMPLE_TERMS = 12_000_000
 #: Terms in fewer documents of the sample, or whose frequencies in the two classes differ
 #: by less than this log-likelihood ratio, have no weight of their own; so many at most do.
 MIN_DOCUMENTS, MIN_RATIO, MAX_TERMS = 3, 15.0, 20_000
@@ -302,12 +302,15 @@ def _collected(learned: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 
     # As bytes, and partition by partition: lists would take the driver many times the memory.
     rows = learned.mapInPandas(packed, "doc_id long, toxic int, terms binary").toLocalIterator()
-    held = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in rows)
-    return [np.frombuffer(t, np.int32) for _, _, t in held], np.array([y for _, y, _ in held], np.float64)
+    held = sorted(
+        ((r["doc_id"], r["toxic"], np.frombuffer(bytes(r["terms"]), np.int32)) for r in rows),
+        key=lambda row: row[0],
+    )
+    return [t for _, _, t in held], np.array([y for _, y, _ in held], np.float64)
 
 
 def _fitted(rows: list[np.ndarray], labels: np.ndarray, telling: np.ndarray) -> Machine:
-    """Both steps; ``rows`` are term numbers."""
+    """Both steps; ``rows`` are term numbers, each replaced by its places on the way."""
     if len(set(labels.tolist())) < 2:
         return NOTHING
     first = fit([np.searchsorted(telling, _common(r, telling)) for r in rows], labels, telling)
@@ -318,12 +321,15 @@ def _fitted(rows: list[np.ndarray], labels: np.ndarray, telling: np.ndarray) ->
     numbers = np.union1d(np.flatnonzero(seen >= 2), telling)
     place = np.full(1 << TERM_BITS, -1, np.int32)
     place[numbers] = np.arange(len(numbers))
-    places = [p[p >= 0] for p in (place[row] for row in rows)]
+    for i, row in enumerate(rows):
+        found = place[row]
+        rows[i] = found[found >= 0]
+    del seen
     weights, vectors = np.zeros(len(numbers), np.float32), np.zeros((len(numbers), 2 * RANK), np.float32)
     weights[place[telling]], vectors[place[telling], :RANK] = first.weights, first.vectors
     known = Machine(numbers, weights, vectors, first.intercept)
-    sums = np.array([_sum(known, p) for p in places])
-    vectors[:, RANK:], shift = fit_pairs(places, labels, sums, len(numbers))
+    sums = np.array([_sum(known, row) for row in rows])
+    vectors[:, RANK:], shift = fit_pairs(rows, labels, sums, len(numbers))
     used = (weights != 0) | (vectors != 0).any(axis=1)
     return Machine(numbers[used], weights[used], vectors[used], first.intercept + shift)
 
